@@ -21,12 +21,36 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.warc import archive_pages
+
+    records = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op6_bpe": op6_bpe,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST(list_sum(list_transform(range(5), lambda b:
+           ((strpos('0123456789abcdef', substr(hex, 1 + CAST((5 * k + b) // 4 AS INTEGER), 1)) - 1)
+             // CAST(pow(2, 3 - (5 * k + b) % 4) AS BIGINT)) % 2 * CAST(pow(2, 4 - b) AS BIGINT))) AS INTEGER), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+""",
     "op9_exact_dedup": """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
