@@ -28,10 +28,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.lang_ppm import identify
+
+    return identify(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_lang_ppm": op10_lang_ppm,
 }
 
 ORACLE_SQL = {
