@@ -13,6 +13,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op1_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.mpegts import digest, store
+
+    return digest(store(documents(spark, sf_dir)))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +41,7 @@ def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mpegts": op1_mpegts,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
