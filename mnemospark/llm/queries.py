@@ -19,12 +19,23 @@ def op1_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store(documents(spark, sf_dir)))
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_bpe() -> str:
+    """The place of the vocabulary that the queries use; operators take it as a parameter."""
     import public_tokenizers
 
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), word_bpe())
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.bpe import round_trip
 
-    return round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return round_trip(documents(spark, sf_dir), word_bpe())
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +53,7 @@ def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mpegts": op1_mpegts,
+    "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
