@@ -19,6 +19,12 @@ def op1_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store(documents(spark, sf_dir)))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.minhash import link_components
+
+    return link_components(documents(spark, sf_dir), words=3, threshold=(85, 100))
+
+
 def word_bpe() -> str:
     """The place of the vocabulary that the queries use; operators take it as a parameter."""
     import public_tokenizers
@@ -53,6 +59,7 @@ def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mpegts": op1_mpegts,
+    "op2_minhash": op2_minhash,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
