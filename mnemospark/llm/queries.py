@@ -44,6 +44,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), word_bpe())
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.token_shards import training_order
+
+    return training_order(documents(spark, sf_dir), word_bpe(), key=20240607)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.warc import archive_pages
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
+    "op7_token_shards": op7_token_shards,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lang_ppm": op10_lang_ppm,
