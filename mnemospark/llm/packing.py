@@ -29,8 +29,8 @@ END_ID = 0
 #: Three-length patterns take their shortest length from a grid with so many points.
 TRIPLE_GRID = 48
 SWEEPS = 12
-#: Pieces that one ranking cell holds on average.
-CELL_ROWS = 50_000
+#: Ranking cells: one for so many pieces, and so many at least.
+CELL_ROWS, LEAST_CELLS = 50_000, 64
 
 
 def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
@@ -196,12 +196,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 def ranked(cut: DataFrame) -> DataFrame:
     """cut with rank: gapless from 0 among the pieces of a length.
 
-    Each length is dealt over hash cells of about CELL_ROWS pieces; ranks are
+    Each length is dealt over hash cells; ranks are
     counted within a cell and begin where the cells before it end, so that a
     length that many pieces share is not one task's work.
     """
     rows = cut.count()
-    cells = max(1, rows // CELL_ROWS)
+    cells = max(LEAST_CELLS, rows // CELL_ROWS)
     named = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
     sizes = named.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
