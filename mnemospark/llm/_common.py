@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,25 @@ def open_fs(uri: str):
     if "://" not in uri:
         uri = "file://" + uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
+
+
+#: Ranking cells: one for so many rows, and so many at least.
+CELL_ROWS, LEAST_CELLS = 50_000, 64
+
+
+def gapless_rank(rows: DataFrame, within: list[str], keys: list[str], name: str) -> DataFrame:
+    """rows (a stored table) with `name`: a gapless rank from 0 within each value of `within` (never null).
+
+    Rows are dealt over hash cells of their keys; ranks are counted within a
+    cell and begin where the cells before it end, so that no value of
+    `within`, however common, is one task's work. The order is that of the
+    hash cells: arbitrary, but the same whenever it is computed.
+    """
+    cells = max(LEAST_CELLS, rows.count() // CELL_ROWS)
+    dealt = rows.withColumn("rank_cell", F.pmod(F.xxhash64(*keys), F.lit(cells)))
+    sizes = dealt.groupBy(*within, "rank_cell").agg(F.count("*").alias("rank_n"))
+    before = Window.partitionBy(*within).orderBy("rank_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*within, "rank_cell", F.coalesce(F.sum("rank_n").over(before), F.lit(0)).alias("rank_first"))
+    place = F.row_number().over(Window.partitionBy(*within, "rank_cell").orderBy(*keys)) - 1
+    inner = dealt.withColumn("rank_place", place)
+    return inner.join(starts, [*within, "rank_cell"]).select(*rows.columns, (F.col("rank_first") + F.col("rank_place")).alias(name))

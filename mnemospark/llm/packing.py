@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise
+from mnemospark.llm._common import gapless_rank, materialise
 from mnemospark.llm.bpe import grouped, tokenizer
 
 CAPACITY = 2048
@@ -29,8 +29,6 @@ END_ID = 0
 #: Three-length patterns take their shortest length from a grid with so many points.
 TRIPLE_GRID = 48
 SWEEPS = 12
-#: Ranking cells: one for so many pieces, and so many at least.
-CELL_ROWS, LEAST_CELLS = 50_000, 64
 
 
 def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
@@ -193,24 +191,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return texts.mapInPandas(run, schema)
 
 
-def ranked(cut: DataFrame) -> DataFrame:
-    """cut with rank: gapless from 0 among the pieces of a length.
-
-    Each length is dealt over hash cells; ranks are
-    counted within a cell and begin where the cells before it end, so that a
-    length that many pieces share is not one task's work.
-    """
-    rows = cut.count()
-    cells = max(LEAST_CELLS, rows // CELL_ROWS)
-    named = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
-    sizes = named.groupBy("length", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
-    inner = named.withColumn("place", F.row_number().over(order) - 1)
-    return inner.join(starts, ["length", "cell"]).select(*cut.columns, (F.col("first") + F.col("place")).alias("rank"))
-
-
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (a stored table of pieces) with sequence_id (gapless from 0) and offset."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
@@ -221,7 +201,7 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         sequence, offset = made.value.place(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = ranked(cut).withColumn("placed", place("length", "rank"))
+    placed = gapless_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank").withColumn("placed", place("length", "rank"))
     return placed.select(*cut.columns, "placed.sequence_id", "placed.offset")
 
 

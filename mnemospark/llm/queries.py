@@ -25,6 +25,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(documents(spark, sf_dir), words=3, threshold=(85, 100))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.sharding import shard_documents
+
+    return shard_documents(documents(spark, sf_dir), shards=8)
+
+
 def word_bpe() -> str:
     """The place of the vocabulary that the queries use; operators take it as a parameter."""
     import public_tokenizers
@@ -66,6 +72,7 @@ def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mpegts": op1_mpegts,
     "op2_minhash": op2_minhash,
+    "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
     "op7_token_shards": op7_token_shards,
