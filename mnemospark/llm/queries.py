@@ -44,6 +44,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), word_bpe())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(documents(spark, sf_dir)).drop("doc")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.bpe import round_trip
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe": op6_bpe,
     "op7_token_shards": op7_token_shards,
     "op8_warc": op8_warc,
