@@ -6,20 +6,20 @@ signature. Signatures are cut into bands; documents that agree in a band share
 a bucket. Documents with equal shingle sets are one node from the start.
 
 Links are confirmed on full sets, and no bucket's pairs are all emitted:
-1. Star rounds: each node of a bucket is compared with the bucket's leader
-   only (one pair a bucket row), where their components still differ.
+1. Star rounds: each node of a bucket meets only the bucket's leader of that
+   round (any node, by a hash), where their components still differ.
 2. The rest: in buckets that still hold several components, the nodes outside
-   the bucket's largest component meet the nodes of other components in a join
-   whose condition (set sizes, and a two-bit sketch of the signature far below
-   the threshold) drops unlike pairs before they become rows. Nothing is
-   capped, so every link between two nodes that share a bucket is either
-   confirmed or within one component already.
+   the bucket's largest component meet the nodes of other components.
+Both are joins whose condition drops unlike pairs before they become rows: a
+node carries a parity sketch of its set, and the differing bits of two
+sketches never outnumber the shingles that are in one set only, so the test
+loses no link. Nothing is capped: every link between two nodes that share a
+bucket is either confirmed or within one component already.
 A pair at the threshold shares no bucket with a chance under MISS.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,11 +33,10 @@ from mnemospark.llm._common import materialise
 
 COORDINATES = 128
 MISS = 1e-6
-#: Bands that each star round uses, as parts of all bands.
-ROUNDS = ((0.0, 0.2), (0.2, 0.5), (0.5, 1.0))
+STAR_ROUNDS = 3
+SKETCH_LONGS = 16
 GROUP_BYTES = 2 << 20
 MEMO_WORDS = 500_000
-_LOW_BITS = 0x5555555555555555
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -49,16 +48,6 @@ def banding(threshold: float) -> tuple[int, int]:
     return 1, COORDINATES
 
 
-def sketch_limit(threshold: float, coordinates: int) -> int:
-    """Two-bit differences that a pair at the threshold exceeds with a chance under MISS."""
-    p = 0.75 * (1 - threshold)
-    tail, k = 1.0, 0
-    while tail > MISS / 10 and k < coordinates:
-        tail -= math.exp(math.lgamma(coordinates + 1) - math.lgamma(k + 1) - math.lgamma(coordinates - k + 1) + k * math.log(p) + (coordinates - k) * math.log1p(-p)) if 0 < p < 1 else (k == 0)
-        k += 1
-    return k
-
-
 def _scatter(x: np.ndarray) -> np.ndarray:
     """The first permutation: a bijection of 64-bit hashes onto places, of which the upper 32 bits are taken."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -117,11 +106,11 @@ def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates to a long."""
-    two = np.zeros(COORDINATES, np.uint64)
-    two[: len(sig)] = sig & 3
-    return np.bitwise_or.reduce(two.reshape(4, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle flips one of 64 * SKETCH_LONGS bits."""
+    size = 64 * SKETCH_LONGS
+    bits = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _by_bytes(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
@@ -142,7 +131,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, node (null: no words), sketch and one 64-bit hash a band; a stored table."""
     rows, bands = banding(threshold)
-    empty = [0] * 4, [0] * bands
+    empty = [0] * SKETCH_LONGS, [0] * bands
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
@@ -156,7 +145,7 @@ def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                         continue
                     sig = signature(s, rows * bands)
                     hashes = [xxhash.xxh64_intdigest(sig[k * rows : (k + 1) * rows].tobytes(), k) for k in range(bands)]
-                    out.append((doc, len(s), node_of(s), _sketch(sig), np.array(hashes, np.uint64).view(np.int64)))
+                    out.append((doc, len(s), node_of(s), parity_sketch(s), np.array(hashes, np.uint64).view(np.int64)))
                 yield pd.DataFrame(out, columns=["doc_id", "n", "node", "sketch", "bands"]).astype({"doc_id": "Int64"})
 
     return materialise(_texts(docs).mapInPandas(run, "doc_id long, n long, node binary, sketch array<long>, bands array<long>"), "signatures")
@@ -178,15 +167,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets", "uncompressed")
 
 
-def _like(threshold: tuple[int, int], limit: int, a: str, b: str) -> Column:
-    """Pairs that sizes and sketches cannot rule out."""
+def _like(threshold: tuple[int, int], a: str, b: str) -> Column:
+    """Pairs whose sets may differ in few enough shingles: d * |A and B| >= n * |A or B| is |A ^ B| * (d + n) <= (|A| + |B|) * (d - n)."""
     n, d = threshold
+    differs = [F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH_LONGS)]
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    differs = []
-    for k in range(4):
-        x = F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])
-        differs.append(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW_BITS))))
-    return (low * d >= high * n) & (reduce(Column.__add__, differs) <= limit)
+    return (low * d >= high * n) & (reduce(Column.__add__, differs) * (d + n) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (d - n))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -239,6 +225,16 @@ def _with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def mixed_buckets(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components, with comp and the bucket's largest component; a stored table."""
+    placed = _with_comp(buckets, comps)
+    if comps is None:
+        return materialise(placed.withColumn("largest", F.lit(None).cast("binary")), "mixed-buckets")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    return materialise(placed.join(mixed.select("key", "largest"), "key"), "mixed-buckets")
+
+
 def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -249,47 +245,36 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     linked with nothing and kept. Rows repeated under one id get equal
     answers. Other columns of docs are not read.
     """
-    ratio = threshold[0] / threshold[1]
-    rows, bands = banding(ratio)
-    limit = sketch_limit(ratio, rows * bands)
-    sigs = signatures(docs, words, ratio)
+    sigs = signatures(docs, words, threshold[0] / threshold[1])
     nodes = sigs.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.max("doc_id").alias("wanted_id"))
     nodes = materialise(nodes, "nodes")
-    spread = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("band", F.xxhash64("band", "hash").alias("key"), "node")
-    leaders = spread.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
-    shared = spread.join(leaders.select("key", "leader"), "key")  # only rows of buckets with two nodes or more
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "node")
+    full = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    shared = spread.join(full, "key")  # only rows of buckets with two nodes or more
     buckets = materialise(shared.join(nodes.select("node", "n", "sketch"), "node"), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("wanted_id")
     sets = _shingle_sets(docs, wanted, words)
-    like = _like(threshold, limit, "x", "y")
+    like = _like(threshold, "x", "y")
     comps: DataFrame | None = None
     edges: DataFrame | None = None
 
-    def merge(found: DataFrame) -> None:
+    def merge(pairs: DataFrame) -> None:
         nonlocal comps, edges
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        found = materialise(confirmed(pairs, sets, threshold), "links")
         edges = found if edges is None else edges.unionByName(found)
         comps = components(edges)
 
-    node_info = nodes.select("node", "n", "sketch")
-    for first, last in ROUNDS:
-        own = buckets.where((F.col("band") >= int(first * bands)) & (F.col("band") < int(last * bands)) & (F.col("node") != F.col("leader")))
-        stars = own.select("node", "leader").distinct()
-        stars = _with_comp(stars, comps)
-        if comps is not None:
-            led = comps.select(F.col("node").alias("leader"), F.col("comp").alias("led"))
-            stars = stars.join(led, "leader", "left").where(F.col("comp") != F.coalesce("led", "leader"))
-        x = stars.select("node", "leader").join(node_info, "node").alias("x")
-        pairs = x.join(node_info.withColumnRenamed("node", "head").alias("y"), F.col("x.leader") == F.col("y.head")).where(like)
-        pairs = pairs.select(F.col("x.leader").alias("a"), F.col("x.node").alias("b"))
-        merge(materialise(confirmed(pairs, sets, threshold), "links"))
-    placed = _with_comp(buckets.select("key", "node", "n", "sketch"), comps)
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    rest = materialise(placed.join(mixed.select("key", "largest"), "key"), "mixed-buckets")
+    for k in range(STAR_ROUNDS):
+        x = mixed_buckets(buckets, comps)
+        leader = F.min_by(F.struct("node", "n", "sketch", "comp"), F.xxhash64("node", "key", F.lit(k))).alias("leader")
+        leaders = x.groupBy("key").agg(leader).select("key", "leader.*")
+        pairs = x.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & like)
+        merge(pairs)
+    rest = mixed_buckets(buckets, comps)
     x, y = rest.where("comp <> largest").alias("x"), rest.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, meet & like).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    merge(materialise(confirmed(pairs, sets, threshold), "links"))
+    other = (F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+    merge(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & other & like))
     known = _with_comp(sigs.where("node IS NOT NULL").select("doc_id", "n", "node"), comps)
     named = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = known.join(named, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

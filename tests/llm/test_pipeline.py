@@ -14,7 +14,7 @@ def kept(spark):
     """Planted cases beside the driver's documents, and every stage's output."""
     rng = random.Random(9)
     base = documents(spark, "/root/testdata/sf0.01")
-    words = [w for t in base.where("lang = 'en'").limit(40).toPandas().text for w in t.split() if w.isalpha()]
+    words = [w for t in base.where("lang = 'en'").limit(40).toPandas().text for w in t.split() if w.isalpha() and w.isascii()]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passage, article = text(80), text(200)
     near = article.split()
