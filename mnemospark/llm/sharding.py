@@ -71,7 +71,7 @@ def grants(histogram: list[tuple[int, int, int, int]], room: list[int]) -> dict[
     swap = {(i, j): min(n, total.get((j, i), 0)) for (i, j), n in total.items()}
 
     def largest(pair: tuple[int, int], allowed: int) -> None:
-        held = 0
+        held = cut[pair] = 0
         for order, n in sorted(asked[pair]):
             if held + n > allowed:
                 break
@@ -104,8 +104,7 @@ def grants(histogram: list[tuple[int, int, int, int]], room: list[int]) -> dict[
         if not bad:
             return cut
         p = max((p for p in asked if p[1] == bad[0] and granted[p]), key=lambda p: granted[p])
-        cut[p], allowed = 0, max(0, granted[p] - (net[bad[0]] - room[bad[0]]))
-        largest(p, allowed)
+        largest(p, max(0, granted[p] - (net[bad[0]] - room[bad[0]])))
 
 
 def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
