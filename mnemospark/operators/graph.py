@@ -1,7 +1,9 @@
 """Traversal over edge tables (src, dst, rel_type, confidence), level by level.
 
 Each level is one join of the frontier with the edges; (node, hops) is kept
-distinct, so walks that meet do not multiply. Bounds are the callers' hops.
+distinct, so walks that meet do not multiply. A level is a stored table, so a
+deep walk neither recomputes the levels before it nor loses them with an
+executor. Bounds are the callers' hops.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.storage import cut
+
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     """Edges to follow from `src`: out, in, or both."""
@@ -23,15 +27,19 @@ def reach(edges: DataFrame, start: DataFrame, max_hops: int, direction: str = "o
 
     start: one column, node.
     """
-    steps = directed(edges, direction).select("src", "dst").distinct()
+    steps = cut(directed(edges, direction).select("src", "dst").distinct(), "steps") if max_hops > 2 else directed(edges, direction).select("src", "dst").distinct()
     frontier, found = start.select("node").distinct(), []
     for hop in range(1, max_hops + 1):
         frontier = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         if found:  # a node reached earlier leads nowhere that is not known already
-            known = reduce(DataFrame.unionByName, found).select("node")
-            frontier = frontier.join(known, "node", "left_anti")
-        found.append(frontier.withColumn("hops", F.lit(hop)))
-    return reduce(DataFrame.unionByName, found)
+            frontier = frontier.join(reduce(DataFrame.unionByName, found), "node", "left_anti")
+        frontier = cut(frontier, "frontier")
+        if frontier.isEmpty():
+            break
+        found.append(frontier)
+    if not found:
+        return frontier.select("node", F.lit(0).alias("hops"))
+    return reduce(DataFrame.unionByName, [f.select("node", F.lit(k).alias("hops")) for k, f in enumerate(found, 1)])
 
 
 def permitted(edges: DataFrame, entry: str, tier: str, policies: DataFrame, max_hops: int = 5, rel_types: tuple[str, ...] = ("INVOKES", "REQUIRES")) -> DataFrame:
@@ -48,7 +56,7 @@ def permitted(edges: DataFrame, entry: str, tier: str, policies: DataFrame, max_
     found = []
     for hop in range(1, max_hops + 1):
         moved = level.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.bool_or("blocked").alias("through"))
-        level = moved.join(bad, "node", "left").select("node", (F.col("through") | F.coalesce("bad", F.lit(False))).alias("blocked"))
+        level = cut(moved.join(bad, "node", "left").select("node", (F.col("through") | F.coalesce("bad", F.lit(False))).alias("blocked")), "level")
         found.append(level.where("NOT blocked").select("node", F.lit(hop).alias("hops")))
     return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("hops").alias("hops"))
 
@@ -63,10 +71,10 @@ def explore(edges: DataFrame, start: str, max_depth: int, direction: str = "out"
         ahead = level.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("parent"), F.concat("path", F.array("dst")).alias("path"), (F.col("total") + F.col("w")).alias("total"))
         ahead = ahead.join(reduce(DataFrame.unionByName, found).select("node"), "node", "left_anti")
         first = ahead.groupBy("node").agg(F.min_by(F.struct("parent", "path", "total"), "parent").alias("f"))
-        level = first.select("node", F.lit(depth).alias("depth"), "f.parent", "f.path", "f.total")
+        level = cut(first.select("node", F.lit(depth).alias("depth"), "f.parent", "f.path", "f.total"), "level")
         found.append(level)
     every = reduce(DataFrame.unionByName, found)
-    return every.where("depth > 0").select("node", "depth", "parent", "path", F.round(F.col("total") / F.col("depth"), 3).alias("path_strength"))
+    return every.where("depth > 0").select("node", "depth", "parent", "path", F.round(F.try_divide("total", "depth"), 3).alias("path_strength"))
 
 
 def has_cycle_through(edges: DataFrame, source: str, target: str, max_hops: int = 10) -> DataFrame:
