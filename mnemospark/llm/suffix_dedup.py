@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm._common import materialise
@@ -93,36 +93,49 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text and doc: a key of both, so that rows repeated as they are count as one document."""
+    """doc_id, text and doc: a key of the text, so that equal texts are worked on once."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.withColumn("doc", F.xxhash64("doc_id", "text"))
+    return text.withColumn("doc", F.xxhash64("text"))
 
 
 def retained(docs: DataFrame) -> DataFrame:
-    """suffix (hash of its first GRAM words), doc and place of every retained suffix; a stored table."""
+    """suffix (hash of its first GRAM words), doc and place of every retained suffix; a stored table.
+
+    Of equal suffixes in one text the first is kept. Each row of docs with
+    LEAST words or more adds a head: suffix null, place its count of words,
+    and doc_id and the characters begin, end of its words.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for part in _rows(batches):
-            suffix, doc, place = [], [], []
-            for d, text in zip(part.doc, part.text, strict=True):
-                grams = rolling(hashes(text), GRAM, _BASES[0])
+            suffix, place, head = [], [], []
+            for i, text in enumerate(part.text):
+                words = hashes(text)
+                grams = rolling(words, GRAM, _BASES[0])
                 at = minimisers(grams)
-                suffix.append(grams[at].view(np.int64))
-                place.append(at.astype(np.int32))
-                doc.append(np.full(len(at), d, np.int64))
-            yield pd.DataFrame({"suffix": np.concatenate(suffix), "doc": np.concatenate(doc), "place": np.concatenate(place)})
+                kinds, first = np.unique(grams[at], return_index=True)
+                suffix.append(kinds.view(np.int64))
+                place.append(at[first].astype(np.int32))
+                if len(words) >= LEAST:
+                    head.append((i, len(words), len(text) - len(text.lstrip()), len(text.rstrip())))
+            rows = np.repeat(part.doc.to_numpy(), [len(x) for x in suffix])
+            yield pd.DataFrame({"suffix": pd.array(np.concatenate(suffix), "Int64"), "doc": rows, "place": np.concatenate(place), "doc_id": pd.array([None], "Int64").repeat(len(rows)), "begin": 0, "end": 0})
+            if head:
+                at, n, begin, end = (np.array(x) for x in zip(*head, strict=True))
+                yield pd.DataFrame({"suffix": pd.array([None], "Int64").repeat(len(at)), "doc": part.doc.to_numpy()[at], "place": n, "doc_id": part.doc_id.astype("Int64").array[at], "begin": begin, "end": end})
 
-    return materialise(_texts(docs).select("doc", "text").mapInPandas(run, "suffix long, doc long, place int"), "suffixes")
+    return materialise(_texts(docs).mapInPandas(run, "suffix long, doc long, place int, doc_id long, begin int, end int"), "suffixes")
 
 
 def repeated(suffixes: DataFrame) -> DataFrame:
-    """doc and place of the suffixes that another suffix equals in its first GRAM words.
+    """doc and place of the suffixes that a suffix of another text equals in its first GRAM words.
 
     Sorted over the cluster by suffix, doc and place; each is compared with
-    the ones before and after it. The first and last suffix of a range are
-    passed on unless they have an equal beside them, and are looked up among
-    the (few) edges of the other ranges.
+    the ones before and after it. A text that has a suffix several times
+    (copies) may give one row for it or more. The first and last suffix of a
+    range are passed on unless they have an equal beside them, and are looked
+    up among the (few) edges of the other ranges.
     """
     from pyspark import TaskContext
 
@@ -133,8 +146,8 @@ def repeated(suffixes: DataFrame) -> DataFrame:
         for batch in batches:
             frame = batch.assign(paired=False, task=task)
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            s, paired = frame["suffix"].to_numpy(), frame["paired"].to_numpy(bool).copy()
-            same = s[1:] == s[:-1]
+            s, d, paired = frame["suffix"].to_numpy(), frame["doc"].to_numpy(), frame["paired"].to_numpy(bool).copy()
+            same = (s[1:] == s[:-1]) & (d[1:] != d[:-1])
             paired[1:] |= same
             paired[:-1] |= same
             frame["paired"] = paired
@@ -149,14 +162,22 @@ def repeated(suffixes: DataFrame) -> DataFrame:
     ordered = suffixes.repartitionByRange("suffix", "doc", "place").sortWithinPartitions("suffix", "doc", "place")
     found = materialise(ordered.mapInPandas(compare, "suffix long, doc long, place int, paired boolean, task int"), "neighbours")
     lone = found.where("NOT paired").select("suffix").distinct()  # two a range at most
-    across = found.join(lone, "suffix", "left_semi").groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
+    across = found.join(lone, "suffix", "left_semi").groupBy("suffix").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("suffix")
     matched = found.where("NOT paired").join(across, "suffix", "left_semi")
     return found.where("paired").unionByName(matched).select("doc", "place")
 
 
-def passages(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Extend: h1, h2, doc_id, doc, start (word) and the characters begin, end of every passage of LEAST words around an anchor."""
-    grouped = anchors.groupBy("doc").agg(F.collect_list("place").alias("places"))  # as long as a document's text at most
+def _order() -> Column:
+    """Documents in the order in which they keep what they share: by id, those without one last."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "doc")
+
+
+def passages(docs: DataFrame, anchors: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Extend: h1, h2, doc_id, doc, start (word) and the characters begin, end of every passage of LEAST words around an anchor.
+
+    Of rows with equal texts only the first (firsts: doc, first_id) is read.
+    """
+    grouped = anchors.groupBy("doc").agg(F.collect_set("place").alias("places")).join(firsts, "doc")  # as long as a document's text at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -164,7 +185,9 @@ def passages(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             out = []
             for doc_id, doc, text, places in zip(part.doc_id.astype("Int64"), part.doc, part.text, part.places, strict=True):
                 words = hashes(text)
-                reach = np.asarray(places)[:, None] - np.arange(WINDOW)
+                grams = rolling(words, GRAM, _BASES[0])
+                every = np.flatnonzero(np.isin(grams, grams[np.asarray(places)]))
+                reach = every[:, None] - np.arange(WINDOW)
                 at = np.unique(reach[(reach >= 0) & (reach + LEAST <= len(words))])
                 bounds = np.array([m.span() for m in _WORD.finditer(text)], np.int32)
                 if len(bounds) != len(words):  # separators on which the two kinds of white space differ
@@ -173,8 +196,9 @@ def passages(docs: DataFrame, anchors: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"h1": h1, "h2": h2, "doc_id": pd.array([doc_id] * len(at), "Int64"), "doc": doc, "start": at.astype(np.int32), "begin": bounds[at, 0], "end": bounds[at + LEAST - 1, 1]}))
             yield pd.concat(out, ignore_index=True)
 
-    joined = _texts(docs).join(grouped, "doc").select("doc_id", "doc", "text", "places")
-    return materialise(joined.mapInPandas(run, "h1 long, h2 long, doc_id long, doc long, start int, begin int, end int"), "passages")
+    texts = _texts(docs).alias("t")
+    joined = texts.join(grouped.alias("g"), (F.col("t.doc") == F.col("g.doc")) & F.col("t.doc_id").eqNullSafe(F.col("g.first_id")))
+    return materialise(joined.select("t.doc_id", "t.doc", "text", "places").mapInPandas(run, "h1 long, h2 long, doc_id long, doc long, start int, begin int, end int"), "passages")
 
 
 def _spans(text: str) -> np.ndarray:
@@ -186,22 +210,26 @@ def _spans(text: str) -> np.ndarray:
     return np.array(out, np.int32).reshape(-1, 2)
 
 
-_SPANS = "doc_id long, doc long, start_word int, n_words int, begin int, end int, first_doc_ids array<long>"
+_SPANS = "doc_id long, doc long, start_word int, n_words int, begin int, end int, first_doc_ids array<long>, windows int"
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """The spans of docs that repeat what a document with a smaller id has, LEAST words or more.
 
-    doc_id, doc, start_word, n_words, begin, end (characters) and
-    first_doc_ids: the ids of the documents where the passages occur first.
-    Of documents without an id or with one id, the order of a text hash
-    decides. Null, empty and shorter texts have no spans; passages that
-    repeat only within one document are left alone.
+    doc_id, doc (a key of the text), start_word, n_words, begin, end
+    (characters) and first_doc_ids: the ids of the documents where the
+    passages occur first. Of equal texts the one with the smallest id is
+    compared with other texts; the others repeat it from end to end. Documents
+    without an id come last, and then the order of a text hash decides; rows
+    repeated as they are count as one document. Null, empty and shorter texts
+    have no spans; passages that repeat only within one document are left alone.
     """
-    found = passages(docs, repeated(retained(docs)))
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "doc")
-    firsts = found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first.doc <> last.doc")
-    again = found.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("first.doc") != F.col("doc"))
+    table = retained(docs)
+    heads = table.where("suffix IS NULL").select("doc", "doc_id", F.col("place").alias("n_words"), "begin", "end")
+    firsts = heads.groupBy("doc").agg(F.min(_order()).alias("first")).select("doc", F.col("first.doc_id").alias("first_id"))
+    found = passages(docs, repeated(table.where("suffix IS NOT NULL").select("suffix", "doc", "place")), firsts)
+    shared = found.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most")
+    again = found.join(shared.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("first.doc") != F.col("doc"))
     by_doc = again.groupBy("doc", "doc_id").agg(F.collect_set(F.struct("start", "begin", "end", F.col("first.doc_id").alias("first_id"))).alias("parts"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,13 +241,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     if spans and p["start"] <= spans[-1][1]:
                         spans[-1][1], spans[-1][3] = p["start"] + LEAST, max(spans[-1][3], p["end"])
                     else:
-                        spans.append([p["start"], p["start"] + LEAST, p["begin"], p["end"], set()])
+                        spans.append([p["start"], p["start"] + LEAST, p["begin"], p["end"], set(), set()])
+                    spans[-1][5].add(p["start"])
                     if p["first_id"] is not None:
                         spans[-1][4].add(p["first_id"])
-                out += [(doc_id, doc, a, b - a, begin, end, sorted(ids)) for a, b, begin, end, ids in spans]
+                out += [(doc_id, doc, a, b - a, begin, end, sorted(ids), len(starts)) for a, b, begin, end, ids, starts in spans]
             yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in _SPANS.split(", ")]).astype({"doc_id": "Int64"})
 
-    return by_doc.mapInPandas(merge, _SPANS)
+    spans = materialise(by_doc.mapInPandas(merge, _SPANS), "spans")
+    # Copies: their passages occur first where those of the first of them do, or in it.
+    known = spans.groupBy("doc").agg(F.flatten(F.collect_list("first_doc_ids")).alias("ids"), F.sum("windows").alias("windows"))
+    copies = heads.join(firsts, "doc").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).distinct().join(known, "doc", "left")
+    none = F.array().cast("array<bigint>")
+    own = F.when(F.coalesce("windows", F.lit(0)) < F.col("n_words") - LEAST + 1, F.array("first_id")).otherwise(none)
+    ids = F.array_sort(F.array_distinct(F.concat(F.coalesce("ids", none), own)))
+    whole = copies.select("doc_id", "doc", F.lit(0).alias("start_word"), "n_words", "begin", "end", ids.alias("first_doc_ids"))
+    return spans.drop("windows").unionByName(whole)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -229,9 +266,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     that were cut. Null and empty texts stay as they are.
     """
     names = docs.columns
-    spans = repeated_spans(docs).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("cut_spans"))
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("kept_row"), F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))).alias("doc"))
-    joined = keyed.join(spans, "doc", "left")
+    spans = repeated_spans(docs).groupBy("doc", F.col("doc_id").alias("span_id")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("cut_spans"))
+    doc_id = docs["doc_id"].cast("long")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("kept_row"), doc_id.alias("row_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_doc"))
+    joined = keyed.join(spans, (F.col("row_doc") == F.col("doc")) & F.col("row_id").eqNullSafe(F.col("span_id")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
