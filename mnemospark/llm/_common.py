@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -9,6 +11,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Arrow batches hold so many bytes at most (and one row at least): texts differ in length by orders of magnitude.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches; by default they hold ten thousand rows, however long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def trimmed(run):
+    """run (an iterator function of a Python task), returning freed memory to the system at its end.
+
+    Python workers are used again by later stages; without this each keeps
+    the most that any stage has needed.
+    """
+
+    @functools.wraps(run)
+    def outer(batches):
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return outer
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: spark.checkpoint.dir.
 
@@ -33,12 +66,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage durably."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

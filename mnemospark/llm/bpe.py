@@ -25,6 +25,8 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm._common import trimmed
+
 #: Pieces that a task's memo holds at most.
 MEMO_PIECES = 400_000
 #: Texts are encoded in groups of at least this many characters.
@@ -243,7 +245,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for part in grouped(batches):
             yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "ids": [x.astype(np.int32) for x in bpe.encode_batch(part.text)]})
 
-    return _texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInPandas(trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -255,7 +257,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = ["" if ids is None else bpe.decode(np.asarray(ids)) for ids in part.ids]
             yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(trimmed(run), "doc_id long, text string")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -282,4 +284,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 "decoded_sha256": [sha(bpe.decode(x)) for x in ids],
             })
 
-    return _texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs, id_col, text_col).mapInPandas(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

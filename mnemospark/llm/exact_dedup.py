@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import fold_ascii, materialise
+from mnemospark.llm._common import fold_ascii, materialise, trimmed
 
 #: A map task hands on what it has combined when its texts reach this many bytes.
 COMBINE_BYTES = 32 << 20
@@ -138,7 +138,7 @@ def build_index(docs: DataFrame, bucket_capacity: int = 4096, id_col: str = "doc
     """
     rows = keyed(docs, id_col, text_col)
     entries = rows.select("key", "digest", "text", F.col("doc_id").alias("max_id"), F.lit(1).cast("long").alias("n")).mapInPandas(
-        _combine, "key long, digest string, text string, max_id long, n long"
+        trimmed(_combine), "key long, digest string, text string, max_id long, n long"
     )
     total = docs.count()
     finest = min(MAX_DEPTH, max(1, (2 * total // bucket_capacity).bit_length() + 2))
@@ -157,7 +157,7 @@ def build_index(docs: DataFrame, bucket_capacity: int = 4096, id_col: str = "doc
         placed.repartition("bucket")
         .sortWithinPartitions("bucket", "key")
         .select("bucket", "key", "digest", "text", "max_id", "n")
-        .mapInPandas(_own, "bucket int, key long, chain int, digest string, keep_id long, group_size long")
+        .mapInPandas(trimmed(_own), "bucket int, key long, chain int, digest string, keep_id long, group_size long")
     )
     return materialise(owned, "exact-index")
 

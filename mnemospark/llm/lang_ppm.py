@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm._common import bound_batches, trimmed
+
 MAX_ORDER = 4
 #: The sample bound: bytes of training text a language; longer texts than an eighth of it are not trained on.
 TRAIN_BYTES = 512 << 10
@@ -202,6 +204,7 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id",
     Grams are counted on Spark; the model has at most MAX_ORDER + 1 grams for
     each sampled byte, which bounds what the driver and tasks hold.
     """
+    bound_batches(docs.sparkSession)
     size = F.octet_length("text")
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= max(1, train_bytes // 8)))
@@ -224,7 +227,7 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id",
     threshold = F.create_map(*[F.lit(x) for lang in langs for x in (lang, chosen[lang])])
     index = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     sample = rows.where(F.col("level") >= threshold[F.col("lang")]).select(index[F.col("lang")].alias("lang"), "text")
-    counted = sample.mapInPandas(_count, "lang int, ord int, key long, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
+    counted = sample.mapInPandas(trimmed(_count), "lang int, ord int, key long, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
     return PpmModel(langs, counted.toPandas())
 
 
@@ -236,6 +239,7 @@ def predict(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
     from, all are `und`. Repeated rows give repeated results.
     """
     keep = [id_col] if keep is None else keep
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
 
@@ -254,7 +258,7 @@ def predict(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
             rows += frozen.predict(group)
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "bits_per_byte", "rejected"]).astype({"bits_per_byte": "float64"})
 
-    guess = F.pandas_udf("lang_pred string, score double, bits_per_byte double, rejected boolean")(run)
+    guess = F.pandas_udf("lang_pred string, score double, bits_per_byte double, rejected boolean")(trimmed(run))
     out = schema.withColumn("guess", guess("text"))
     return out.select(*[F.col(f"row.{c}").alias(c) for c in keep], "guess.*")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise
+from mnemospark.llm._common import materialise, trimmed
 
 COORDINATES = 128
 MISS = 1e-6
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                     out.append((doc, len(s), node_of(s), parity_sketch(s), np.array(hashes, np.uint64).view(np.int64)))
                 yield pd.DataFrame(out, columns=["doc_id", "n", "node", "sketch", "bands"]).astype({"doc_id": "Int64"})
 
-    return materialise(_texts(docs).mapInPandas(run, "doc_id long, n long, node binary, sketch array<long>, bands array<long>"), "signatures")
+    return materialise(_texts(docs).mapInPandas(trimmed(run), "doc_id long, n long, node binary, sketch array<long>, bands array<long>"), "signatures")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     texts = _texts(docs)
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
-    sets = chosen.mapInPandas(run, "node binary, shingles binary")
+    sets = chosen.mapInPandas(trimmed(run), "node binary, shingles binary")
     return materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets", "uncompressed")
 
 
@@ -191,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 hit.append(d * common >= n * (len(p) + len(q) - common))
             yield batch.loc[hit, ["a", "b"]]
 
-    return both.mapInPandas(run, "a binary, b binary")
+    return both.mapInPandas(trimmed(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise
+from mnemospark.llm._common import materialise, trimmed
 
 #: Fixed values of the format.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0x0000
@@ -281,7 +281,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "n_bytes": [n for n, _ in rows], "media": [mux(p) for _, p in rows]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialise(texts.mapInPandas(run, "doc_id long, n_bytes long, media binary"), "media")
+    return materialise(texts.mapInPandas(trimmed(run), "doc_id long, n_bytes long, media binary"), "media")
 
 
 def digest(stored: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def digest(stored: DataFrame) -> DataFrame:
             names = [f.strip().split(" ")[0] for f in _DIGEST.split(",")]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, _DIGEST)
+    return stored.select("doc_id", "n_bytes", "media").mapInPandas(trimmed(run), _DIGEST)
 
 
 _DIGEST = (
@@ -321,4 +321,4 @@ def access_units(stored: DataFrame) -> DataFrame:
                 rows = [(d, i, *u) for d, m in zip(part.doc_id.astype("Int64"), part.media, strict=True) for i, u in enumerate(parse(m or b"").units)]
                 yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "pts": "Int64"})
 
-    return stored.select("doc_id", "media").mapInPandas(run, "doc_id long, unit int, pts long, payload_offset long, packet long, random_access boolean")
+    return stored.select("doc_id", "media").mapInPandas(trimmed(run), "doc_id long, unit int, pts long, payload_offset long, packet long, random_access boolean")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import gapless_rank, materialise
+from mnemospark.llm._common import gapless_rank, materialise, trimmed
 from mnemospark.llm.bpe import grouped, tokenizer
 
 CAPACITY = 2048
@@ -188,7 +188,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, schema)
+    return texts.mapInPandas(trimmed(run), schema)
 
 
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

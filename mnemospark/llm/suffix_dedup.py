@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise
+from mnemospark.llm._common import materialise, trimmed
 
 GRAM, WINDOW = 26, 25
 LEAST = GRAM + WINDOW - 1
@@ -125,7 +125,7 @@ def retained(docs: DataFrame) -> DataFrame:
                 at, n, begin, end = (np.array(x) for x in zip(*head, strict=True))
                 yield pd.DataFrame({"suffix": pd.array([None], "Int64").repeat(len(at)), "doc": part.doc.to_numpy()[at], "place": n, "doc_id": part.doc_id.astype("Int64").array[at], "begin": begin, "end": end})
 
-    return materialise(_texts(docs).mapInPandas(run, "suffix long, doc long, place int, doc_id long, begin int, end int"), "suffixes")
+    return materialise(_texts(docs).mapInPandas(trimmed(run), "suffix long, doc long, place int, doc_id long, begin int, end int"), "suffixes")
 
 
 def repeated(suffixes: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def repeated(suffixes: DataFrame) -> DataFrame:
             yield held[names]
 
     ordered = suffixes.repartitionByRange("suffix", "doc", "place").sortWithinPartitions("suffix", "doc", "place")
-    found = materialise(ordered.mapInPandas(compare, "suffix long, doc long, place int, paired boolean, task int"), "neighbours")
+    found = materialise(ordered.mapInPandas(trimmed(compare), "suffix long, doc long, place int, paired boolean, task int"), "neighbours")
     lone = found.where("NOT paired").select("suffix").distinct()  # two a range at most
     across = found.join(lone, "suffix", "left_semi").groupBy("suffix").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("suffix")
     matched = found.where("NOT paired").join(across, "suffix", "left_semi")
@@ -198,7 +198,7 @@ def passages(docs: DataFrame, anchors: DataFrame, firsts: DataFrame) -> DataFram
 
     texts = _texts(docs).alias("t")
     joined = texts.join(grouped.alias("g"), (F.col("t.doc") == F.col("g.doc")) & F.col("t.doc_id").eqNullSafe(F.col("g.first_id")))
-    return materialise(joined.select("t.doc_id", "t.doc", "text", "places").mapInPandas(run, "h1 long, h2 long, doc_id long, doc long, start int, begin int, end int"), "passages")
+    return materialise(joined.select("t.doc_id", "t.doc", "text", "places").mapInPandas(trimmed(run), "h1 long, h2 long, doc_id long, doc long, start int, begin int, end int"), "passages")
 
 
 def _spans(text: str) -> np.ndarray:
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 out += [(doc_id, doc, a, b - a, begin, end, sorted(ids), len(starts)) for a, b, begin, end, ids, starts in spans]
             yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in _SPANS.split(", ")]).astype({"doc_id": "Int64"})
 
-    spans = materialise(by_doc.mapInPandas(merge, _SPANS), "spans")
+    spans = materialise(by_doc.mapInPandas(trimmed(merge), _SPANS), "spans")
     # Copies: their passages occur first where those of the first of them do, or in it.
     known = spans.groupBy("doc").agg(F.flatten(F.collect_list("first_doc_ids")).alias("ids"), F.sum("windows").alias("windows"))
     copies = heads.join(firsts, "doc").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).distinct().join(known, "doc", "left")

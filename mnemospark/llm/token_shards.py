@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, open_fs, shared_path
+from mnemospark.llm._common import materialise, open_fs, shared_path, trimmed
 from mnemospark.llm.bpe import grouped, tokenizer
 
 MAGIC = b"MNSHARD1"
@@ -133,7 +133,7 @@ def sequences(docs: DataFrame, path: str, key: int, tokens: int = SEQUENCE_TOKEN
             shard = [t * shards // feistel.domain for t in ticket.tolist()]
             yield pd.DataFrame({"ticket": ticket, "doc_id": pd.array(doc_ids, "Int64"), "piece": piece, "ids": ids, "shard": shard})
 
-    return texts.mapInPandas(run, "ticket long, doc_id long, piece int, ids binary, shard int"), shards
+    return texts.mapInPandas(trimmed(run), "ticket long, doc_id long, piece int, ids binary, shard int"), shards
 
 
 def write_shards(rows: DataFrame, shards: int, folder: str, tokens: int = SEQUENCE_TOKENS) -> DataFrame:
@@ -174,7 +174,7 @@ def write_shards(rows: DataFrame, shards: int, folder: str, tokens: int = SEQUEN
             yield close()
 
     ranges = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "ticket", "doc_id", "piece", "ids")
-    written = materialise(ranges.mapInPandas(run, "shard int, file string, records long"), "shard-manifest")
+    written = materialise(ranges.mapInPandas(trimmed(run), "shard int, file string, records long"), "shard-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return written.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0)))
 
@@ -206,7 +206,7 @@ def read_shards(manifest: DataFrame, start_slot: int = 0) -> DataFrame:
                     at += len(block)
 
     spread = manifest.repartition(max(1, manifest.count()))
-    return spread.mapInPandas(run, "slot long, shard int, doc_id long, piece int, length long, ids_crc32 long, ticket long")
+    return spread.mapInPandas(trimmed(run), "slot long, shard int, doc_id long, piece int, length long, ids_crc32 long, ticket long")
 
 
 def training_order(docs: DataFrame, path: str, key: int, tokens: int = SEQUENCE_TOKENS, shard_text_bytes: int = SHARD_TEXT_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, open_fs, shared_path
+from mnemospark.llm._common import materialise, open_fs, shared_path, trimmed
 
 #: The skippable frame that carries a dictionary (a fixed value of the format).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -155,7 +155,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 return
             yield write(first, stream)
 
-    return materialise(records.select("page_id", "url", "html", "refers_to", "revisit").mapInPandas(run, "archive string, n_records long, size long"), "warc-manifest")
+    return materialise(records.select("page_id", "url", "html", "refers_to", "revisit").mapInPandas(trimmed(run), "archive string, n_records long, size long"), "warc-manifest")
 
 
 def read_stream(file) -> Iterator[dict]:
@@ -220,7 +220,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     spread = manifest.repartition(max(1, manifest.count()))  # an archive a task: its rows say nothing of its bytes
-    return spread.mapInPandas(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
+    return spread.mapInPandas(trimmed(run), "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
