@@ -51,7 +51,7 @@ def percent_change(base: Column, new: Column) -> Column:
     """The change in percent as text; from zero it is +inf, -inf or +0.0%, without either N/A."""
     change = F.try_divide((new - base) * 100, F.abs(base))
     text = F.when(base.isNull() | new.isNull(), "N/A").when((base == 0) & (new == 0), "+0.0%").when(base == 0, F.when(new > 0, "+inf").otherwise("-inf"))
-    return text.otherwise(F.format_string("%+.1f%%", change))
+    return text.otherwise(F.format_string("%+.1f%%", F.bround(change, 1)))  # ties to even
 
 
 def running_overlap(tasks: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ def regular(series: DataFrame, max_cv: float = 0.30, instances: int = 3) -> Data
 
 
 def rising(counts: DataFrame, least: int = 4) -> DataFrame:
-    """Items used more and more: key, n, slope (least squares over the session's ordinal), last, mean. counts: key, started_at, n_messages."""
+    """Items used more and more (a slope over rounding noise): key, n, slope (least squares over the session's ordinal), last, mean. counts: key, started_at, n_messages."""
     w = Window.partitionBy("key").orderBy("started_at")
     x = counts.withColumn("ordinal", (F.row_number().over(w) - 1).cast("double"))
     y = F.col("n_messages").cast("double")
     g = x.groupBy("key").agg(F.count("*").alias("n"), F.regr_slope(y, F.col("ordinal")).alias("slope"), F.max_by("n_messages", "ordinal").alias("last"), F.avg(y).alias("mean"))
-    return g.where((F.col("n") >= least) & (F.col("slope") > 0) & (F.col("last") > F.col("mean")))
+    return g.where((F.col("n") >= least) & (F.round("slope", 9) > 0) & (F.col("last") > F.col("mean")))
 
 
 def before_failures(steps: DataFrame, least: int) -> DataFrame:

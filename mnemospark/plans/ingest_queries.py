@@ -17,7 +17,7 @@ _DATASET = {
     "dataset_window": ("orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM data"),
     "dataset_join": ("orders", "SELECT a.o_orderkey AS a, count(*) AS n FROM data a JOIN data b ON a.o_custkey = b.o_custkey AND b.o_totalprice > a.o_totalprice GROUP BY a.o_orderkey"),
     "dataset_setop": ("lineitem", "SELECT l_suppkey, l_returnflag FROM data WHERE l_quantity > 45 INTERSECT SELECT l_suppkey, l_returnflag FROM data WHERE l_quantity < 3"),
-    "dataset_except": ("lineitem", "SELECT l_partkey FROM data EXCEPT SELECT l_partkey FROM data WHERE l_returnflag = 'A'"),
+    "dataset_except": ("lineitem", "SELECT l_partkey FROM data EXCEPT SELECT l_partkey FROM data WHERE l_quantity > 48"),
     "dataset_cte": ("customer", "WITH m AS (SELECT c_nationkey, max(c_acctbal) AS most FROM data GROUP BY c_nationkey) SELECT c_custkey, m.most FROM data JOIN m ON data.c_nationkey = m.c_nationkey AND c_acctbal = most"),
     "dataset_rollup": ("lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM data GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
 }

@@ -147,7 +147,7 @@ SELECT key, n, round(m, 3) AS mean_gap, round(s / m, 5) AS cv FROM a WHERE n >=
     "pattern_frequency": """WITH c AS (SELECT user_id || ':' || event_type AS key, CAST(ts AS DATE) AS d, count(*) AS y FROM events GROUP BY ALL
 ), x AS (SELECT key, y, row_number() OVER (PARTITION BY key ORDER BY d) - 1 AS x FROM c
 ), g AS (SELECT key, count(*) AS n, regr_slope(y, x) AS slope, max_by(y, x) AS last, avg(y) AS mean FROM x GROUP BY key)
-SELECT key, n, round(slope, 6) AS slope, last, round(mean, 6) AS mean FROM g WHERE n >= 4 AND slope > 0 AND last > mean""",
+SELECT key, n, round(slope, 6) AS slope, last, round(mean, 6) AS mean FROM g WHERE n >= 4 AND round(g.slope, 9) > 0 AND last > g.mean""",
     "pattern_sequence": """WITH w AS (SELECT lag(event_type, 2) OVER s AS a, lag(event_type, 1) OVER s AS b, event_type AS c FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT a AS first, b AS second, c AS failed, count(*) AS n FROM w WHERE c = 'error' AND a IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 3""",
     "pattern_dedupe": """SELECT DISTINCT event_type || (user_id % 5) AS trigger FROM events WHERE user_id % 9 <> 0

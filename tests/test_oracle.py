@@ -1,13 +1,14 @@
 """Every query of the engine's own catalogue against its SQL, over whole tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from mnemospark.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
