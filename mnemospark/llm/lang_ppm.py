@@ -16,7 +16,10 @@ other than letters as one space: digits and punctuation tell nothing about the
 language, and a spell of them would drown what the letters say.
 
 The trees are fitted on a sample of labelled rows of at most about
-TRAIN_BYTES a language; everything else reads every whole text.
+TRAIN_BYTES a language; everything else reads every whole text. Every
+labelled language is learned: longer rows are cut into pieces where the short
+ones do not fill the sample, and languages past GROUP_LANGUAGES go to further
+tables, which are scored one after the other.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import bound_batches, trimmed
+from mnemospark.llm._common import bound_batches, materialise, trimmed
 
 MAX_ORDER = 4
-#: The sample bound: bytes of training text a language; longer texts than an eighth of it are not trained on.
+#: The sample bound: bytes of training text a language. A piece of training text is an eighth of it at most.
 TRAIN_BYTES = 512 << 10
-#: Languages learned at most: those with the most training text.
-MAX_LANGUAGES = 256
+#: Languages that share one set of tables; no language is left out.
+GROUP_LANGUAGES = 256
 #: A text is in no learned language if its best model needs this many bits more than plain bytes would: odds of 2**64.
 REJECT_EXCESS = 64
 UNIT = 1 << 16
@@ -112,6 +115,7 @@ class PpmModel:
 
     def __init__(self, langs: list[str], counts: pd.DataFrame):
         self.langs, width = langs, len(langs)
+        self.parts: list[PpmModel] = []
         self.grams: list[GramTable] = []
         self.escapes: list[GramTable] = []
         below_keys, below = np.zeros(0, np.uint64), np.zeros((0, width))
@@ -136,8 +140,17 @@ class PpmModel:
             self.escapes.append(GramTable(contexts, np.rint(escape * UNIT).astype(np.int32)))
             below_keys, below = keys, costs
 
+    @classmethod
+    def joined(cls, parts: list[PpmModel]) -> PpmModel:
+        """One model of the languages of all parts, in their order. A language's code lengths do not depend on others."""
+        out = cls([], pd.DataFrame({"lang": [], "ord": [], "key": [], "n": []}, dtype="int64"))
+        out.langs, out.parts = [lang for p in parts for lang in p.langs], parts
+        return out
+
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language, in 2**-16 bits."""
+        if self.parts:
+            return np.hstack([p.lengths(texts) for p in self.parts])
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         full = [i for i, t in enumerate(texts) if t]
         if not full or not self.langs:
@@ -196,39 +209,98 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "ord": np.int32(order), "key": keys.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
-    """Fit the trees on rows that are not held out and have a text and a language.
+def _cut(chars: int):
+    """Rows (lang, h, text) as pieces of so many characters: lang, h, piece, text."""
 
-    The sample takes rows by the leading zero bits of a hash of id and text:
-    for each language the least level whose rows hold at most train_bytes.
-    Grams are counted on Spark; the model has at most MAX_ORDER + 1 grams for
-    each sampled byte, which bounds what the driver and tasks hold.
-    """
-    bound_batches(docs.sparkSession)
-    size = F.octet_length("text")
-    rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= max(1, train_bytes // 8)))
-    rows = rows.select("text", "lang", (63 - F.length(F.bin(F.shiftrightunsigned("h", 1)))).alias("level"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, h, text in zip(batch.lang, batch.h, batch.text):
+                pieces = [text[k : k + chars] for k in range(0, len(text), chars)]
+                yield pd.DataFrame({"lang": lang, "h": h, "piece": range(len(pieces)), "text": pieces})
+
+    return run
+
+
+def _levels(units: DataFrame) -> dict[str, dict[int, int]]:
+    """Bytes by language and level, equal units once: languages x 64 rows on the driver."""
     levels: dict[str, dict[int, int]] = {}
-    for r in rows.groupBy("lang", "level").agg(F.sum(size).alias("size")).collect():  # languages x 64 rows
+    for r in units.select("lang", "h", "size", "level").distinct().groupBy("lang", "level").agg(F.sum("size").alias("size")).collect():
         levels.setdefault(r["lang"], {})[r["level"]] = r["size"]
-    chosen = {}
-    for lang, sizes in sorted(levels.items(), key=lambda x: (-sum(x[1].values()), x[0]))[:MAX_LANGUAGES]:
+    return levels
+
+
+def training_sample(docs: DataFrame, train_bytes: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], DataFrame | None]:
+    """The languages in order, and their training text: lang (index), h, text."""
+    spark, size, most = docs.sparkSession, F.octet_length("text"), max(1, train_bytes // 8)
+    rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & (size > 0))
+
+    def units(frame: DataFrame) -> DataFrame:
+        return frame.select("text", "lang", "h", size.alias("size"), (63 - F.length(F.bin(F.shiftrightunsigned("h", 1)))).alias("level"))
+
+    short = rows.where(size <= most)
+    levels, every = _levels(units(short)), units(short)
+    long = rows.where(size > most)
+    poor = [r["lang"] for r in long.select("lang").distinct().collect() if sum(levels.get(r["lang"], {}).values()) < train_bytes]
+    if poor:
+        wanted = F.broadcast(spark.createDataFrame([(x,) for x in poor], "lang string"))
+        cut = long.join(wanted, "lang").select("lang", "h", "text").mapInPandas(trimmed(_cut(max(1, most // 4))), "lang string, h long, piece long, text string")
+        pieces = units(cut.select("text", "lang", F.xxhash64("h", "piece").alias("h")))
+        for lang, sizes in _levels(pieces).items():
+            held = levels.setdefault(lang, {})
+            for level, n in sizes.items():
+                held[level] = held.get(level, 0) + n
+        every = every.unionByName(pieces)
+    chosen, over = {}, []
+    for lang, sizes in levels.items():
         held, at = 0, None
         for level in sorted(sizes, reverse=True):
             held += sizes[level]
-            if held > train_bytes and at is not None:
+            if held > train_bytes:
+                if at is None:
+                    at = level
+                    over.append(lang)
                 break
             at = level
         chosen[lang] = at
     langs = sorted(chosen)
     if not langs:
+        return [], None
+    table = spark.createDataFrame([(x, i, chosen[x], x in over) for i, x in enumerate(langs)], "lang string, i int, at int, over boolean")
+    sample = every.join(F.broadcast(table), "lang").where(F.col("level") >= F.col("at")).select(F.col("i").alias("lang"), "h", "text", "over").distinct()
+    if over:  # the first level alone is over the bound: as many of its units, in order of the hash, as fit
+        before = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0)
+        first = sample.where("over").withColumn("held", F.sum(size).over(before)).where(F.col("held") <= max(train_bytes, 1)).drop("held")
+        sample = sample.where("NOT over").unionByName(first)
+    return langs, sample.drop("over")
+
+
+def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
+    """Fit the trees on rows that are not held out and have a text and a language.
+
+    The sample takes rows by the leading zero bits of a hash of id and text:
+    for each language the least level whose rows hold at most train_bytes, and
+    of a highest level that holds more as many rows as fit. Rows that are equal
+    in id and text count once. Where a language's rows of train_bytes / 8 or
+    less do not fill the sample, its longer rows join in as pieces of that size.
+    Grams are counted on Spark; the model has at most MAX_ORDER + 1 grams for
+    each sampled byte, which bounds what the driver and tasks hold for a
+    language. Past GROUP_LANGUAGES languages, each group has its own tables.
+    """
+    bound_batches(docs.sparkSession)
+    langs, sample = training_sample(docs, train_bytes, id_col, text_col, lang_col)
+    if sample is None:
         return PpmModel([], pd.DataFrame({"lang": [], "ord": [], "key": [], "n": []}, dtype="int64"))
-    threshold = F.create_map(*[F.lit(x) for lang in langs for x in (lang, chosen[lang])])
-    index = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
-    sample = rows.where(F.col("level") >= threshold[F.col("lang")]).select(index[F.col("lang")].alias("lang"), "text")
-    counted = sample.mapInPandas(trimmed(_count), "lang int, ord int, key long, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
-    return PpmModel(langs, counted.toPandas())
+    few = sample.select("lang", "text").coalesce(len(langs))  # a language's bytes a task: else each of many tasks has most grams
+    counted = few.mapInPandas(trimmed(_count), "lang int, ord int, key long, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
+    if len(langs) <= GROUP_LANGUAGES:
+        return PpmModel(langs, counted.toPandas())
+    counted = materialise(counted, "grams")
+    parts = []
+    for k in range(0, len(langs), GROUP_LANGUAGES):
+        part = counted.where(F.col("lang").between(k, k + GROUP_LANGUAGES - 1)).withColumn("lang", F.col("lang") - k)
+        parts.append(PpmModel(langs[k : k + GROUP_LANGUAGES], part.toPandas()))
+    return PpmModel.joined(parts)
 
 
 def predict(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

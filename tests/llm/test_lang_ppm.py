@@ -85,3 +85,54 @@ def test_sample_bound(spark):
     rows = [(i, "word " * 40, "en") for i in range(2000)]
     m = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_bytes=20_000)
     assert m.langs == ["en"]
+
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def sampled(monkeypatch, spark, rows, train_bytes):
+    """Bytes that order 0 of the fitted model has seen."""
+    seen = []
+    monkeypatch.setattr(lang_ppm, "PpmModel", lambda langs, counts: seen.append(counts) or PpmModel(langs, counts))
+    fit(spark.createDataFrame(rows, SCHEMA), train_bytes=train_bytes)
+    return sum(int(c[c.ord == 0].n.sum()) for c in seen)
+
+
+def test_long_rows_are_learned(spark):
+    greek = "η γάτα κοιμάται και ο ήλιος λάμπει πάνω από τη θάλασσα "
+    rows = [(i, "the cat sleeps and the sun shines " * 2, "en") for i in range(60)] + [(100 + i, greek * 400, "el") for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert fit(docs, train_bytes=4000).langs == ["el", "en"]
+    found = lang_ppm.predict(docs, fit(docs, train_bytes=4000)).collect()
+    assert all(not r.rejected and r.lang_pred == ("el" if r.doc_id >= 100 else "en") for r in found)
+
+
+def test_short_rows_that_do_not_fill_the_sample_are_joined_by_pieces(monkeypatch, spark):
+    rows = [(1, "kurz", "de")] + [(i, f"die Katze {i} schläft und die Sonne scheint " * 100, "de") for i in range(10, 20)]
+    assert 1000 < sampled(monkeypatch, spark, rows, 4000) <= 4000
+
+
+def test_null_and_repeated_ids_keep_the_bound(monkeypatch, spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    for same in (None, 8):
+        assert 1000 < sampled(monkeypatch, spark, [(same, w * 10, "en") for w in words], 8000) <= 8000
+    assert 0 < sampled(monkeypatch, spark, [(None, "the same text", "en")] * 3000, 8000) <= 8000
+
+
+def test_first_level_over_the_bound(monkeypatch, spark):
+    rows = spark.range(400).selectExpr("id AS doc_id", "'word word ' AS text", "'en' AS lang")
+    level0 = rows.where("shiftrightunsigned(xxhash64(doc_id, text), 62) >= 2 AND shiftrightunsigned(xxhash64(doc_id), 62) >= 2").collect()
+    assert len(level0) > 50
+    assert 0 < sampled(monkeypatch, spark, level0, 80) <= 80
+
+
+def test_more_languages_than_a_group(monkeypatch, spark):
+    rows = [(9 * k + i, f"{a}{b}{a} {b}{b}{a} " * 5, f"{a}{b}") for k, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr") for i in range(9)]
+    m = fit(spark.createDataFrame(rows, SCHEMA), train_bytes=2000)
+    assert len(m.langs) == 324
+    texts = {r[2]: r[1] for r in rows}
+    assert [p[0] for p in m.predict([texts[x] for x in m.langs])] == m.langs
+    monkeypatch.setattr(lang_ppm, "GROUP_LANGUAGES", 1000, raising=False)
+    one = fit(spark.createDataFrame(rows, SCHEMA), train_bytes=2000)
+    data = [folded(t) for t in list(texts.values())[:20]]
+    assert np.abs(one.lengths(data) - m.lengths(data)).max() <= 100
