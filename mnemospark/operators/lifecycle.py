@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.vec import clamp, cosine
 
+#: Candidates of a label in one round of leaders(), at most; Spark ranks so many before it deals rows out by label.
+MOST_CANDIDATES = 1000
+
 
 def decay_and_archive(nodes: DataFrame, rate: Column, days: float, below: float = 0.10) -> DataFrame:
     """strength * rate ** days; rows that fall under `below` are archived, archived ones stay so."""
@@ -97,25 +102,54 @@ def rescore(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.where(F.round(F.col("new_confidence") - F.col("confidence"), 9) >= 0.02).withColumn("promoted", F.col("new_confidence") >= 0.90)
 
 
+def _first_leaders(pairs):
+    """Of one label's pairs (a, b), a <= b, of near candidates: those that no earlier leader is near."""
+    import pandas as pd
+
+    near: dict[int, list[int]] = {}
+    for a, b in zip(pairs["a"], pairs["b"]):
+        near.setdefault(b, []).append(a)
+    found: set[int] = set()
+    for b in sorted(near):
+        if found.isdisjoint(near[b]):
+            found.add(b)
+    return pd.DataFrame({"label": [pairs["label"].iloc[0]] * len(found), "cluster": sorted(found)})
+
+
 def leaders(nodes: DataFrame, similar: float, least: int, seeds: int) -> DataFrame:
     """Greedy clusters in each label: the lowest free id is the seed, free nodes at `similar` or more to it are its members.
 
-    `seeds` seeds are tried in each label, each round one join of the nodes
-    with one seed a label; clusters of fewer than `least` are given up (their
-    seed is not tried again). Rounds are stored tables.
+    Goes on until each label has `seeds` clusters of `least` nodes or more, or
+    no free node; a smaller group is given up with all its nodes and does not
+    count. A node thus belongs to the earliest leader near it, and a leader is
+    a node that no earlier leader is near, so a round settles a block of
+    candidates a label (the lowest free ids): the leaders among them, then one
+    join of the free nodes with those leaders. Rounds are stored tables. Nodes
+    without a label, an id or a vector are in no cluster.
     """
-    from mnemospark.storage import cut
-
-    rest, found = nodes.select("node_id", "label", "v"), []
-    for _ in range(seeds):
-        seed = rest.groupBy("label").agg(F.min_by(F.struct("node_id", "v"), "node_id").alias("seed"))
-        near = rest.join(seed, "label").where((F.col("node_id") == F.col("seed.node_id")) | (cosine(F.col("v"), F.col("seed.v")) >= similar)).select("node_id", "label", F.col("seed.node_id").alias("cluster"))
-        near = cut(near, "near")
-        full = near.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-        members = near.join(full.select("cluster"), "cluster", "left_semi")
-        found.append(members)
-        used = members.select("node_id").union(near.select("cluster")).distinct()
-        rest = cut(rest.join(used, "node_id", "left_anti"), "rest")
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, found)
+    from mnemospark.storage import cut, shared_root
+
+    path = f"{shared_root(nodes.sparkSession)}/mnemospark/leaders-{uuid.uuid4().hex}"
+    kind = nodes.select("label").schema["label"].dataType.simpleString()
+    rest = nodes.where("label IS NOT NULL AND node_id IS NOT NULL AND v IS NOT NULL").select("node_id", "label", "v")
+    block, found = max(8, 4 * seeds), None
+    while found is None or not rest.isEmpty():
+        order = F.row_number().over(Window.partitionBy("label").orderBy("node_id"))
+        first = cut(rest.withColumn("rn", order).where(F.col("rn") <= block).drop("rn"), "block")
+        x, y = first.alias("x"), first.alias("y")
+        close = (F.col("x.label") == F.col("y.label")) & ((F.col("x.node_id") == F.col("y.node_id")) | (F.col("x.node_id") < F.col("y.node_id")) & (cosine(F.col("x.v"), F.col("y.v")) >= similar))
+        pairs = x.join(y, close).select("x.label", F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b"))
+        heads = cut(pairs.groupBy("label").applyInPandas(_first_leaders, f"label {kind}, cluster long"), "heads")
+        heads = first.join(heads, (first.label == heads.label) & (first.node_id == heads.cluster)).select(first.label.alias("of"), "cluster", F.col("v").alias("u"))
+        joined = rest.join(heads, (F.col("label") == F.col("of")) & ((F.col("node_id") == F.col("cluster")) | (cosine(F.col("v"), F.col("u")) >= similar)))
+        near = cut(joined.groupBy("label", "node_id").agg(F.min("cluster").alias("cluster")), "near")
+        full = near.groupBy("label", "cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+        near.join(full.select("label", "cluster"), ["label", "cluster"], "left_semi").select("node_id", "label", "cluster").write.mode("append").parquet(path)
+        found = nodes.sparkSession.read.schema(f"node_id long, label {kind}, cluster long").parquet(path)
+        heads = found.select("label", "cluster").distinct()
+        done = heads.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= seeds).select("label")
+        rest = cut(rest.join(near.select("label", "node_id"), ["label", "node_id"], "left_anti").join(done, "label", "left_anti").select("node_id", "label", "v"), "rest")
+        block = min(2 * block, MOST_CANDIDATES)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("cluster"))
+    kept = heads.withColumn("rank", rank).where(F.col("rank") <= seeds).select("label", "cluster")
+    return found.join(kept, ["label", "cluster"], "left_semi").select("node_id", "label", "cluster")

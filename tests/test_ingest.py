@@ -48,3 +48,30 @@ def test_leaders(spark):
             else:
                 rest = rest[1:]
     assert got == want
+
+
+def greedy(v, labels, similar, least, most):
+    """The reference's loop: groups under `least` are given up with all their nodes and do not count."""
+    unit, want = v / np.linalg.norm(v, axis=1)[:, None], set()
+    for label in sorted(set(labels)):
+        free, full = [i for i in range(len(v)) if labels[i] == label], 0
+        while free and full < most:
+            seed = free[0]
+            near = [i for i in free if i == seed or unit[i] @ unit[seed] >= similar]
+            free = [i for i in free if i not in near]
+            if len(near) >= least:
+                want |= {(label, seed, i) for i in near}
+                full += 1
+    return want
+
+
+@pytest.mark.parametrize("similar,least,most", [(0.6, 3, 2), (0.9, 3, 4), (0.97, 2, 3), (0.6, 1, 100)])
+def test_leaders_go_on_past_small_groups(spark, similar, least, most):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 4))
+    v[:80] = np.eye(4)[np.arange(80) % 4] * 0.01 + rng.normal(size=(80, 4)) * 10  # hardly any near nodes under the lowest ids
+    labels = [0 if i < 200 else i % 3 for i in range(300)]
+    rows = [(i, labels[i], [float(x) for x in v[i]]) for i in range(300)] + [(900, None, [1.0, 0.0, 0.0, 0.0]), (901, 0, None)]
+    got = lifecycle.leaders(spark.createDataFrame(rows, "node_id long, label int, v array<double>"), similar, least, most).collect()
+    assert {(r.label, r.cluster, r.node_id) for r in got} == greedy(v, labels, similar, least, most)
+    assert len(got) == len({r.node_id for r in got})
