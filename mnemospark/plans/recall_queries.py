@@ -33,6 +33,26 @@ def vec_topk_per_label(spark, sf_dir):
     return recall.topk_per_label(n, _query(n), 3, 12).select("node_id", "label", "label_rank", F.round("score", 6).alias("score"))
 
 
+def _queries(n: DataFrame) -> DataFrame:
+    """Every row whose id is divisible by 50 is a query."""
+    return n.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("v").alias("q"))
+
+
+def vec_topk_all(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return recall.knn_all(n, _queries(n), 10).select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+def vec_floor_scan_all(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return recall.floor_scan_all(n, _queries(n), 0.2).select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+def vec_topk_per_label_all(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return recall.topk_per_label_all(n, _queries(n), 3, 12).select("query_id", "node_id", "label", "label_rank", F.round("score", 6).alias("score"))
+
+
 def vec_centroids(spark, sf_dir):
     c = recall.centroids(nodes(spark, sf_dir))
     return c.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
@@ -127,8 +147,10 @@ def similar_pairs_in_class(spark, sf_dir):
     return s.where("similarity >= 0.3")
 
 
-QUERIES = {f.__name__: f for f in (vec_topk, vec_floor_scan, vec_topk_per_label, vec_centroids, vec_classify, rrf_fusion, fusion_adjust, recall_unified, loaded_demotion, jaccard_boost, spreading_activation, similar_pairs_in_class)}
+QUERIES = {f.__name__: f for f in (vec_topk, vec_floor_scan, vec_topk_per_label, vec_topk_all, vec_floor_scan_all, vec_topk_per_label_all, vec_centroids, vec_classify, rrf_fusion, fusion_adjust, recall_unified, loaded_demotion, jaccard_boost, spreading_activation, similar_pairs_in_class)}
 
+_SCORED_ALL = f"""WITH {NODES_SQL}, scored AS (
+  SELECT q.node_id AS query_id, n.*, list_cosine_similarity(n.v, q.v) AS s FROM nodes n, nodes q WHERE q.node_id % 50 = 0)"""
 _CENTROIDS = f"""WITH {NODES_SQL}, e AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM nodes
 ), m AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY label, pos), s AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label)"""
 _RING = "ring AS (SELECT node_id, node_id // 4 + k AS neighbour FROM nodes, range(4) t(k))"
@@ -139,6 +161,12 @@ ORACLE_SQL = {
     "vec_topk_per_label": _SCORED + """ SELECT node_id, label, label_rank, round(s, 6) AS score FROM (
   SELECT node_id, label, score AS s, row_number() OVER (PARTITION BY label ORDER BY score DESC, node_id) AS label_rank FROM scored)
   WHERE label_rank <= 3 ORDER BY s DESC, node_id LIMIT 12""",
+    "vec_topk_all": _SCORED_ALL + """ SELECT query_id, node_id, round(s, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS rank FROM scored WHERE NOT archived) WHERE rank <= 10""",
+    "vec_floor_scan_all": _SCORED_ALL + " SELECT query_id, node_id, round(s, 6) AS score FROM scored WHERE s > 0.2",
+    "vec_topk_per_label_all": _SCORED_ALL + """, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, node_id) AS label_rank FROM scored
+), m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS rank FROM l WHERE label_rank <= 3)
+SELECT query_id, node_id, label, label_rank, round(s, 6) AS score FROM m WHERE rank <= 12""",
     "vec_centroids": _CENTROIDS + " SELECT label, CAST(pos AS INTEGER) AS pos, round(x / n, 6) AS x FROM m JOIN s USING (label)",
     "vec_classify": _CENTROIDS + """, c AS (SELECT label, list(x / n ORDER BY pos) AS c FROM m JOIN s USING (label) GROUP BY label
 ), p AS (SELECT node_id, c.label AS best_label, round(list_cosine_similarity(v, c), 6) AS score FROM nodes, c
