@@ -69,7 +69,7 @@ def _ranked(n: DataFrame) -> DataFrame:
     a = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "node_id")) - 1).select(F.lit("vector").alias("source"), "node_id", "rank")
     same = n.join(F.broadcast(n.where("node_id = 0").select(F.col("label").alias("want"))), F.col("label") == F.col("want")).where("NOT archived")
     top = same.orderBy(F.desc("strength"), "node_id").limit(30)
-    b = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("strength"), "node_id")) - 1).select(F.lit("lexical").alias("source"), "node_id", "rank")
+    b = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("strength"), "node_id")) - 1).select(F.lit("strength").alias("source"), "node_id", "rank")
     return a.unionByName(b)
 
 
@@ -103,7 +103,7 @@ def fusion_adjust(spark, sf_dir):
 
 
 def recall_unified(spark, sf_dir):
-    """Vector and lexical sources, fused, adjusted, loaded nodes demoted, top 10."""
+    """Vector and strength sources (no text is read), fused, adjusted, loaded nodes demoted, top 10."""
     n = nodes(spark, sf_dir)
     final = recall.fusion_adjust(recall.rrf(_ranked(n)), n, _valence(spark, sf_dir))
     loaded = n.where("node_id % 3 = 0").select("node_id")

@@ -75,3 +75,11 @@ def test_leaders_go_on_past_small_groups(spark, similar, least, most):
     got = lifecycle.leaders(spark.createDataFrame(rows, "node_id long, label int, v array<double>"), similar, least, most).collect()
     assert {(r.label, r.cluster, r.node_id) for r in got} == greedy(v, labels, similar, least, most)
     assert len(got) == len({r.node_id for r in got})
+
+
+def test_ranked_sources_are_named_for_what_they_read(spark):
+    from mnemospark.plans import recall_queries
+    from mnemospark.sources.memory_tables import nodes
+
+    found = recall_queries._ranked(nodes(spark, "/root/testdata/sf0.001"))
+    assert {r.source for r in found.select("source").distinct().collect()} == {"vector", "strength"}
