@@ -4,8 +4,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from mnemospark.llm import suffix_dedup
 from mnemospark.llm._common import materialise
 from mnemospark.llm.suffix_dedup import LEAST, WINDOW, cut_repeats, minimisers, repeated, repeated_spans, rolling
 
@@ -79,20 +79,20 @@ def test_cut(spark):
 
 def test_hot_run_spreads_over_ranges(spark):
     rng = np.random.default_rng(1)
-    rows = [(7, int(d), 1) for d in range(2000)] + [(int(s), 5000 + k, 2) for k, s in enumerate(rng.integers(100, 2**40, 500))] + [(-9, 1, 1), (9, 2, 2)]
-    table = materialise(spark.createDataFrame(rows, "suffix long, doc long, place int"), "suffixes")
+    rows = [(7, b"%06d" % d) for d in range(2000)] + [(int(s), b"x%06d" % k) for k, s in enumerate(rng.integers(100, 2**40, 500))] + [(-9, b"a"), (9, b"b")]
+    table = materialise(spark.createDataFrame(rows, "suffix long, doc binary"), "suffixes")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = repeated(table).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert sorted(r.doc for r in got) == list(range(2000))
+    assert sorted(bytes(r.doc) for r in got) == [b"%06d" % d for d in range(2000)]
 
 
 def test_edges_of_ranges_meet(spark):
     """Equal suffixes of which each range holds one."""
-    rows = [(s, d, 0) for s in range(40) for d in range(s % 3 + 1)]
-    table = materialise(spark.createDataFrame(rows, "suffix long, doc long, place int"), "suffixes")
+    rows = [(s, b"%d" % d) for s in range(40) for d in range(s % 3 + 1)]
+    table = materialise(spark.createDataFrame(rows, "suffix long, doc binary"), "suffixes")
     spark.conf.set("spark.sql.shuffle.partitions", "30")
     try:
         got = repeated(table).collect()
@@ -101,13 +101,46 @@ def test_edges_of_ranges_meet(spark):
     assert len(got) == sum(s % 3 + 1 for s in range(40) if s % 3)
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 23])
+def test_passage_in_every_document_over_many_ranges(spark, partitions):
+    """A run of equal suffixes is cut into ranges, with contexts that only some of its documents share."""
+    rng = random.Random(partitions)
+    words = [f"v{k}" for k in range(500)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    core, sides = text(40), [text(30) for _ in range(4)]
+    rows = [(i, " ".join(text(rng.randrange(12)) + rng.choice(sides)[rng.randrange(30) :] + core + rng.choice(sides)[: rng.randrange(30)] + text(rng.randrange(12)))) for i in range(150)]
+    rows += [(1000 + i, "  " + " ".join(core * 3) + "\n\n" + " ".join(sides[i % 4] + core)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = repeated_spans(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    marked, texts = defaultdict(set), dict(rows)
+    for r in got:
+        marked[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+        assert texts[r.doc_id][r.begin : r.end].split() == texts[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
+    assert marked == brute(rows)
+
+
+def test_large_ids_beside_missing_ones(spark):
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = [(2**60 + 1, passage + " a"), (2**60 + 3, passage + " b"), (None, passage + " c"), (None, None)]
+    got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.first_doc_ids) for r in got) == [(str(2**60 + 3), 70, [2**60 + 1]), ("None", 70, [2**60 + 1])]
+
+
 def test_minimisers_and_rolling():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 2**63, 500).astype(np.uint64)
-    for base in suffix_dedup._BASES:
-        h = rolling(words, 7, base)
-        again = rolling(np.concatenate((words[:3], words[100:107])), 7, base)
-        assert len(h) == 494 and again[-1] == h[100] and len(np.unique(h)) == len(h)
-    at = set(minimisers(rolling(words, 26, 3)).tolist())
-    assert all(any(k in at for k in range(a, a + WINDOW)) for a in range(475 - WINDOW + 1))
-    assert len(at) < 3 * 475 / WINDOW and len(minimisers(np.zeros(3, np.uint64))) == 0
+    h = rolling(words, 7)
+    again = rolling(np.concatenate((words[:3], words[100:107])), 7)
+    assert len(h) == 494 and again[-1] == h[100] and len(np.unique(h)) == len(h)
+    grams = rolling(words, 26)
+    at, first, count = minimisers(grams)
+    owner = np.repeat(at, count)
+    assert len(owner) == len(grams) - WINDOW + 1 and (first == np.cumsum(count) - count).all()
+    assert all(owner[a] == a + grams[a : a + WINDOW].argmin() for a in range(len(owner)))
+    assert len(at) < 3 * 475 / WINDOW and len(minimisers(np.zeros(3, np.uint64))[0]) == 0
