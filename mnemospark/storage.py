@@ -9,20 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir; one is made only where none is set."""
+    """The folder every executor and the driver can reach: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A local session (tests) that names neither gets a folder of its own; on a
+    cluster that is an error, as no folder of one machine will do.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             root = current.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_root(spark)}/mnemospark/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a stored table: later reads neither recompute it nor depend on one executor."""
-    path = f"{shared_root(df.sparkSession)}/mnemospark/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
