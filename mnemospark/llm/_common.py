@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemospark.storage import shared_path
+
 
 #: Arrow batches hold so many bytes at most (and one row at least): texts differ in length by orders of magnitude.
 BATCH_BYTES = 4 << 20
@@ -42,27 +43,6 @@ def trimmed(run):
     return outer
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir.
-
-    Only where the session names none (a local test session) is one made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/mnemospark/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage durably."""
     spark = df.sparkSession
@@ -72,6 +52,40 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_id(column: Column | str) -> Column:
+    """An id as text, for Python tasks: whole numbers beside nulls reach pandas as doubles and lose their last digits."""
+    return (F.col(column) if isinstance(column, str) else column).cast("long").cast("string")
+
+
+def whole_ids(ids: Iterable):
+    """The ids of text_id() as nullable whole numbers."""
+    import pandas as pd
+
+    return pd.array([None if i is None else int(i) for i in ids], "Int64")
+
+
+#: lookup() takes keys of more than this part of all rows as hot: they are fewer than HOT_KEYS.
+HOT_KEYS = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, by: list[str]) -> DataFrame:
+    """rows with the other columns of table (null where it has no such key), whatever the keys' frequencies.
+
+    table is a stored one with a row a key, of which `count` says how many
+    rows have it. Keys with over 1 / HOT_KEYS of all counted rows are broadcast
+    (fewer than HOT_KEYS rows, as counts add up to the total), and their rows
+    are dealt out by a hash of the columns `by`; the rest is a common join.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    rest = [c for c in table.columns if c not in keys]
+    hot, held = F.col(count) * HOT_KEYS > total, F.struct(*rest)
+    marked = rows.join(F.broadcast(table.where(hot).select(*keys, held.alias("hot_held"))), keys, "left")
+    marked = marked.withColumn("hot_part", F.when(F.col("hot_held").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*by), F.lit(1 << 20))))
+    common = table.where(~hot).select(*keys, held.alias("cold_held"), F.lit(0).cast("long").alias("hot_part"))
+    out = marked.join(common, [*keys, "hot_part"], "left").withColumn("any_held", F.coalesce("hot_held", "cold_held"))
+    return out.select(*rows.columns, *[F.col(f"any_held.{c}").alias(c) for c in rest])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,7 +25,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import trimmed
+from mnemospark.llm._common import text_id, trimmed, whole_ids
 
 #: Pieces that a task's memo holds at most.
 MEMO_PIECES = 400_000
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
         for part in grouped(batches):
-            yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "ids": [x.astype(np.int32) for x in bpe.encode_batch(part.text)]})
+            yield pd.DataFrame({"doc_id": whole_ids(part.doc_id), "ids": [x.astype(np.int32) for x in bpe.encode_batch(part.text)]})
 
     return _texts(docs, id_col, text_col).mapInPandas(trimmed(run), "doc_id long, ids array<int>")
 
@@ -255,13 +255,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         bpe = tokenizer(path)
         for part in batches:
             texts = ["" if ids is None else bpe.decode(np.asarray(ids)) for ids in part.ids]
-            yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "text": texts})
+            yield pd.DataFrame({"doc_id": whole_ids(part.doc_id), "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(trimmed(run), "doc_id long, text string")
+    return encoded.select(text_id("doc_id").alias("doc_id"), "ids").mapInPandas(trimmed(run), "doc_id long, text string")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(text_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +278,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for part in grouped(batches):
             ids = bpe.encode_batch(part.text)
             yield pd.DataFrame({
-                "doc_id": part.doc_id.astype("Int64"),
+                "doc_id": whole_ids(part.doc_id),
                 "n_tokens": [len(x) for x in ids],
                 "ids_sha256": [sha(bpe.decimal(x)) for x in ids],
                 "decoded_sha256": [sha(bpe.decode(x)) for x in ids],

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import gapless_rank, materialise, trimmed
+from mnemospark.llm._common import gapless_rank, materialise, text_id, trimmed, whole_ids
 from mnemospark.llm.bpe import grouped, tokenizer
 
 CAPACITY = 2048
@@ -179,7 +179,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
         bpe = tokenizer(path)
         for part in grouped(batches):
             rows = []
-            for doc, ids in zip(part.doc_id.astype("Int64"), bpe.encode_batch(part.text), strict=True):
+            for doc, ids in zip(whole_ids(part.doc_id), bpe.encode_batch(part.text), strict=True):
                 data = np.append(ids, END_ID).astype("<u4")
                 for k, start in enumerate(range(0, len(data), capacity)):
                     cut = data[start : start + capacity]
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(text_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInPandas(trimmed(run), schema)
 
 
