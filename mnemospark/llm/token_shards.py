@@ -1,17 +1,19 @@
 """Training order: token sequences in fixed-stride binary shards, in a keyed random order.
 
-A keyed Feistel network permutes the number space of all possible sequences
-(document number times the most sequences a document can have, plus the piece
-number); cycle-walking keeps the result within that space. The result, a
-sequence's ticket, is known without counting anything: ranges of tickets are
-the shards, a sequence's global slot is its place among all tickets, and the
-order is a uniformly random one that depends on the key and the ids alone,
-not on how Spark cuts the input. Each range partition sorts its tickets and
-writes one file of records of equal length, so that record k of a shard lies
-at HEADER_BYTES + k * stride, and a reader can resume at any slot.
-
-Taking slots from tickets, in place of permuting the exact count, spares a
-stored copy of all tokens between counting and writing.
+1. Documents are encoded and cut into sequences, which are stored; a manifest
+   of the stored parts (sequences of each, and those before it) numbers all
+   sequences from 0 to N - 1 without gaps.
+2. A keyed Feistel network permutes range(N); cycle-walking keeps it there.
+   The image of a sequence's number is its global slot.
+3. Slots are cut into ranges of equal length. Each range is sorted and written
+   by one task to one file of records of equal length, so slot s is record
+   s % records of shard s // records, at HEADER_BYTES + record * stride. A
+   reader can resume at any slot, and a slot's number (its inverse image)
+   says which stored part has it.
+
+The numbers follow the stored parts, which follow Spark's cut of the input:
+one stored table and one key give one order, however often slots are written
+again.
 """
 
 from __future__ import annotations
@@ -20,25 +22,28 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, open_fs, shared_path, trimmed
+from mnemospark.llm._common import materialise, open_fs, text_id, trimmed, whole_ids
 from mnemospark.llm.bpe import grouped, tokenizer
+from mnemospark.storage import shared_path
 
-MAGIC = b"MNSHARD1"
-#: magic, stride, tokens a record.
-HEADER, HEADER_BYTES = "<8sII", 16
-#: Before a record's tokens: ticket, doc_id, whether doc_id is null, piece, tokens used.
-RECORD = np.dtype([("ticket", "<i8"), ("doc_id", "<i8"), ("no_id", "<u4"), ("piece", "<u4"), ("length", "<u4")])
+MAGIC = b"MNSHARD2"
+#: magic, stride, tokens a record, bytes a token.
+HEADER, HEADER_BYTES = "<8sIII", 20
+#: Before a record's tokens: slot, number, doc_id, whether doc_id is null, piece, tokens used.
+RECORD = np.dtype([("slot", "<i8"), ("number", "<i8"), ("doc_id", "<i8"), ("no_id", "<u4"), ("piece", "<u4"), ("length", "<u4")])
 SEQUENCE_TOKENS = 256
-SHARD_TEXT_BYTES = 32 << 20
+SHARD_BYTES = 32 << 20
+END_TOKEN = "<|endoftext|>"
+#: Bytes a stored token; 4 for vocabularies of more than 65536 tokens.
+TOKEN_BYTES = 2
 ROUNDS = 6
-#: Token bytes for each text byte at most, after composing and lower-casing.
-GROWTH = 4
 LARGEST_DOMAIN = 1 << 62
 READ_RECORDS = 4096
 
@@ -89,61 +94,77 @@ class Feistel:
         return self._walk(np.asarray(x, np.uint64), self._back)
 
 
-def _record_type(tokens: int) -> np.dtype:
-    return np.dtype([*[(n, RECORD[n]) for n in RECORD.names], ("ids", "<u2", (tokens,))])
+def _record_type(tokens: int, token_bytes: int) -> np.dtype:
+    return np.dtype([*[(n, RECORD[n]) for n in RECORD.names], ("ids", f"<u{token_bytes}", (tokens,))])
 
 
-def sequences(docs: DataFrame, path: str, key: int, tokens: int = SEQUENCE_TOKENS, shard_text_bytes: int = SHARD_TEXT_BYTES, end_id: int = 49407) -> tuple[DataFrame, int]:
-    """ticket, doc_id, piece, ids (binary, 16-bit) and shard of every sequence; and the number of shards.
+@dataclass
+class Order:
+    """Stored sequences, how many there are, and the permutation of their numbers."""
 
-    A document's sequences are its ids (null text: none) and end_id, cut every
-    `tokens` ids. Ids that span too wide a range for the number space are
-    hashed into it; equal tickets are then ordered by doc_id and piece.
+    rows: DataFrame
+    parts: DataFrame
+    sequences: int
+    feistel: Feistel
+
+    def slots(self) -> DataFrame:
+        """The sequences with number and slot."""
+        permute = self.feistel.permute
+
+        @F.pandas_udf("long")
+        def slot(number: pd.Series) -> pd.Series:
+            return pd.Series(permute(number.to_numpy()).astype(np.int64))
+
+        # A row for each stored part, which is one task's work: bounded by the number of tasks.
+        numbered = self.rows.join(F.broadcast(self.parts.select("part", "first_number")), "part").withColumn("number", F.col("first_number") + F.col("place"))
+        return numbered.withColumn("slot", slot("number"))
+
+
+def sequences(docs: DataFrame, path: str, key: int, tokens: int = SEQUENCE_TOKENS, end_token: str = END_TOKEN, token_bytes: int = TOKEN_BYTES) -> Order:
+    """Encode, cut, store and number: doc_id, piece, ids (binary) and the part and place that make a sequence's number.
+
+    A document's sequences are its ids (null text: none) and that of end_token,
+    cut every `tokens` ids. Ids that do not fit token_bytes are an error.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = F.octet_length("text").cast("long")
-    s = texts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(size).alias("largest"), F.sum(size).alias("total")).first()
-    low, high = s["low"] or 0, s["high"] or 0
-    most = (GROWTH * (s["largest"] or 0) + 1) // tokens + 1
-    numbers = min(high - low + 2, LARGEST_DOMAIN // most)
-    dense = numbers == high - low + 2
-    feistel = Feistel(numbers * most, key)
-    shards = max(1, -(-(s["total"] or 0) // shard_text_bytes))
-
-    def number(doc: int | None) -> int:
-        if doc is None:
-            return numbers - 1
-        return doc - low if dense else ((doc * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) % numbers
+    from pyspark import TaskContext
+
+    texts = docs.select(text_id("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = f"<u{token_bytes}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
-        for part in grouped(batches):
-            doc_ids, piece, index, ids = [], [], [], []
-            for doc, x in zip(part.doc_id.astype("Int64"), bpe.encode_batch(part.text), strict=True):
-                doc = None if doc is pd.NA else int(doc)
-                x = np.append(x, end_id).astype("<u2")
+        part, place, bpe = TaskContext.get().partitionId(), 0, tokenizer(path)
+        if len(bpe.tokens) > 1 << 8 * token_bytes:
+            raise ValueError(f"{path}: {len(bpe.tokens)} tokens do not fit {token_bytes} bytes")
+        end = bpe.special[end_token]
+        for group in grouped(batches):
+            doc_ids, piece, ids = [], [], []
+            for doc, x in zip(group.doc_id, bpe.encode_batch(group.text), strict=True):
+                x = np.append(x, end).astype(kind)
                 n = -(-len(x) // tokens)
-                if n > most:
-                    raise ValueError(f"document {doc} has more sequences than its number space")
                 doc_ids += [doc] * n
                 piece += range(n)
-                index += range(number(doc) * most, number(doc) * most + n)
                 ids += [x[k * tokens : (k + 1) * tokens].tobytes() for k in range(n)]
-            ticket = feistel.permute(np.array(index, np.uint64)).astype(np.int64)
-            shard = [t * shards // feistel.domain for t in ticket.tolist()]
-            yield pd.DataFrame({"ticket": ticket, "doc_id": pd.array(doc_ids, "Int64"), "piece": piece, "ids": ids, "shard": shard})
+            yield pd.DataFrame({"part": part, "place": np.arange(place, place + len(ids)), "doc_id": whole_ids(doc_ids), "piece": piece, "ids": ids})
+            place += len(ids)
 
-    return texts.mapInPandas(trimmed(run), "ticket long, doc_id long, piece int, ids binary, shard int"), shards
+    rows = materialise(texts.mapInPandas(trimmed(run), "part int, place long, doc_id long, piece int, ids binary"), "sequences")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    counted = rows.groupBy("part").agg(F.count("*").alias("sequences"))
+    parts = materialise(counted.withColumn("first_number", F.coalesce(F.sum("sequences").over(before), F.lit(0))), "sequence-parts")
+    total = parts.agg(F.sum("sequences")).first()[0] or 0
+    return Order(rows, parts, total, Feistel(max(1, total), key))
 
 
-def write_shards(rows: DataFrame, shards: int, folder: str, tokens: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Write each shard's records in ticket order to one file; returns the stored manifest.
+def write_shards(order: Order, folder: str, tokens: int = SEQUENCE_TOKENS, shard_bytes: int = SHARD_BYTES, token_bytes: int = TOKEN_BYTES) -> DataFrame:
+    """Write each range of slots to one file; returns the stored manifest.
 
-    Manifest: shard, file, records, first_slot. Files have fresh names, so
-    only those of committed attempts are listed. A shard without sequences has
-    no file.
+    Manifest: shard, file, records, first_slot. All shards but the last have
+    the same count of records. Files have fresh names, so only those of
+    committed attempts are listed. Without sequences there is no file.
     """
-    kind = _record_type(tokens)
+    kind = _record_type(tokens, token_bytes)
+    records = max(1, shard_bytes // kind.itemsize)
+    shards = max(1, -(-order.sequences // records))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_fs(folder)
@@ -161,31 +182,36 @@ def write_shards(rows: DataFrame, shards: int, folder: str, tokens: int = SEQUEN
                         yield close()
                     at, n, name = int(shard), 0, f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
                     file = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    file.write(struct.pack(HEADER, MAGIC, kind.itemsize, tokens))
+                    file.write(struct.pack(HEADER, MAGIC, kind.itemsize, tokens, token_bytes))
+                slots = part.slot.to_numpy()
+                if slots[0] != at * records + n or (np.diff(slots) != 1).any():
+                    raise ValueError(f"shard {at}: a slot is missing or taken twice")
                 out = np.zeros(len(part), kind)
-                out["ticket"], out["piece"] = part.ticket, part.piece
-                doc = part.doc_id.astype("Int64")
-                out["doc_id"], out["no_id"] = doc.fillna(0).to_numpy(np.int64), doc.isna().to_numpy()
-                out["length"] = [len(x) // 2 for x in part.ids]
-                out["ids"] = np.frombuffer(b"".join(x.ljust(2 * tokens, b"\0") for x in part.ids), "<u2").reshape(-1, tokens)
+                doc = whole_ids(part.doc_id)
+                out["slot"], out["number"], out["piece"] = slots, part.number, part.piece
+                out["doc_id"], out["no_id"] = doc.fillna(0).to_numpy(np.int64), doc.isna()
+                out["length"] = [len(x) // token_bytes for x in part.ids]
+                out["ids"] = np.frombuffer(b"".join(x.ljust(token_bytes * tokens, b"\0") for x in part.ids), kind["ids"].base).reshape(-1, tokens)
                 file.write(out.tobytes())
                 n += len(part)
         if file is not None:
             yield close()
 
-    ranges = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "ticket", "doc_id", "piece", "ids")
+    rows = order.slots().select(F.floor(F.col("slot") / records).cast("int").alias("shard"), "slot", "number", text_id("doc_id").alias("doc_id"), "piece", "ids")
+    ranges = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     written = materialise(ranges.mapInPandas(trimmed(run), "shard int, file string, records long"), "shard-manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    return written.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0)))
+    return written.withColumn("first_slot", F.col("shard") * F.lit(records).cast("long"))
 
 
 def read_shard(uri: str, start: int = 0) -> Iterator[np.ndarray]:
     """The records of one shard file from record `start` on, in blocks."""
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as file:
-        magic, stride, tokens = struct.unpack(HEADER, file.read(HEADER_BYTES))
-        kind = _record_type(tokens)
-        if magic != MAGIC or stride != kind.itemsize or (file.size() - HEADER_BYTES) % stride:
+        magic, stride, tokens, token_bytes = struct.unpack(HEADER, file.read(HEADER_BYTES))
+        if magic != MAGIC:
+            raise ValueError(f"{uri} is no shard file")
+        kind = _record_type(tokens, token_bytes)
+        if stride != kind.itemsize or (file.size() - HEADER_BYTES) % stride:
             raise ValueError(f"{uri} is not a whole shard file")
         file.seek(HEADER_BYTES + start * stride)
         while data := file.read(stride * READ_RECORDS):
@@ -193,28 +219,35 @@ def read_shard(uri: str, start: int = 0) -> Iterator[np.ndarray]:
 
 
 def read_shards(manifest: DataFrame, start_slot: int = 0) -> DataFrame:
-    """slot, shard, doc_id, piece, length, ids_crc32 and ticket of the records from start_slot on; a shard a task."""
+    """slot, number, shard, doc_id, piece, length and ids_crc32 of the records from start_slot on; a shard a task.
+
+    Shards before start_slot are not opened, and its own shard is read from its place on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, uri, records, first in zip(batch.shard, batch.file, batch.records, batch.first_slot, strict=True):
                 at = max(0, start_slot - first)
                 for block in read_shard(uri, at) if at < records else ():
+                    slots = block["slot"].astype(np.int64)
+                    if (slots != first + at + np.arange(len(block))).any():
+                        raise ValueError(f"{uri}: a record is out of its place")
                     doc = pd.Series(block["doc_id"].astype(np.int64)).astype("Int64").mask(pd.Series(block["no_id"] > 0))
                     crc = [zlib.crc32(x[:n].astype("<u4").tobytes()) for x, n in zip(block["ids"], block["length"].tolist(), strict=True)]
-                    yield pd.DataFrame({"slot": first + at + np.arange(len(block)), "shard": shard, "doc_id": doc, "piece": block["piece"].astype(np.int32), "length": block["length"].astype(np.int64), "ids_crc32": crc, "ticket": block["ticket"].astype(np.int64)})
+                    yield pd.DataFrame({"slot": slots, "number": block["number"].astype(np.int64), "shard": shard, "doc_id": doc, "piece": block["piece"].astype(np.int32), "length": block["length"].astype(np.int64), "ids_crc32": crc})
                     at += len(block)
 
-    spread = manifest.repartition(max(1, manifest.count()))
-    return spread.mapInPandas(trimmed(run), "slot long, shard int, doc_id long, piece int, length long, ids_crc32 long, ticket long")
+    wanted = manifest.where(F.col("first_slot") + F.col("records") > start_slot)
+    spread = wanted.repartition(max(1, wanted.count()))
+    return spread.mapInPandas(trimmed(run), "slot long, number long, shard int, doc_id long, piece int, length long, ids_crc32 long")
 
 
-def training_order(docs: DataFrame, path: str, key: int, tokens: int = SEQUENCE_TOKENS, shard_text_bytes: int = SHARD_TEXT_BYTES) -> DataFrame:
+def training_order(docs: DataFrame, path: str, key: int, tokens: int = SEQUENCE_TOKENS, shard_bytes: int = SHARD_BYTES, end_token: str = END_TOKEN, token_bytes: int = TOKEN_BYTES) -> DataFrame:
     """Write docs' sequences in training order and read them back: read_shards()'s columns.
 
-    Null and empty texts give one sequence of the end id alone; rows repeated
-    under one id each get a slot. An empty table gives no rows. Other columns
-    are not read.
+    Null and empty texts give one sequence of the end token alone; rows
+    repeated under one id, and rows without one, each get slots of their own.
+    An empty table gives no rows. Other columns are not read.
     """
-    rows, shards = sequences(docs, path, key, tokens, shard_text_bytes)
-    return read_shards(write_shards(rows, shards, shared_path(docs.sparkSession, "shards"), tokens))
+    order = sequences(docs, path, key, tokens, end_token, token_bytes)
+    return read_shards(write_shards(order, shared_path(docs.sparkSession, "shards"), tokens, shard_bytes, token_bytes))
