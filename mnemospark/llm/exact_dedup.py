@@ -5,27 +5,32 @@ bucket; a bucket that holds more entries than its capacity is split by one
 more bit, and the directory doubles when the bucket already used all of its
 bits. Each bucket belongs to one owner task, which walks its entries in key
 order, chains entries whose keys collide and tells them apart by comparing
-bytes. The resulting index (one row per distinct text) is written to the
-shared folder, and rows find their group in it by key and digest.
+bytes. Both the directory (slot, bucket) and the buckets (one row per distinct
+text) are written to the shared folder, and rows find their group through
+them: slot, bucket, then key and digest within the bucket.
 
 Copies are combined inside each map task before anything is shuffled, so a
 text that a third of all rows share reaches its owner once or a few times per
-map task, never once per row.
+map task, never once per row; and the rows of such a text are dealt out when
+they look their group up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import fold_ascii, materialise, trimmed
+from mnemospark.llm._common import fold_ascii, lookup, materialise, text_id, trimmed, whole_ids
 
-#: A map task hands on what it has combined when its texts reach this many bytes.
-COMBINE_BYTES = 32 << 20
-#: Directory bits never exceed this: at most 2**20 cells are counted on the driver.
+#: A map task hands on what it has combined when its texts reach this many characters.
+COMBINE_CHARS = 8 << 20
+#: Rows are handed to Spark in slices of so many characters.
+SLICE_CHARS = 2 << 20
+#: Directory bits never exceed this: at most 2**20 cells are counted on the driver. Past it buckets are longer; owners walk them in key order and never hold one.
 MAX_DEPTH = 20
 
 
@@ -65,63 +70,96 @@ class Directory:
         return [numbers.setdefault(p, len(numbers)) for p in self.pointers]
 
 
+def _add(link: list, top: int | None, n: int, n_top: int) -> None:
+    """Add n rows, of which n_top have the largest id top (null: all are without an id), to [.., max_id, n, n_top]."""
+    if top is not None and (link[-3] is None or top > link[-3]):
+        link[-3], link[-1] = top, n_top
+    elif top == link[-3]:
+        link[-1] += n_top
+    link[-2] += n
+
+
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per distinct text of the task (or of each COMBINE_BYTES of texts)."""
+    """One row per distinct text of the task (or of each COMBINE_CHARS of texts)."""
     held: dict[str, list] = {}
     size = 0
 
-    def flush() -> pd.DataFrame:
-        return pd.DataFrame(
-            [(k, d, t, i, n) for t, (k, d, i, n) in held.items()], columns=["key", "digest", "text", "max_id", "n"]
-        ).astype({"max_id": "Int64"})
+    def flush() -> Iterator[pd.DataFrame]:
+        rows, taken = [], 0
+        for i, (text, (key, digest, top, n, n_top)) in enumerate(held.items(), 1):
+            rows.append((key, digest, text, top, n, n_top))
+            taken += len(text)
+            if taken >= SLICE_CHARS or i == len(held):
+                out = pd.DataFrame(rows, columns=["key", "digest", "text", "max_id", "n", "n_top"])
+                yield out.assign(max_id=whole_ids([r[3] for r in rows]))
+                rows, taken = [], 0
 
     for batch in batches:
-        for key, digest, text, top, n in zip(batch.key, batch.digest, batch.text, batch.max_id, batch.n, strict=True):
-            top = None if pd.isna(top) else int(top)
+        for key, digest, text, top in zip(batch.key, batch.digest, batch.text, batch.doc_id, strict=True):
+            top = None if top is None else int(top)
             if (entry := held.get(text)) is None:
-                held[text] = [key, digest, top, n]
+                held[text] = [key, digest, top, 1, 1]
                 size += len(text)
             else:
-                entry[2] = top if entry[2] is None else entry[2] if top is None else max(entry[2], top)
-                entry[3] += n
-        if size > COMBINE_BYTES:
-            yield flush()
+                _add(entry, top, 1, 1)
+        if size > COMBINE_CHARS:
+            yield from flush()
             held, size = {}, 0
-    if held:
-        yield flush()
+    yield from flush()
+
+
+_OWNED = "bucket int, key long, chain int, digest string, keep_id long, group_size long, n_keep long"
 
 
 def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """An owner task: entries come in key order; one output row per distinct text."""
-    columns = ["bucket", "key", "chain", "digest", "keep_id", "group_size"]
+    names = [f.split(" ")[0] for f in _OWNED.split(", ")]
     at: int | None = None
     bucket = 0
-    chain: list[list] = []  # of the key at hand: [text, digest, max_id, n]
+    chain: list[list] = []  # of the key at hand: [text, digest, max_id, n, n_top]
 
     def rows() -> list[tuple]:
-        return [(bucket, at, j, d, top, n) for j, (_, d, top, n) in enumerate(chain)]
+        return [(bucket, at, j, d, top, n, n_top) for j, (_, d, top, n, n_top) in enumerate(chain)]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names).assign(keep_id=whole_ids([r[4] for r in out]))
 
     for batch in batches:
         out: list[tuple] = []
-        for b, key, digest, text, top, n in zip(
-            batch.bucket, batch.key, batch.digest, batch.text, batch.max_id, batch.n, strict=True
-        ):
+        for b, key, digest, text, top, n, n_top in zip(batch.bucket, batch.key, batch.digest, batch.text, batch.max_id, batch.n, batch.n_top, strict=True):
             if key != at:
                 if at is not None:
                     out += rows()
                 at, bucket, chain = key, b, []
-            top = None if pd.isna(top) else int(top)
+            top = None if top is None else int(top)
             for link in chain:
                 if link[0] == text:  # the bytes decide, not the key
-                    link[2] = top if link[2] is None else link[2] if top is None else max(link[2], top)
-                    link[3] += n
+                    _add(link, top, n, n_top)
                     break
             else:
-                chain.append([text, digest, top, n])
+                chain.append([text, digest, top, n, n_top])
         if out:
-            yield pd.DataFrame(out, columns=columns).astype({"keep_id": "Int64"})
+            yield frame(out)
     if at is not None:
-        yield pd.DataFrame(rows(), columns=columns).astype({"keep_id": "Int64"})
+        yield frame(rows())
+
+
+@dataclass
+class Index:
+    """The stored index: its directory (slot, bucket), the bits a slot has, and the buckets' rows."""
+
+    directory: DataFrame
+    depth: int
+    rows: DataFrame
+
+    def slot(self, key: Column) -> Column:
+        return F.shiftrightunsigned(key, 64 - self.depth) if self.depth else F.lit(0).cast("long")
+
+    def find(self, keyed_rows: DataFrame, by: list[str]) -> DataFrame:
+        """keyed_rows (key, digest) with bucket, keep_id, group_size and n_keep of their group."""
+        # The directory has at most 2**MAX_DEPTH slots of 12 bytes: a proven size for a broadcast.
+        placed = keyed_rows.withColumn("slot", self.slot(F.col("key"))).join(F.broadcast(self.directory), "slot").drop("slot")
+        return lookup(placed, self.rows.drop("chain"), ["bucket", "key", "digest"], "group_size", by)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,36 +168,30 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return text.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("digest"), "text")
 
 
-def build_index(docs: DataFrame, bucket_capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: bucket, key, chain, digest, keep_id, group_size; a row per distinct text.
+def build_index(docs: DataFrame, bucket_capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of docs; its rows: bucket, key, chain, digest, keep_id, group_size, n_keep, one per distinct text.
 
     Null text counts as empty. keep_id is the largest id (null only where all
-    ids of the group are null). An empty table gives an empty index.
+    ids of the group are null), and n_keep how many rows have it. An empty
+    table gives an empty index.
     """
-    rows = keyed(docs, id_col, text_col)
-    entries = rows.select("key", "digest", "text", F.col("doc_id").alias("max_id"), F.lit(1).cast("long").alias("n")).mapInPandas(
-        trimmed(_combine), "key long, digest string, text string, max_id long, n long"
-    )
-    total = docs.count()
-    finest = min(MAX_DEPTH, max(1, (2 * total // bucket_capacity).bit_length() + 2))
+    entries = materialise(keyed(docs, id_col, text_col).select("key", "digest", "text", text_id("doc_id").alias("doc_id")).mapInPandas(trimmed(_combine), "key long, digest string, text string, max_id long, n long, n_top long"), "exact-entries")
+    keys = entries.select("key").distinct()  # copies of a text reach the index combined, so cells count distinct keys
+    finest = min(MAX_DEPTH, max(1, (2 * entries.count() // bucket_capacity).bit_length() + 2))
     cell = F.shiftrightunsigned("key", 64 - finest)
-    # Copies of a text reach the index combined, so cells count distinct keys.
-    distinct = keyed(docs, id_col, text_col).select("key").distinct()
-    counts = {r["cell"]: r["n"] for r in distinct.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
-    directory = Directory(counts, finest, bucket_capacity)
-    slots = directory.bucket_of_slot()
+    counts = {r["cell"]: r["n"] for r in keys.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
+    grown = Directory(counts, finest, bucket_capacity)
     spark = docs.sparkSession
-    slot_table = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
-    slot = F.shiftrightunsigned("key", 64 - directory.global_depth) if directory.global_depth else F.lit(0).cast("long")
-    # The directory has at most 2**MAX_DEPTH slots of 12 bytes: a proven size for a broadcast.
-    placed = entries.withColumn("slot", slot).join(F.broadcast(slot_table), "slot").drop("slot")
+    directory = materialise(spark.createDataFrame(list(enumerate(grown.bucket_of_slot())), "slot long, bucket int"), "exact-directory")
+    index = Index(directory, grown.global_depth, entries)
+    placed = entries.withColumn("slot", index.slot(F.col("key"))).join(F.broadcast(directory), "slot").drop("slot")
     owned = (
         placed.repartition("bucket")
         .sortWithinPartitions("bucket", "key")
-        .select("bucket", "key", "digest", "text", "max_id", "n")
-        .mapInPandas(trimmed(_own), "bucket int, key long, chain int, digest string, keep_id long, group_size long")
+        .select("bucket", "key", "digest", "text", text_id("max_id").alias("max_id"), "n", "n_top")
+        .mapInPandas(trimmed(_own), _OWNED)
     )
-    return materialise(owned, "exact-index")
+    return Index(directory, grown.global_depth, materialise(owned, "exact-index"))
 
 
 def exact_duplicates(docs: DataFrame, bucket_capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,10 +203,8 @@ def exact_duplicates(docs: DataFrame, bucket_capacity: int = 4096, id_col: str =
     carry the same answer. Other columns of docs are not read.
     """
     index = build_index(docs, bucket_capacity, id_col, text_col)
-    rows = keyed(docs, id_col, text_col).drop("text")
-    return rows.join(index.select("key", "digest", "keep_id", "group_size"), ["key", "digest"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    found = index.find(keyed(docs, id_col, text_col).drop("text"), ["doc_id"])
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, bucket_capacity: int = 4096) -> DataFrame:
@@ -185,11 +215,8 @@ def drop_exact_duplicates(docs: DataFrame, bucket_capacity: int = 4096) -> DataF
     index = build_index(docs, bucket_capacity)
     text = fold_ascii(F.coalesce("text", F.lit("")))
     names = docs.columns
-    marked = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("digest"))
-    kept = marked.join(
-        index.select("key", "digest", "keep_id"),
-        (marked["key"] == index["key"]) & (marked["digest"] == index["digest"]) & marked["row.doc_id"].eqNullSafe(index["keep_id"]),
-        "left_semi",
-    )
-    kept = kept.groupBy("key", "digest").agg(F.first("row").alias("row"))
-    return kept.select([F.col(f"row.{c}").alias(c) for c in names])
+    marked = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("row_id"), F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("digest"))
+    kept = index.find(marked, ["row_id"]).where(F.col("row_id").eqNullSafe(F.col("keep_id")))
+    # Only rows repeated under one id are grouped.
+    again = kept.where("n_keep > 1").groupBy("key", "digest").agg(F.first("row").alias("row"))
+    return kept.where("n_keep = 1").select("row").unionByName(again.select("row")).select([F.col(f"row.{c}").alias(c) for c in names])

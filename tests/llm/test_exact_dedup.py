@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from mnemospark.llm.exact_dedup import Directory, _own, drop_exact_duplicates, exact_duplicates
+from mnemospark.llm.exact_dedup import Directory, _own, build_index, drop_exact_duplicates, exact_duplicates, keyed
 
 import pandas as pd
 
@@ -33,6 +33,22 @@ def test_against_brute_force(spark, capacity):
     assert got == brute(CASES)
 
 
+def test_large_ids_beside_missing_ones(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a"), (2**60 + 3, "a"), (None, "a"), (None, "b"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_duplicates(docs).where("group_size = 3").collect()} == {(2**60 + 1, 2**60 + 3, False), (2**60 + 3, 2**60 + 3, True), (None, 2**60 + 3, False)}
+    assert sorted(str(r.doc_id) for r in drop_exact_duplicates(docs).collect()) == [str(2**60 + 3), "None"]
+
+
+def test_rows_find_their_group_through_the_directory(spark):
+    docs = spark.createDataFrame([(k, f"t{k % 700}") for k in range(2000)], "doc_id long, text string")
+    index = build_index(docs, 8)
+    assert index.depth > 4 and index.directory.count() == 1 << index.depth
+    sizes = [r["count"] for r in index.rows.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 8 and sum(sizes) == 700
+    found = index.find(keyed(docs).drop("text"), ["doc_id"]).collect()
+    assert len(found) == 2000 and all(r.keep_id % 700 == r.doc_id % 700 for r in found)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_duplicates(docs).collect() == []
@@ -47,9 +63,9 @@ def test_filter_keeps_columns_and_one_row(spark):
 
 
 def test_colliding_keys_are_told_apart_by_bytes():
-    batch = pd.DataFrame({"bucket": [0] * 3, "key": [7] * 3, "digest": ["a", "b", "a"], "text": ["x", "y", "x"], "max_id": [1, 2, 5], "n": [1, 1, 1]})
+    batch = pd.DataFrame({"bucket": [0] * 3, "key": [7] * 3, "digest": ["a", "b", "a"], "text": ["x", "y", "x"], "max_id": ["1", "2", "5"], "n": [1, 1, 1], "n_top": [1, 1, 1]})
     (out,) = list(_own(iter([batch])))
-    assert out[["chain", "keep_id", "group_size"]].values.tolist() == [[0, 5, 2], [1, 2, 1]]
+    assert out[["chain", "keep_id", "group_size", "n_keep"]].values.tolist() == [[0, 5, 2, 1], [1, 2, 1, 1]]
 
 
 def test_directory_splits_and_doubles():
