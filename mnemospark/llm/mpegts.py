@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, trimmed
+from mnemospark.llm._common import materialise, text_id, trimmed, whole_ids
 
 #: Fixed values of the format.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0x0000
@@ -149,28 +149,40 @@ def _payload_starts(packets: np.ndarray) -> np.ndarray:
 
 
 def _sections(packets: np.ndarray, pid: int, table_id: int) -> Iterator[bytes]:
-    """The checked sections of a table that lie within one packet or span several."""
+    """The checked sections of a table, several in a packet or over several packets; repeats once.
+
+    A packet that begins a section says where: what comes before that place
+    ends the section of the packets before it.
+    """
     own = packets[((packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]) == pid]
     seen: set[bytes] = set()
-    starts = _payload_starts(own)
-    pending = b""
-    for packet, start in zip(own, starts, strict=True):
+    pending: bytes | None = None  # None: nothing has begun yet
+
+    def whole() -> Iterator[bytes]:
+        nonlocal pending
+        while pending is not None and len(pending) >= 3 and pending[0] != 0xFF:
+            size = 3 + (int.from_bytes(pending[1:3], "big") & 0x0FFF)
+            if len(pending) < size:
+                return
+            section, pending = pending[:size], pending[size:]
+            if section in seen:
+                continue
+            seen.add(section)
+            if section_crc(section) != 0:
+                raise StreamError(f"the CRC of table {table_id} is wrong")
+            if section[0] == table_id:
+                yield section
+
+    for packet, start in zip(own, _payload_starts(own), strict=True):
         data = packet[start:].tobytes()
-        if packet[1] & 0x40:
-            pending = data[1 + data[0] :] if data else b""
-        else:
+        if packet[1] & 0x40 and data:
+            if pending is not None:
+                pending += data[1 : 1 + data[0]]
+                yield from whole()
+            pending = data[1 + data[0] :]
+        elif pending is not None:
             pending += data
-        if len(pending) < 3 or pending in seen:
-            continue
-        size = 3 + (int.from_bytes(pending[1:3], "big") & 0x0FFF)
-        if len(pending) < size:
-            continue
-        seen.add(pending)
-        section = pending[:size]
-        if section_crc(section) != 0:
-            raise StreamError(f"the CRC of table {table_id} is wrong")
-        if section[0] == table_id:
-            yield section
+        yield from whole()
 
 
 def parse(media: bytes) -> Stream:
@@ -271,22 +283,38 @@ def _slices(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
         yield batch.iloc[start:]
 
 
+_INDEX = "pts array<long>, payload_offsets array<long>, packets array<long>, random_access array<boolean>"
+
+
+def _index(units: list[tuple]) -> tuple[list, list, list, list]:
+    return tuple([u[k] for u in units] for k in range(4))
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each text (null: empty) as a transport stream, in a table in the shared folder."""
+    """doc_id, n_bytes, media and the index of its access units, in a table in the shared folder.
+
+    Each text (null: empty) is a transport stream. The index has, for each
+    unit, its timestamp, where it begins in the payload and among the packets,
+    and whether a decoder can begin there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["pts", "payload_offsets", "packets", "random_access"]
         for batch in batches:
             for part in _slices(batch, "text"):
                 rows = [padded_payload(t) for t in part.text]
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "n_bytes": [n for n, _ in rows], "media": [mux(p) for _, p in rows]})
+                media = [mux(p) for _, p in rows]
+                index = [_index(parse(m).units) for m in media]
+                yield pd.DataFrame({"doc_id": whole_ids(part.doc_id), "n_bytes": [n for n, _ in rows], "media": media} | {c: [x[k] for x in index] for k, c in enumerate(names)})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialise(texts.mapInPandas(trimmed(run), "doc_id long, n_bytes long, media binary"), "media")
+    texts = docs.select(text_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return materialise(texts.mapInPandas(trimmed(run), "doc_id long, n_bytes long, media binary, " + _INDEX), "media")
 
 
 def digest(stored: DataFrame) -> DataFrame:
     """Read each stored stream back: sizes, digests and features of payload and media.
 
+    index_holds: the stored index of access units is the one the stream has.
     Null media counts as an empty stream.
     """
 
@@ -294,31 +322,27 @@ def digest(stored: DataFrame) -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []
-            for doc, n, media in zip(batch.doc_id.astype("Int64"), batch.n_bytes, batch.media, strict=True):
+            for n, media, *index in zip(batch.n_bytes, batch.media, batch.pts, batch.payload_offsets, batch.packets, batch.random_access, strict=True):
                 media = media or b""
                 s = parse(media)
                 p = s.payload
-                rows.append((doc, n, len(p), sha(p), zlib.crc32(p[-16:]), len(media), sha(media), feature(s), len(s.units), sum(u[3] for u in s.units), s.continuity_errors))
+                holds = all(x is not None and list(x) == y for x, y in zip(index, _index(s.units), strict=True))
+                rows.append((n, len(p), sha(p), zlib.crc32(p[-16:]), len(media), sha(media), feature(s), len(s.units), sum(u[3] for u in s.units), s.continuity_errors, holds))
             names = [f.strip().split(" ")[0] for f in _DIGEST.split(",")]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=names[1:])
+            out.insert(0, "doc_id", whole_ids(batch.doc_id))
+            yield out
 
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(trimmed(run), _DIGEST)
+    return stored.select(text_id("doc_id").alias("doc_id"), "n_bytes", "media", "pts", "payload_offsets", "packets", "random_access").mapInPandas(trimmed(run), _DIGEST)
 
 
 _DIGEST = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, n_units long, n_access_points long, continuity_errors long"
+    "feature string, n_units long, n_access_points long, continuity_errors long, index_holds boolean"
 )
 
 
 def access_units(stored: DataFrame) -> DataFrame:
-    """One row per access unit: doc_id, unit, pts, payload_offset, packet, random_access."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "unit", "pts", "payload_offset", "packet", "random_access"]
-        for batch in batches:
-            for part in _slices(batch, "media"):
-                rows = [(d, i, *u) for d, m in zip(part.doc_id.astype("Int64"), part.media, strict=True) for i, u in enumerate(parse(m or b"").units)]
-                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "pts": "Int64"})
-
-    return stored.select("doc_id", "media").mapInPandas(trimmed(run), "doc_id long, unit int, pts long, payload_offset long, packet long, random_access boolean")
+    """One row per access unit, from the stored index: doc_id, unit, pts, payload_offset, packet, random_access."""
+    units = stored.select("doc_id", F.posexplode(F.arrays_zip("pts", "payload_offsets", "packets", "random_access")).alias("unit", "u"))
+    return units.select("doc_id", "unit", "u.pts", F.col("u.payload_offsets").alias("payload_offset"), F.col("u.packets").alias("packet"), "u.random_access")

@@ -43,6 +43,24 @@ def test_continuity_and_duplicates():
     assert (s.duplicates, s.continuity_errors, s.payload) == (1, 0, bytes(range(256)) * 100)
 
 
+def test_sections_that_share_packets():
+    """A section that ends where the next begins, after the pointer, and two in one packet."""
+
+    def section(table: int, body: bytes) -> bytes:
+        head = bytes([table]) + (0xB000 | len(body) + 4).to_bytes(2, "big")
+        return head + body + mpegts.section_crc(head + body).to_bytes(4, "big")
+
+    def packet(begins: int | None, data: bytes, counter: int) -> bytes:
+        data = (b"" if begins is None else bytes([begins])) + data
+        return bytes([0x47, 0x40 if begins is not None else 0, 0x20, 0x10 | counter]) + data.ljust(184, b"\xff")
+
+    a, b, c = section(2, b"a" * 300), section(2, b"b" * 20), section(2, b"c" * 20)
+    rest = a[183:]
+    data = packet(0, a[:183], 0) + packet(len(rest), rest + b + c, 1)
+    got = list(mpegts._sections(np.frombuffer(data, np.uint8).reshape(-1, PACKET), 0x20, 2))
+    assert got == [a, b, c]
+
+
 def test_malformed():
     data = stream()
     for change in (lambda d: d[:-1], lambda d: b"\x00" + d[1:], lambda d: d[:8] + b"\xff" + d[9:], lambda d: d[PACKET * 2 :], lambda d: d[:PACKET] * 2):
@@ -62,7 +80,7 @@ def test_operator(spark):
         n, payload = padded_payload(t or "")
         r = got[i, n]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert len(payload) % 192 == 0 and len(payload) > 0 and r.media_bytes % PACKET == 0 and r.continuity_errors == 0
+        assert len(payload) % 192 == 0 and len(payload) > 0 and r.media_bytes % PACKET == 0 and r.continuity_errors == 0 and r.index_holds
     units = mpegts.access_units(stored).where("doc_id = 5").orderBy("unit").collect()
     assert len(units) == -(-200064 // mpegts.UNIT) and units[0].random_access and not units[1].random_access
     assert np.all(np.diff([u.pts for u in units]) == 3600)
