@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, open_fs, shared_path, trimmed
+from mnemospark.llm._common import lookup, materialise, open_fs, text_id, trimmed
+from mnemospark.storage import shared_path
 
 #: The skippable frame that carries a dictionary (a fixed value of the format).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -126,7 +127,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for page, url, html, first, revisit in zip(b.page_id, b.url, b.html, b.refers_to, b.revisit, strict=True):
-                    yield (None if pd.isna(page) else int(page), url, (html or "").encode(), None if pd.isna(first) else int(first), bool(revisit))
+                    yield (None if page is None else int(page), url, (html or "").encode(), None if first is None else int(first), bool(revisit))
 
         def write(first: list[tuple], more: Iterator[tuple]) -> pd.DataFrame:
             name = f"part-{uuid.uuid4().hex}.warc.zst"
@@ -155,7 +156,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 return
             yield write(first, stream)
 
-    return materialise(records.select("page_id", "url", "html", "refers_to", "revisit").mapInPandas(trimmed(run), "archive string, n_records long, size long"), "warc-manifest")
+    return materialise(records.select(text_id("page_id").alias("page_id"), "url", "html", text_id("refers_to").alias("refers_to"), "revisit").mapInPandas(trimmed(run), "archive string, n_records long, size long"), "warc-manifest")
 
 
 def read_stream(file) -> Iterator[dict]:
@@ -200,7 +201,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "url", "payload"]
-        of = lambda urn: None if urn is None or urn == "<urn:page:None>" else int(urn[10:-1])
+        of = lambda urn: pd.NA if urn is None or urn == "<urn:page:None>" else int(urn[10:-1])
         for batch in batches:
             for archive, n_records in zip(batch.archive, batch.n_records, strict=True):
                 fs, path = open_fs(archive)
@@ -232,8 +233,8 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(firsts, "digest")
+    firsts = materialise(rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")), "digests")
+    joined = lookup(rows, firsts, ["digest"], "n", ["page_id", "url"])
     revisit = (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
