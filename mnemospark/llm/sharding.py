@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import gapless_rank, materialise
+from mnemospark.llm._common import gapless_rank, lookup, materialise
 
 SHARDS = 8
 ROUNDS = 6
@@ -40,9 +40,9 @@ def requests(placed: DataFrame, links: DataFrame, rooms: list[bool]) -> DataFram
     """
     shards = range(len(rooms))
     at = links.join(placed, "item")
-    votes = at.groupBy("hub").agg(*[F.count_if(F.col("shard") == k).alias(f"v{k}") for k in shards])
+    votes = at.groupBy("hub").agg(F.count("*").alias("n"), *[F.count_if(F.col("shard") == k).alias(f"v{k}") for k in shards])
     tie = [F.when(F.col(f"v{k}") > 0, F.col(f"v{k}") + F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1000)) / 2500).otherwise(0.0).alias(f"v{k}") for k in shards]
-    heard = at.join(votes.select("hub", *tie), "hub").groupBy("item", "shard").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in shards])
+    heard = lookup(at, materialise(votes.select("hub", "n", *tie), "votes"), ["hub"], "n", ["item"]).groupBy("item", "shard").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in shards])
     open_votes = [F.when((F.lit(rooms[k])) | (F.col("shard") == k), F.col(f"v{k}")).otherwise(-1.0) for k in shards]
     most = F.greatest(*open_votes)
     wish = reduce(lambda rest, k: F.when(open_votes[k] == most, F.lit(k)).otherwise(rest), reversed(shards), F.lit(None).cast("int"))
@@ -163,8 +163,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     items = materialise(read, "items")
     total = items.count()
     quota = [total // shards + (k < total % shards) for k in range(shards)]
-    shared = items.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    links = materialise(items.join(shared, "hub", "left_semi").select("item", "hub"), "links")
+    shared = materialise(items.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "hubs")
+    links = materialise(lookup(items, shared, ["hub"], "n", ["item"]).where("n IS NOT NULL").select("item", "hub"), "links")
     placed = propagate(links, quota, rounds)
     held = items.join(placed, "item").drop("hub")
     slotted = gapless_rank(materialise(held, "linked"), ["shard"], ["item"], "slot")
