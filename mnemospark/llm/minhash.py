@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, trimmed
+from mnemospark.llm._common import materialise, text_id, trimmed, whole_ids
 
 COORDINATES = 128
 MISS = 1e-6
@@ -125,7 +125,7 @@ def _by_bytes(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(text_id("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, words: int, threshold: float) -> DataFrame:
         for batch in batches:
             for part in _by_bytes(batch, "text"):
                 out = []
-                for doc, text in zip(part.doc_id.astype("Int64"), part.text, strict=True):
+                for doc, text in zip(whole_ids(part.doc_id), part.text, strict=True):
                     s = shingle(text)
                     if not len(s):
                         out.append((doc, 0, None, *empty))
@@ -162,7 +162,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pd.DataFrame({"node": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     texts = _texts(docs)
-    chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+    chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(text_id(wanted["wanted_id"])), "left_semi")
     sets = chosen.mapInPandas(trimmed(run), "node binary, shingles binary")
     return materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets", "uncompressed")
 
@@ -176,10 +176,11 @@ def _like(threshold: tuple[int, int], a: str, b: str) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets have d * |A and B| >= n * |A or B|."""
+    """The pairs (a, b and other columns) whose full sets have d * |A and B| >= n * |A or B|."""
     n, d = threshold
+    pairs_columns = pairs.columns
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,9 +190,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 both = np.sort(np.concatenate((p, q)))
                 common = int((both[1:] == both[:-1]).sum())
                 hit.append(d * common >= n * (len(p) + len(q) - common))
-            yield batch.loc[hit, ["a", "b"]]
+            yield batch.loc[hit, pairs_columns]
 
-    return both.mapInPandas(trimmed(run), "a binary, b binary")
+    return both.mapInPandas(trimmed(run), pairs.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,25 +257,32 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     sets = _shingle_sets(docs, wanted, words)
     like = _like(threshold, "x", "y")
     comps: DataFrame | None = None
-    edges: DataFrame | None = None
 
     def merge(pairs: DataFrame) -> None:
-        nonlocal comps, edges
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        found = materialise(confirmed(pairs, sets, threshold), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        comps = components(edges)
+        """Confirm pairs of nodes in unlike components; only the new links between components are contracted."""
+        nonlocal comps
+        a, b = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+        found = materialise(confirmed(pairs.select(a, b, F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).dropDuplicates(["a", "b"]), sets, threshold), "links")
+        joined = components(materialise(found.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "component-links"))
+        if comps is None:
+            comps = joined
+        else:  # what was linked before may be linked further; what was alone is in `joined` itself
+            moved = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+            comps = materialise(moved.unionByName(joined.join(comps.select("node"), "node", "left_anti")), "components")
 
     for k in range(STAR_ROUNDS):
         x = mixed_buckets(buckets, comps)
+        if comps is not None and x.isEmpty():
+            break
         leader = F.min_by(F.struct("node", "n", "sketch", "comp"), F.xxhash64("node", "key", F.lit(k))).alias("leader")
         leaders = x.groupBy("key").agg(leader).select("key", "leader.*")
         pairs = x.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & like)
         merge(pairs)
-    rest = mixed_buckets(buckets, comps)
-    x, y = rest.where("comp <> largest").alias("x"), rest.alias("y")
-    other = (F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    merge(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & other & like))
+    else:
+        rest = mixed_buckets(buckets, comps)
+        x, y = rest.where("comp <> largest").alias("x"), rest.alias("y")
+        other = (F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+        merge(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & other & like))
     known = _with_comp(sigs.where("node IS NOT NULL").select("doc_id", "n", "node"), comps)
     named = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = known.join(named, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
