@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, trimmed
+from mnemospark.llm._common import lookup, materialise, trimmed
 
 GRAM, WINDOW = 26, 25
 LEAST = GRAM + WINDOW - 1
@@ -189,7 +189,7 @@ def contexts(docs: DataFrame, anchors: DataFrame, firsts: DataFrame) -> DataFram
     the white space after each word, where it isn't one character throughout.
     Of rows with equal texts only the first (firsts: doc, first) is read.
     """
-    grouped = anchors.groupBy("doc").agg(F.collect_set("suffix").alias("suffixes")).join(firsts, "doc")  # as long as a document's text at most
+    grouped = anchors.groupBy("doc").agg(F.collect_set("suffix").alias("suffixes")).join(firsts.select("doc", "first"), "doc")  # as long as a document's text at most
 
     def of(text: str, wanted: np.ndarray, hashes: WordHashes) -> Iterator[tuple]:
         words = text.split()
@@ -398,17 +398,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     table = retained(docs)
     heads = table.where("suffix IS NULL").drop("suffix")
-    firsts = heads.groupBy("doc").agg(F.min(F.struct("no_id", "id")).alias("first"))
+    firsts = materialise(heads.groupBy("doc").agg(F.min(F.struct("no_id", "id")).alias("first"), F.count("*").alias("n_rows")), "firsts")
     anchors = repeated(table.where("suffix IS NOT NULL").select("suffix", "doc"))
     order = ["gram", "no_id", "id", "doc"]
-    sorted_contexts = contexts(docs, anchors, firsts).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(extend(sorted_contexts), "matches")
+    around = materialise(contexts(docs, anchors, firsts), "contexts")
+    found = materialise(extend(around.repartitionByRange(*order).sortWithinPartitions(*order)), "matches")
     matches = found.where("passage IS NULL").unionByName(later(found.where("passage IS NOT NULL"))).drop("passage")
     parts = F.collect_set(F.struct("start", "n_words", "begin", "end", "first_no_id", "first_id")).alias("parts")
     spans = materialise(matches.groupBy("doc", "no_id", "id").agg(parts).mapInPandas(trimmed(_merge), _SPANS), "spans")
     # Copies: their passages occur first where those of the first of them do, or in it.
     known = spans.groupBy("doc").agg(F.flatten(F.collect_list("first_doc_ids")).alias("ids"), F.sum("windows").alias("windows"))
-    copies = heads.join(firsts, "doc").where((F.col("id") != F.col("first.id")) | (F.col("no_id") != F.col("first.no_id"))).distinct().join(known, "doc", "left")
+    again = lookup(heads, firsts.where("n_rows > 1"), ["doc"], "n_rows", ["id"]).where("first IS NOT NULL")
+    copies = again.where((F.col("id") != F.col("first.id")) | (F.col("no_id") != F.col("first.no_id"))).drop("n_rows").distinct()
+    copies = lookup(copies, materialise(known.join(firsts.where("n_rows > 1").select("doc", "n_rows"), "doc"), "known"), ["doc"], "n_rows", ["id"])
     none = F.array().cast("array<bigint>")
     own = F.when((F.coalesce("windows", F.lit(0)) < F.col("n_words") - LEAST + 1) & ~F.col("first.no_id"), F.array("first.id")).otherwise(none)
     ids = F.array_sort(F.array_distinct(F.concat(F.coalesce("ids", none), own)))
