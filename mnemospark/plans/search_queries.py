@@ -143,7 +143,7 @@ def recall_distinct_pairs(spark, sf_dir):
 def trigger_binding(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     near = _similar(spark, sf_dir).select(F.col("query_id").alias("id"), F.col("id").alias("bound"), "score")
-    found = search.triggers(d, near, text.hits(F.col("text"), "constraint") + text.hits(F.col("text"), "requirement") > 0, 0.1)
+    found = search.triggers(d, near, F.lower("text").rlike(r"\b(never|always|the|el|le|die)\b"), 0.1)
     return found.select("id", "bound", "rank", F.round("score", 6).alias("score"))
 
 
@@ -209,6 +209,6 @@ SELECT query_id, kind, id, round(score, 6) AS score FROM ({_top('s', 'query_id,
     "recall_similar_quests": f"WITH {_SIMILAR}, s AS (SELECT * FROM sims WHERE id % 50 = 0) SELECT query_id, id, rank, round(score, 6) AS score FROM ({_top('s', 'query_id', 'score', 2)})",
     "recall_reuse_candidates": f"""WITH {_SIMILAR} SELECT query_id, id, NOT EXISTS (SELECT 1 FROM nodes n WHERE archived AND n.node_id IN (id // 3, id + 1)) AS requires_satisfiable, round(score, 6) AS score FROM sims WHERE score >= 0.2""",
     "recall_distinct_pairs": f"WITH {_SIMILAR}, p AS (SELECT DISTINCT least(query_id, id) AS a, greatest(query_id, id) AS b FROM sims WHERE score >= 0.25) SELECT * FROM p WHERE (a + b) % 3 <> 0",
-    "trigger_binding": f"""WITH {_SIMILAR}, m AS (SELECT doc_id FROM documents WHERE {' OR '.join(f"regexp_matches(lower(coalesce(text, '')), '{p}')" for k in ('constraint', 'requirement') for p in text.SIGNALS[k] if '(?!' not in p)} OR regexp_matches(regexp_replace(lower(coalesce(text, '')), '\\bmust\\s+not\\b', ' ', 'g'), '\\bmust\\b')
+    "trigger_binding": rf"""WITH {_SIMILAR}, m AS (SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\b(never|always|the|el|le|die)\b')
 ), s AS (SELECT query_id AS id, id AS bound, score FROM sims WHERE score >= 0.1 AND query_id IN (SELECT doc_id FROM m)) SELECT id, bound, rank, round(score, 6) AS score FROM ({_top('s', 'id', 'score', 3, 'bound')})""",
 }
