@@ -1,11 +1,14 @@
-"""Text rules as column expressions: signals, valence, salience, artifacts, triggers, routing. All run inside the JVM."""
+"""Text rules as column expressions: signals, valence, salience, artifacts, triggers, routing. All but nfc() run inside the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The signal patterns, priors and word lists of the rules.
 SIGNALS: dict[str, list[str]] = {
@@ -131,9 +134,15 @@ def token_estimate(text: Column) -> Column:
     return F.coalesce(F.floor(F.length(text) / 3), F.lit(0)).cast("long")
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode composed (NFC); Spark has no function for it. ASCII passes as it is."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def normalised(text: Column) -> Column:
-    """White space collapsed and trimmed; case stays."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    """Unicode composed, white space collapsed and trimmed; case stays."""
+    return F.trim(F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
 def dedupe_key(table: str, text: Column, source: Column, idempotency_key: Column) -> Column:

@@ -49,7 +49,7 @@ def permitted(edges: DataFrame, entry: str, tier: str, policies: DataFrame, max_
     length to it passes a node with another mode; the fewest unblocked hops
     are returned. Whether any walk is blocked is carried along, not the walks.
     """
-    steps = edges.where(F.col("rel_type").isin(*rel_types)).select("src", "dst").distinct()
+    steps = cut(edges.where(F.col("rel_type").isin(*rel_types)).select("src", "dst").distinct(), "steps")
     bad = policies.where(F.col("mode").isNotNull() & (F.col("mode") != tier)).select("node").distinct().withColumn("bad", F.lit(True))
     spark = edges.sparkSession
     level = spark.createDataFrame([(entry,)], "node string").join(bad, "node", "left").select("node", F.coalesce("bad", F.lit(False)).alias("blocked"))
@@ -63,7 +63,7 @@ def permitted(edges: DataFrame, entry: str, tier: str, policies: DataFrame, max_
 
 def explore(edges: DataFrame, start: str, max_depth: int, direction: str = "out") -> DataFrame:
     """Breadth-first search with first discoverer: node, depth, parent, path, path_strength (mean edge confidence, null counts 1)."""
-    steps = directed(edges, direction).groupBy("src", "dst").agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("w"))
+    steps = cut(directed(edges, direction).groupBy("src", "dst").agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("w")), "steps")
     spark = edges.sparkSession
     level = spark.createDataFrame([(start,)], "node string").select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("path"), F.lit(0.0).alias("total"))
     found = [level]
@@ -91,6 +91,24 @@ def ready(tasks: DataFrame, depends: DataFrame, done: tuple[str, ...]) -> DataFr
     return tasks.where(F.col("status") == "pending").join(waiting, "task_id", "left_anti")
 
 
+def blocked(tasks: DataFrame, depends: DataFrame) -> DataFrame:
+    """Pending tasks (task_id) downstream of a failed one, over any number of dependencies (task_id, on_id).
+
+    Level by level over stored tables; a task that is reached again leads nowhere new.
+    """
+    steps = cut(depends.select("task_id", "on_id").distinct(), "depends")
+    frontier = cut(tasks.where("status = 'failed'").select("task_id").distinct(), "frontier")
+    found = [frontier]
+    while True:
+        ahead = steps.join(frontier.select(F.col("task_id").alias("on_id")), "on_id", "left_semi").select("task_id").distinct()
+        frontier = cut(ahead.join(reduce(DataFrame.unionByName, found), "task_id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        found.append(frontier)
+    hit = reduce(DataFrame.unionByName, found[1:]) if found[1:] else frontier
+    return tasks.where("status = 'pending'").join(hit, "task_id", "left_semi").select("task_id")
+
+
 def shared_neighbours(edges: DataFrame, least: int) -> DataFrame:
     """Pairs of sources with at least `least` neighbours in common: a, b, shared.
 
@@ -110,11 +128,20 @@ def degree_hotspots(edges: DataFrame, k: int, alert: int) -> DataFrame:
     return both.withColumn("rn", rank).where(F.col("rn") <= k).select("rel_type", "side", "node", "degree", (F.col("degree") >= alert).alias("alert"))
 
 
-def cooccurrence(members: DataFrame, max_pairs: int = 45) -> DataFrame:
-    """Pairs of items (group_id, item) per group, at most max_pairs a group in order: a, b, n groups."""
+def cooccurrence(members: DataFrame, max_pairs: int | None = 45) -> DataFrame:
+    """Pairs of items (group_id, item) per group, at most max_pairs a group in order (None: all): a, b, n groups.
+
+    The first max_pairs ordered pairs of a group lie among its first
+    max_pairs + 1 items, so only those are paired, however large the group.
+    """
     m = members.select("group_id", "item").distinct()
+    if max_pairs is not None:
+        place = F.row_number().over(Window.partitionBy("group_id").orderBy("item"))
+        m = m.withColumn("place", place).where(F.col("place") <= max_pairs + 1).drop("place")
     x, y = m.alias("x"), m.alias("y")
     pairs = x.join(y, (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.group_id").alias("g"), F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+    if max_pairs is None:
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy("a", "b"))
     return pairs.withColumn("rn", rank).where(F.col("rn") <= max_pairs).groupBy("a", "b").agg(F.count("*").alias("n"))
 

@@ -30,9 +30,12 @@ def timeline(messages: DataFrame, match: Column, most: int = 20) -> DataFrame:
 
 def prior_session(sessions: DataFrame) -> DataFrame:
     """As of: the session of the same quest that was last active before each one started. sessions: quest_id, session_id, started_at, last_active_at."""
-    other = sessions.select("quest_id", F.col("session_id").alias("prior_id"), F.col("last_active_at").alias("prior_active"))
-    seen = sessions.join(other, "quest_id").where((F.col("prior_id") != F.col("session_id")) & (F.col("prior_active") < F.col("started_at")))
-    return seen.groupBy("session_id").agg(F.max_by("prior_id", F.struct("prior_active", "prior_id")).alias("prior_id"))
+    ends = sessions.select("quest_id", F.col("last_active_at").alias("at"), F.lit(1).alias("is_end"), "session_id")
+    starts = sessions.select("quest_id", F.col("started_at").alias("at"), F.lit(0).alias("is_end"), "session_id")
+    # At one time starts come before ends, so an end is seen by later starts only.
+    w = Window.partitionBy("quest_id").orderBy("at", "is_end", "session_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = ends.unionByName(starts).withColumn("prior", F.max(F.when(F.col("is_end") == 1, F.struct("at", "session_id"))).over(w))
+    return seen.where("is_end = 0 AND prior IS NOT NULL").select("session_id", F.col("prior.session_id").alias("prior_id"))
 
 
 def changes_since(rows: DataFrame, since: Column, most: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.operators import graph
@@ -54,11 +55,14 @@ def graph_cycle_check(spark, sf_dir):
 
 
 def _tasks(spark, sf_dir):
+    """A customer's orders as tasks: the k-th depends on the k/2-th and the k/3-th, directly."""
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
-    tasks = o.select(F.col("o_orderkey").alias("task_id"), status.alias("status"), "o_custkey")
-    depends = tasks.alias("a").join(tasks.alias("b"), (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("b.task_id") < F.col("a.task_id")))
-    return tasks.drop("o_custkey"), depends.select(F.col("a.task_id").alias("task_id"), F.col("b.task_id").alias("on_id"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    placed = o.select(F.col("o_orderkey").alias("task_id"), status.alias("status"), "o_custkey", place.alias("place"))
+    on = F.explode(F.array_distinct(F.array(F.floor(F.col("place") / 2), F.floor(F.col("place") / 3)))).alias("on_place")
+    direct = placed.select("task_id", "o_custkey", on).join(placed.select("o_custkey", F.col("place").alias("on_place"), F.col("task_id").alias("on_id")), ["o_custkey", "on_place"])
+    return placed.select("task_id", "status"), direct.select("task_id", "on_id")
 
 
 def graph_ready_tasks(spark, sf_dir):
@@ -68,10 +72,7 @@ def graph_ready_tasks(spark, sf_dir):
 
 def graph_blocked_dependents(spark, sf_dir):
     """Pending tasks downstream of a failed one."""
-    tasks, depends = _tasks(spark, sf_dir)
-    failed = tasks.where("status = 'failed'").select(F.col("task_id").alias("on_id"))
-    blocked = depends.join(failed, "on_id", "left_semi").select("task_id").distinct()
-    return tasks.where("status = 'pending'").join(blocked, "task_id", "left_semi").select("task_id")
+    return graph.blocked(*_tasks(spark, sf_dir))
 
 
 def graph_shared_neighbours(spark, sf_dir):
@@ -103,11 +104,10 @@ def graph_unpromoted_pairs(spark, sf_dir):
 
 
 def graph_orphans(spark, sf_dir):
-    """Customers without an order and parts without a line."""
-    e = edges(spark, sf_dir)
+    """Customers whom no urgent order and no large one points at."""
+    o = table(spark, sf_dir, "orders").withColumn("dst", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
-    back = graph.directed(e.where("rel_type = 'INVOKES'"), "in")
-    return graph.orphans(c, back)
+    return graph.orphans(c, o.where("o_orderpriority = '1-URGENT'"), o.where("o_totalprice > 400000"))
 
 
 QUERIES = {f.__name__: f for f in (graph_khop_forward, graph_impact_of, graph_lineage, graph_permitted_paths, graph_explore, graph_explain_path, graph_cycle_check, graph_ready_tasks, graph_blocked_dependents, graph_shared_neighbours, graph_degree_hotspots, graph_cooccurrence, graph_unpromoted_pairs, graph_orphans)}
@@ -118,8 +118,8 @@ def _walk(start: str, hops: int, a: str = "src", b: str = "dst", where: str = "t
   SELECT '{start}', 0 UNION SELECT e.{b}, hops + 1 FROM w JOIN edges e ON e.{a} = w.node WHERE hops < {hops} AND {where})"""
 
 
-_TASKS = """WITH tasks AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_custkey FROM orders
-), depends AS (SELECT a.task_id, b.task_id AS on_id, b.status AS on_status FROM tasks a JOIN tasks b ON a.o_custkey = b.o_custkey AND b.task_id < a.task_id)"""
+_TASKS = """WITH tasks AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders
+), depends AS (SELECT a.task_id, b.task_id AS on_id, b.status AS on_status FROM tasks a JOIN tasks b ON a.o_custkey = b.o_custkey AND b.place IN (a.place // 2, a.place // 3))"""
 _PAIRS = """WITH m AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS item FROM lineitem
 ), p AS (SELECT x.g, x.item AS a, y.item AS b, row_number() OVER (PARTITION BY x.g ORDER BY x.item, y.item) AS rn FROM m x JOIN m y ON x.g = y.g AND x.item < y.item
 ), n AS (SELECT a, b, count(*) AS n FROM p WHERE rn <= 45 GROUP BY a, b)"""
@@ -144,7 +144,8 @@ UNION ALL SELECT node, 3, parent, round(total / 3, 3), path FROM l3""",
   round(avg(CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey % 10 / 10.0 ELSE 1.0 END), 6) AS confidence FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey""",
     "graph_cycle_check": _walk("n3", 5) + " SELECT count(*) > 0 AS cycle FROM w WHERE node = 's1' AND hops > 0 UNION ALL SELECT false",
     "graph_ready_tasks": _TASKS + " SELECT task_id, status FROM tasks t WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM depends d WHERE d.task_id = t.task_id AND on_status <> 'complete')",
-    "graph_blocked_dependents": _TASKS + " SELECT task_id FROM tasks t WHERE status = 'pending' AND EXISTS (SELECT 1 FROM depends d WHERE d.task_id = t.task_id AND on_status = 'failed')",
+    "graph_blocked_dependents": _TASKS.replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT task_id FROM depends WHERE on_status = 'failed' UNION SELECT d.task_id FROM w JOIN depends d ON d.on_id = w.task_id)
+SELECT task_id FROM tasks WHERE status = 'pending' AND task_id IN (SELECT task_id FROM w)""",
     "graph_shared_neighbours": """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
 SELECT x.s AS a, y.s AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.s < y.s GROUP BY x.s, y.s HAVING count(*) >= 60""",
     "graph_degree_hotspots": f"""WITH {EDGES_SQL}, d AS (SELECT rel_type, 'out' AS side, src AS node, count(*) AS degree FROM edges GROUP BY ALL
@@ -152,5 +153,5 @@ SELECT x.s AS a, y.s AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND
 SELECT rel_type, side, node, degree, degree >= 500 AS alert FROM r WHERE rn <= 10""",
     "graph_cooccurrence": _PAIRS + " SELECT * FROM n WHERE n >= 2",
     "graph_unpromoted_pairs": _PAIRS + " SELECT n.* FROM n JOIN part x ON a = x.p_partkey JOIN part y ON b = y.p_partkey WHERE n >= 2 AND x.p_brand <> y.p_brand",
-    "graph_orphans": "SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "graph_orphans": "SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_totalprice > 400000)",
 }

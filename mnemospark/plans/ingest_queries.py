@@ -73,5 +73,6 @@ ORACLE_SQL = {name: sql.replace("FROM data", f"FROM {source} AS data").replace("
     "ingest_html_text": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages""",
     "ingest_graph_dump": """SELECT 'INVOKES' AS rel_type, count(*) AS n, round(sum(CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey % 10 / 10.0 END), 4)::DOUBLE AS confidence FROM orders
   WHERE o_custkey IN (SELECT c_custkey FROM customer) OR o_custkey IN (SELECT o_custkey FROM orders)""",
-    "stream_turns": """SELECT role, count(*) AS n, CAST(sum(length(substr(coalesce(text, ''), 1, 4000)) // 3) AS BIGINT) AS tokens FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY role""",
+    "stream_turns": """SELECT role, count(*) AS n, CAST(sum(length(CASE WHEN length(t) <= 4000 THEN t WHEN regexp_extract(substr(t, 1, 4000), '(?s)^(.*[.!?])\\s', 1) <> '' THEN regexp_extract(substr(t, 1, 4000), '(?s)^(.*[.!?])\\s', 1)
+  WHEN regexp_extract(substr(t, 1, 4000), '(?s)^(.*\\S)\\s', 1) <> '' THEN regexp_extract(substr(t, 1, 4000), '(?s)^(.*\\S)\\s', 1) ELSE substr(t, 1, 4000) END) // 3) AS BIGINT) AS tokens FROM (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS t FROM conversations) GROUP BY role""",
 }

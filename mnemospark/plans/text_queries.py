@@ -140,7 +140,7 @@ SELECT p_partkey, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws[1
     "text_signal_type": f"WITH {SPOKEN_SQL} SELECT CASE WHEN {hits_sql('error')} > 0 THEN 'error' WHEN {hits_sql('action')} > 0 THEN 'action' END AS signal, count(*) AS n FROM spoken GROUP BY 1",
     "text_token_estimate": "SELECT source, count(*) AS n, CAST(sum(coalesce(length(text) // 3, 0)) AS BIGINT) AS tokens FROM documents GROUP BY source",
     "text_dedupe_key": """WITH k AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'idemp:k' || doc_id
-  ELSE sha256('Document' || chr(1) || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) || chr(1) || coalesce(source, '')) END AS dedupe_key FROM documents)
+  ELSE sha256('Document' || chr(1) || trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g')) || chr(1) || coalesce(source, '')) END AS dedupe_key FROM documents)
 SELECT dedupe_key, min(doc_id) AS live_id, count(*) AS seen FROM k GROUP BY dedupe_key""",
     "text_input_router": """WITH d AS (SELECT doc_id, doc_id % 5 AS e, doc_id % 4 AS m, doc_id % 7 AS b, text FROM documents
 ), l AS (SELECT *, string_split(trim(text), chr(10)) AS ls FROM d

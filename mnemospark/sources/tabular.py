@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_CHUNK, MAX_CHUNK = 80, 2000
+#: Chunks are handed to Spark after so many characters of text.
+OUT_CHARS = 1 << 20
 _BREAK = re.compile(r"\n{2,}|\n(?=#{1,6} )")
 _SENTENCE = re.compile(r"[.!?]\s")
 
@@ -23,11 +26,28 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(data: DataFrame, sql: str) -> DataFrame:
-    """A SELECT over the one view `data`; anything but a query is refused."""
-    if not re.match(r"\s*(SELECT|WITH|VALUES)\b", sql, re.IGNORECASE):
+    """A SELECT over the one table `data`; what is no query, or reads another table, path or file, is refused.
+
+    The text becomes a subquery, where no statement that changes anything can
+    stand, and its parsed plan may name `data` and its own CTEs only. A view
+    that the caller has under that name is neither read nor replaced.
+    """
+    spark = data.sparkSession
+    view = f"dataset_{uuid.uuid4().hex}"
+    if re.match(r"\s*(SELECT|WITH|VALUES|\()", sql, re.IGNORECASE) is None:
         raise ValueError("only queries are allowed")
-    data.createOrReplaceTempView("data")
-    return data.sparkSession.sql(sql)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{sql}\n) AS asked").treeString()
+    except Exception as error:
+        raise ValueError("only queries are allowed") from error
+    own = {n.strip().strip("`").lower() for names in re.findall(r"CTE \[([^\]]*)\]", plan) for n in names.split(",")}
+    for name in re.findall(r"'?UnresolvedRelation \[([^\]]*)\]", plan):
+        if name.lower() != "data" and name.lower() not in own:
+            raise ValueError(f"{name}: only the table data may be read")
+    if re.search(r"UnresolvedTableValuedFunction|RelationTimeTravel|Command\b", plan):
+        raise ValueError("only the table data may be read")
+    data.createOrReplaceTempView(view)
+    return spark.sql(f"WITH data AS (SELECT * FROM {view}) SELECT * FROM (\n{sql}\n) AS asked")
 
 
 def profile(data: DataFrame) -> DataFrame:
@@ -79,14 +99,23 @@ def chunk(text: str) -> list[tuple[int, int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, number, begin, end, text of every chunk; null and blank texts have none."""
+    """doc_id, number, begin, end, text of every chunk; null and blank texts have none. Rows without an id keep their chunks."""
+    names = ["doc_id", "number", "begin", "end", "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, k, a, b, t[a:b]) for i, t in zip(batch.doc_id, batch.text, strict=True) for k, (a, b) in enumerate(chunk(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "number", "begin", "end", "text"])
-
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, number int, begin int, end int, text string")
+            rows, held = [], 0
+            for i, t in zip(batch.doc_id, batch.text, strict=True):
+                rows += [(i, k, a, b, t[a:b]) for k, (a, b) in enumerate(chunk(t))]
+                held += len(t)
+                if held > OUT_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    ids = F.col("doc_id").cast("long").cast("string").alias("doc_id")  # whole numbers beside nulls reach pandas as doubles
+    cut = docs.where("text IS NOT NULL").select(ids, "text").mapInPandas(run, "doc_id string, number int, begin int, end int, text string")
+    return cut.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def html_text(html):

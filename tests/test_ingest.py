@@ -15,8 +15,16 @@ def test_files(spark, tmp_path):
     assert {k: f.count() for k, f in frames.items()} == {"csv": 2, "tsv": 1, "json": 2}
     assert dict(frames["csv"].dtypes)["x"] == "int"
     assert tabular.query(frames["csv"], "SELECT sum(x) AS s FROM data").collect()[0].s == 3
-    with pytest.raises(ValueError):
-        tabular.query(frames["csv"], "DROP TABLE data")
+    frames["tsv"].createOrReplaceTempView("data")
+    frames["tsv"].createOrReplaceTempView("other")
+    assert tabular.query(frames["csv"], "WITH big AS (SELECT * FROM data WHERE x > 1) SELECT count(*) AS n FROM big JOIN data USING (x) WHERE x IN (SELECT x FROM data)").collect()[0].n == 1
+    assert spark.table("data").columns == ["x\ty"] or spark.table("data").count() == 1  # the caller's view stays
+    for bad in (
+        "DROP TABLE data", "WITH a AS (SELECT 1) INSERT INTO other SELECT * FROM a", "SELECT * FROM other", "SELECT * FROM data WHERE x IN (SELECT x FROM other)", f"SELECT * FROM parquet.`{tmp_path}`",
+        "SELECT 1) AS t; DROP TABLE data --", "WITH big AS (SELECT * FROM other) SELECT * FROM big", "SELECT * FROM range(3)", "SET a = 1",
+    ):
+        with pytest.raises(ValueError):
+            tabular.query(frames["csv"], bad)
     assert {r.column: r.null_count for r in tabular.profile(frames["csv"]).collect()} == {"x": 0, "y": 1}
 
 
@@ -31,6 +39,46 @@ def test_chunks():
     assert tabular.chunk("") == [] and tabular.chunk(" \n\n ") == []
 
 
+def test_chunks_of_rows_without_id(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a b"), (None, "c d"), (3, None), (4, " ")], "doc_id long, text string").coalesce(1)
+    assert sorted(((r.doc_id, r.text) for r in tabular.chunks(docs).collect()), key=str) == [(2**60 + 1, "a b"), (None, "c d")]
+
+
+def test_turns_are_shortened_at_a_sentence(spark):
+    from pyspark.sql import functions as F
+
+    from mnemospark.streaming.turns import shortened
+
+    texts = ["short", "One. Two three", "word " * 4, "x" * 20, None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(shortened(F.col("t"), 12)).collect()]
+    assert got == ["short", "One.", "word word", "x" * 12, None]
+
+
+def test_composed_texts_have_one_key(spark):
+    from pyspark.sql import functions as F
+
+    from mnemospark.functions import text
+
+    rows = [("caf\u00e9  au lait",), ("cafe\u0301 au\nlait ",), ("Caf\u00e9 au lait",)]
+    keys = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.dedupe_key("T", F.col("t"), F.lit("s"), F.lit(None).cast("string"))).collect()]
+    assert keys[0] == keys[1] != keys[2]
+
+
+def test_clamped_folds_over_many_chunks(spark, monkeypatch):
+    from mnemospark.operators import world
+
+    monkeypatch.setattr(world, "CHUNK", 4)
+    rng = np.random.default_rng(8)
+    rows = [(k % 3, i, bool(rng.random() < 0.5), float(rng.random() * 3)) for i, k in enumerate(rng.integers(0, 3, 200).tolist())]
+    want = {}
+    for h, _, up, w in rows:
+        c, n, low = want.get(h, (0.5, 0, False))
+        c = min(1.0, c + min(0.1, 0.05 * w)) if up else max(0.0, c - min(0.15, 0.1 * w))
+        want[h] = (c, n + 1, low or (not up and round(c, 9) < 0.1))
+    got = world.hypotheses(spark.createDataFrame(rows, "hypothesis long, at long, confirms boolean, weight double")).collect()
+    assert {(r.hypothesis, r.evidence_count, round(r.confidence, 9), r.demoted) for r in got} == {(h, n, round(c, 9), low) for h, (c, n, low) in want.items()}
+
+
 def test_leaders(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 4))
