@@ -32,8 +32,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/mnemospark/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a stored table: later reads neither recompute it nor depend on one executor."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own setting that drops a query's shuffle files when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df as a stored table: later reads neither recompute it nor depend on one executor.
+
+    What its computation shuffled is of no use once it is stored, so those
+    files go at once and not when the driver happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
