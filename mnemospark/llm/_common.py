@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.storage import shared_path
+from mnemospark.storage import cut
 
 
 #: Arrow batches hold so many bytes at most (and one row at least): texts differ in length by orders of magnitude.
@@ -45,11 +45,8 @@ def trimmed(run):
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage durably."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(df.sparkSession)
+    return cut(df, name, compression)
 
 
 def text_id(column: Column | str) -> Column:

@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ END_TOKEN = "<|endoftext|>"
 #: Bytes a stored token; 4 for vocabularies of more than 65536 tokens.
 TOKEN_BYTES = 2
 ROUNDS = 6
+#: Shards are written in so many turns, so that shuffle files hold a part of the tokens at a time.
+WAVES = 2
 LARGEST_DOMAIN = 1 << 62
 READ_RECORDS = 4096
 
@@ -198,9 +201,13 @@ def write_shards(order: Order, folder: str, tokens: int = SEQUENCE_TOKENS, shard
             yield close()
 
     rows = order.slots().select(F.floor(F.col("slot") / records).cast("int").alias("shard"), "slot", "number", text_id("doc_id").alias("doc_id"), "piece", "ids")
-    ranges = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    written = materialise(ranges.mapInPandas(trimmed(run), "shard int, file string, records long"), "shard-manifest")
-    return written.withColumn("first_slot", F.col("shard") * F.lit(records).cast("long"))
+    bounds = sorted({shards * k // WAVES for k in range(WAVES + 1)})
+    written = []
+    for low, high in zip(bounds, bounds[1:]):
+        wave = rows.where((F.col("shard") >= low) & (F.col("shard") < high))
+        ranges = wave.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("slot")
+        written.append(materialise(ranges.mapInPandas(trimmed(run), "shard int, file string, records long"), "shard-manifest"))
+    return reduce(DataFrame.unionByName, written).withColumn("first_slot", F.col("shard") * F.lit(records).cast("long"))
 
 
 def read_shard(uri: str, start: int = 0) -> Iterator[np.ndarray]:
