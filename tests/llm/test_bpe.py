@@ -50,3 +50,27 @@ def test_merge_of_runs(both):
     own, _ = both
     assert isinstance(own.encode_batch(["a" * 5000])[0], np.ndarray)
     same(both, ["a" * n for n in range(1, 40)] + ["ha" * n for n in range(1, 40)])
+
+
+def test_operators_on_spark(spark):
+    """Nulls, empty and very long texts, repeats, an empty table, clashing columns; ids beside nulls keep their last digits."""
+    import hashlib
+
+    from mnemospark.llm.bpe import decode, encode, round_trip
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    texts = [(1, "Héllo  wörld!"), (2, ""), (None, None), (2**60 + 1, "x" * 3000 + " end"), (5, "same same"), (5, "same same"), (6, "word " * 20_000)]
+    docs = spark.createDataFrame([(i, t, [7], "clash") for i, t in texts], "doc_id long, text string, ids array<int>, decoded_sha256 string").coalesce(1)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for i, t in texts:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i] = (ids, lib.decode(ids, skip_special_tokens=False))
+    got = round_trip(docs, path).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in texts)
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want[r.doc_id][0]), sha(" ".join(map(str, want[r.doc_id][0]))), sha(want[r.doc_id][1])) for r in got)
+    encoded = encode(docs, path)
+    assert all(list(r.ids) == want[r.doc_id][0] for r in encoded.collect())
+    assert all(r.text == want[r.doc_id][1] for r in decode(encoded, path).collect())
+    assert round_trip(docs.limit(0), path).collect() == encode(docs.limit(0), path).collect() == []
