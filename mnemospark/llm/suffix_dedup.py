@@ -9,10 +9,10 @@ exactly one retained suffix, at the same place in every text that has it.
 1. Retained suffixes are sorted by the hash of their first GRAM words and
    compared with their neighbours; those unlike both of them end here.
 2. The others are sorted by content: by their first GRAM words as text, then
-   by document. Each is compared word by word with the earliest document's
-   suffix in its run of equal ones, and the match is extended to the left and
+   by document. Each is compared word by word with the first suffixes (of the
+   earliest documents) in its run of equal ones, and the match is extended to the left and
    to the right as far as the suffix's passages reach.
-3. Passages that the earliest document does not share may still be shared by
+3. Passages that these do not share may still be shared by
    others of the run: they are sorted by a 128-bit digest of their words and
    compared with the first of their equals.
 
@@ -42,6 +42,8 @@ GROUP_CHARS = 1 << 20
 #: Rows that a task hands on at once: each holds some sixty words.
 OUT_ROWS = 4096
 MEMO_WORDS = 200_000
+#: Suffixes of a run that the others are compared with; more of them leave fewer passages open.
+LEADERS = 8
 _WORD = re.compile(r"\S+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -285,7 +287,12 @@ class _Suffix:
 
 
 def extend(sorted_contexts: DataFrame) -> DataFrame:
-    """Compare each suffix with the first of its run and extend: matches (passage null), and the passages still open.
+    """Compare each suffix with the leaders of its run and extend: matches (passage null), and the passages still open.
+
+    Leaders are the run's first document and the next LEADERS - 1 that had a
+    passage of their own; those passages are out when they become leaders, so
+    whatever matches a leader has a document before it, and every passage
+    that no leader has is open in all documents that have it.
 
     The first of a range's first run and of its last one may not be the
     run's first document: their passages stay open as well.
@@ -294,24 +301,35 @@ def extend(sorted_contexts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first: _Suffix | None = None
+        leaders: list[_Suffix] = []  # of the run at hand: the first, and the next ones that were not fully matched
         opened = False  # the passages of `first` are out
         out: list[tuple] = []
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
                 s = _Suffix(*row)
                 if first is None or s.gram != first.gram:
-                    opened, first = first is None, s
+                    opened, first, leaders = first is None, s, [s]
                     if opened:
                         out += s.passages(range(s.low, s.high + 1))
                     continue
-                if s.text == first.text:
-                    low, high = s.low, s.high
-                else:
-                    high = min(s.high, common(s.left, first.left))
-                    low = max(s.low, LEAST - GRAM - common(s.right, first.right))
-                if low <= high and s.doc != first.doc:
-                    out += s.rows(low, high, None, first)
-                out += s.passages(o for o in range(s.low, s.high + 1) if not low <= o <= high)
+                left = range(s.low, s.high + 1)  # how far before the suffix the passages begin that are still unmatched
+                for f in leaders:
+                    if s.text == f.text:
+                        low, high = s.low, s.high
+                    else:
+                        high = min(s.high, common(s.left, f.left))
+                        low = max(s.low, LEAST - GRAM - common(s.right, f.right))
+                    matched = [o for o in left if low <= o <= high]
+                    if matched and s.doc != f.doc:
+                        out += s.rows(low, high, None, f)
+                    if matched:
+                        left = [o for o in left if not low <= o <= high]
+                    if not left:
+                        break
+                if left:
+                    out += s.passages(left)
+                    if len(leaders) < LEADERS:
+                        leaders.append(s)
                 if len(out) >= OUT_ROWS:
                     yield pd.DataFrame(out, columns=names)
                     out = []
