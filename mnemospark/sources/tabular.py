@@ -58,6 +58,23 @@ def profile(data: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def save_dataset(data: DataFrame, path: str) -> None:
+    """The one table of a dataset; an older one is replaced."""
+    data.write.mode("overwrite").parquet(path)
+
+
+def summary(spark: SparkSession, path: str, sample_rows: int = 5) -> tuple[list[tuple[str, str]], int, list]:
+    """Columns with their types, the number of rows and the first few of them."""
+    data = spark.read.parquet(path)
+    return data.dtypes, data.count(), data.limit(sample_rows).collect()
+
+
+def drop_dataset(spark: SparkSession, path: str) -> bool:
+    """Whether there was a dataset to drop."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_dump(nodes: dict[str, DataFrame], path: str) -> DataFrame:
     """JSON lines of every node or edge table under path; the manifest (table, rows) comes back and is written beside them."""
     for name, df in nodes.items():
