@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import materialise, text_id, trimmed, whole_ids
+from mnemospark.llm._common import lookup, materialise, text_id, trimmed, whole_ids
 
 COORDINATES = 128
 MISS = 1e-6
@@ -247,7 +247,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     answers. Other columns of docs are not read.
     """
     sigs = signatures(docs, words, threshold[0] / threshold[1])
-    nodes = sigs.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.max("doc_id").alias("wanted_id"))
+    nodes = sigs.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.max("doc_id").alias("wanted_id"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"))
     nodes = materialise(nodes, "nodes")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "node")
     full = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
@@ -283,9 +283,12 @@ def link_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
         x, y = rest.where("comp <> largest").alias("x"), rest.alias("y")
         other = (F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
         merge(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & other & like))
-    known = _with_comp(sigs.where("node IS NOT NULL").select("doc_id", "n", "node"), comps)
-    named = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = known.join(named, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # A component of many nodes and a node of many rows are dealt out: names go from components to nodes to rows.
+    placed = materialise(_with_comp(nodes.select("node", "least_id", "n_rows"), comps), "placed-nodes")
+    named = materialise(placed.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes")), "named-components")
+    of_node = materialise(lookup(placed, named, ["comp"], "n_nodes", ["node"]).select("node", "component_id", "n_rows"), "named-nodes")
+    linked = lookup(sigs.where("node IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "node"), of_node, ["node"], "n_rows", ["doc_id"])
+    linked = linked.select("doc_id", "n_shingles", "component_id")
     alone = sigs.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
