@@ -75,6 +75,12 @@ def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.simhash import link_components
+
+    return link_components(documents(spark, sf_dir), words=4, distance=4)
+
+
 QUERIES = {
     "op1_mpegts": op1_mpegts,
     "op2_minhash": op2_minhash,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lang_ppm": op10_lang_ppm,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL = {
