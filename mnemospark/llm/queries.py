@@ -75,6 +75,18 @@ def op10_lang_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir), least=30, top=2000, contained=80)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.divergence import divergence
+
+    return divergence(documents(spark, sf_dir), least_docs=30, smoothing=5, top=50)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.simhash import link_components
 
@@ -92,6 +104,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lang_ppm": op10_lang_ppm,
+    "op11_collocations": op11_collocations,
+    "op12_divergence": op12_divergence,
     "op13_simhash": op13_simhash,
 }
 
@@ -119,5 +133,69 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
+""",
+    "op11_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 5) r(k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY lang, k, phrase
+), c AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 30
+), s AS (
+  SELECT c.lang, c.phrase, c.a, j, h.n AS l, t.n AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (h.n + t.n) AS BIGINT) AS score
+  FROM c, range(1, 4) x(j), f h, f t
+  WHERE j < c.k AND h.lang = c.lang AND h.phrase = array_to_string(c.ws[1:j], ' ') AND t.lang = c.lang AND t.phrase = array_to_string(c.ws[j + 1:], ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), y AS (
+  SELECT DISTINCT c.lang, c.a AS longer, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase
+  FROM c, range(2, 4) x(m), range(1, 4) z(i) WHERE m < c.k AND i + m - 1 <= c.k
+), k AS (
+  SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.lang = b.lang AND y.phrase = b.phrase AND 100 * y.longer >= 80 * b.a)
+), n AS (
+  SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
+FROM k JOIN n USING (lang) QUALIFY rank <= 2000
+""",
+    "op12_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), o AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT lang, source FROM d GROUP BY lang, source
+), s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n,
+         sum(coalesce(c.n, 0)) OVER w + 5 * count(*) OVER w AS whole, sum(k.lang_n) OVER w + 5 * count(*) OVER w AS lang_whole
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  WINDOW w AS (PARTITION BY g.lang, g.source)
+), p AS (
+  SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // whole AS BIGINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 5)) // lang_whole AS BIGINT) AS q FROM s
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), v AS (
+  SELECT x.lang, x.source, 'pair' AS part, x.item, CAST(coalesce(sum(abs(a.p - b.p)), 0) AS BIGINT) AS value
+  FROM pairs x LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source LEFT JOIN p b ON b.lang = x.lang AND b.source = x.item AND b.term = a.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM v
+)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
 """,
 }
