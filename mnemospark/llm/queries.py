@@ -142,23 +142,27 @@ WITH d AS (
 ), w AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
 ), g AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
   FROM w, range(1, 5) r(k) WHERE len(ws) >= k
-), f AS (
+), f AS MATERIALIZED (
   SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY lang, k, phrase
 ), c AS (
   SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 30
+), x AS MATERIALIZED (
+  SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM c, range(1, 4) x(j) WHERE j < k
+), h AS MATERIALIZED (
+  SELECT x.*, f.n AS l FROM x JOIN f ON f.lang = x.lang AND f.phrase = x.head
 ), s AS (
-  SELECT c.lang, c.phrase, c.a, j, h.n AS l, t.n AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (h.n + t.n) AS BIGINT) AS score
-  FROM c, range(1, 4) x(j), f h, f t
-  WHERE j < c.k AND h.lang = c.lang AND h.phrase = array_to_string(c.ws[1:j], ' ') AND t.lang = c.lang AND t.phrase = array_to_string(c.ws[j + 1:], ' ')
+  SELECT h.lang, h.phrase, a, j, l, f.n AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (l + f.n) AS BIGINT) AS score
+  FROM h JOIN f ON f.lang = h.lang AND f.phrase = h.tail
 ), b AS (
   SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
 ), y AS (
-  SELECT DISTINCT c.lang, c.a AS longer, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase
-  FROM c, range(2, 4) x(m), range(1, 4) z(i) WHERE m < c.k AND i + m - 1 <= c.k
+  SELECT lang, phrase, max(longer) AS longer FROM (
+    SELECT c.lang, c.a AS longer, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase
+    FROM c, range(2, 4) x(m), range(1, 4) z(i) WHERE m < c.k AND i + m - 1 <= c.k) GROUP BY lang, phrase
 ), k AS (
-  SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.lang = b.lang AND y.phrase = b.phrase AND 100 * y.longer >= 80 * b.a)
+  SELECT b.* FROM b LEFT JOIN y ON y.lang = b.lang AND y.phrase = b.phrase WHERE y.longer IS NULL OR 100 * y.longer < 80 * b.a
 ), n AS (
   SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang
 )
