@@ -6,27 +6,25 @@ b - d of b blocks, so each is filed under every choice of b - d blocks (a
 table), and close ones meet in some bucket whatever the bits are. b follows
 from the number of fingerprints: more blocks mean more tables of longer keys.
 
-Equal fingerprints are one node from the start, and no bucket's pairs are all
-emitted:
-1. Star rounds: each node of a bucket meets only the bucket's leader of that
-   round, while a round still joins more than a few components.
-2. The rest: in buckets that still hold several components, nodes outside the
-   bucket's largest component meet the nodes of other components. A bucket of
-   many nodes is split again by the blocks of its remaining bits, by the same
-   argument.
-Every link between two components is found in one of the two; nothing is capped.
+Equal fingerprints are one node from the start. A task gets whole buckets and
+hands on pairs that join what is linked within each, not all linked pairs: a
+star for each component of a longer bucket. A bucket of more than LONG nodes is
+split by the bits that its key leaves open, by the same argument; one that
+bits don't split (a dense cloud) is dealt out as pairs of its parts, so no task
+holds more than about LONG nodes of a bucket. Nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm._common import lookup, materialise, text_id, trimmed, whole_ids
@@ -38,10 +36,12 @@ SEED = 42
 COUNTED = 8192
 #: Comparing two fingerprints costs about this part of filing one.
 COMPARE = 1 / 50
-#: Another star round follows a round that joined more than one in so many components.
-WORTH = 500
-#: In the rest, buckets of more nodes are split by their remaining bits.
-SPLIT = 128
+#: Buckets of more nodes are split by the bits that their key leaves open, so many times at most, then dealt out in pairs of parts.
+LONG, LEVELS = 4096, 3
+#: Buckets of so many nodes at most are compared many at a time.
+SHORT = 32
+#: Fingerprints of a frontier that are compared at once with all open ones.
+FRONTIER = 512
 
 KEY = ["combo", "bits"]
 
@@ -95,71 +95,107 @@ def tables(nodes: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(blocks, len(blocks) - distance)]
 
 
-def _near(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-
-
-def _with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return rows.withColumn("comp", F.col("node"))
-    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def _kinds(placed: DataFrame, salt: int) -> DataFrame:
-    """Buckets with several components: n nodes, a leader picked by a hash, and the largest component."""
-    lead = F.struct(F.xxhash64("node", *KEY, F.lit(salt)).alias("h"), "node", "fp", "comp")
-    parts = placed.groupBy(*KEY, "comp").agg(F.count("*").alias("size"), F.min(lead).alias("lead"))
-    whole = parts.groupBy(*KEY).agg(F.sum("size").alias("n"), F.count("*").alias("kinds"), F.min("lead").alias("lead"), F.max(F.struct("size", "comp")).alias("most"))
-    return whole.where("kinds > 1").select(*KEY, "n", F.col("lead.fp").alias("leader_fp"), F.col("lead.comp").alias("leader_comp"), F.col("most.comp").alias("largest"))
-
-
-def _finer(rows: DataFrame, masks: list[int], distance: int) -> DataFrame:
-    """rows of buckets with over SPLIT nodes under the distance + 1 blocks of the bits that their key leaves open."""
-    open_blocks = [cut_bits([p for p in range(BITS) if not mask >> p & 1], distance + 1) for mask in masks]
-    finer = F.array(*[F.array(*[F.lit(_signed(mask | part)).cast("long") for part in parts]) for mask, parts in zip(masks, open_blocks, strict=True)])
-    choice = F.when(F.col("n") > SPLIT, finer[F.col("combo")]).otherwise(F.array(F.lit(-1).cast("long")))
-    dealt = rows.select("node", "fp", "comp", "bits", "combo", "n", F.posexplode(choice).alias("part", "mask"))
-    bits = F.when(F.col("n") > SPLIT, F.col("fp").bitwiseAND(F.col("mask"))).otherwise(F.col("bits"))
-    combo = F.col("combo") * (distance + 2) + F.when(F.col("n") > SPLIT, F.col("part") + 1).otherwise(0)
-    return dealt.select("node", "fp", "comp", combo.alias("combo"), bits.alias("bits"))
-
-
-def _join_up(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """comps after links (a, b) between components; only those links are contracted."""
-    joined = components(links)
-    if comps is None:
-        return joined
-    moved = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
-    return materialise(moved.unionByName(joined.join(comps.select("node"), "node", "left_anti")), "components")
-
-
-def fingerprint_components(nodes: DataFrame, distance: int) -> DataFrame | None:
-    """node -> comp for the nodes (node, fp; a stored table) that are linked with another; None if none is."""
-    total = nodes.count()
-    masks = tables(total, distance)
-    filed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks]))
-    spread = nodes.select("node", "fp", filed.alias("combo", "bits"))
-    sizes = materialise(spread.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    buckets = materialise(lookup(spread, sizes.withColumn("held", F.lit(True)), KEY, "n", ["node"]).where("held").select(*KEY, "node", "fp"), "buckets")
-    comps, salt, joined, pair = None, 0, total, [F.least("comp", "leader_comp").alias("a"), F.greatest("comp", "leader_comp").alias("b")]
-    while joined * WORTH > total:
-        placed = _with_comp(buckets, comps)
-        leaders = materialise(_kinds(placed, salt), "leaders")
-        met = lookup(placed, leaders, KEY, "n", ["node"]).where((F.col("comp") != F.col("leader_comp")) & _near("fp", "leader_fp", distance))
-        links = materialise(met.select(*pair).distinct(), "links")
-        joined, salt = links.count(), salt + 1
-        if joined:
-            comps = _join_up(comps, links)
-    placed = _with_comp(buckets, comps)
-    mixed = materialise(_kinds(placed, salt), "mixed")
-    rest = materialise(_finer(lookup(placed, mixed, KEY, "n", ["node"]).where("largest IS NOT NULL"), masks, distance), "rest")
-    largest = materialise(_kinds(rest, salt).select(*KEY, "n", "largest"), "rest-largest")
-    y = materialise(lookup(rest, largest, KEY, "n", ["node"]).where("largest IS NOT NULL"), "rest-placed")
-    x = y.where("comp <> largest").select(*KEY, F.col("node").alias("x_node"), F.col("fp").alias("x_fp"), F.col("comp").alias("x_comp"))
-    other = (F.col("comp") == F.col("largest")) | (F.col("x_node") < F.col("node"))
-    met = x.join(y, KEY).where((F.col("x_comp") != F.col("comp")) & other & _near("x_fp", "fp", distance))
-    links = materialise(met.select(F.least("x_comp", "comp").alias("a"), F.greatest("x_comp", "comp").alias("b")).distinct(), "links")
-    return comps if links.isEmpty() else _join_up(comps, links)
+def group_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of one bucket that join exactly its linked places: a star from the first place of each component.
+
+    Breadth first: a place is compared, as part of the frontier, with those
+    not yet reached, and never again.
+    """
+    open_, ends = np.arange(len(fps)), ([], [])
+    while len(open_) > 1:
+        root, open_ = open_[0], open_[1:]
+        frontier = np.array([root])
+        while len(frontier) and len(open_):
+            near = np.zeros(len(open_), bool)
+            for k in range(0, len(frontier), FRONTIER):
+                apart = np.bitwise_count(fps[frontier[k : k + FRONTIER], None] ^ fps[None, open_])
+                near |= (apart <= distance).any(axis=0)
+            frontier, open_ = open_[near], open_[~near]
+            ends[0].append(np.full(len(frontier), root))
+            ends[1].append(frontier)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *e]) for e in ends)
+
+
+def bucket_links(starts: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that join the linked places of each bucket; buckets lie between the places `starts`.
+
+    Short buckets are compared all at once, each place with the ones behind
+    it (at most SHORT - 1); long ones by group_links().
+    """
+    ends = np.append(starts[1:], len(fps))
+    size = ends - starts
+    bucket = np.repeat(np.arange(len(starts)), size)
+    short = np.flatnonzero(size[bucket] <= SHORT)
+    pairs = []
+    for lag in range(1, min(SHORT, int(size.max(initial=0)))):
+        x = short[short + lag < len(fps)]
+        x = x[bucket[x] == bucket[x + lag]]
+        x = x[np.bitwise_count(fps[x] ^ fps[x + lag]) <= distance]
+        pairs.append((x, x + lag))
+    for k in np.flatnonzero(size > SHORT):
+        a, b = group_links(fps[starts[k] : ends[k]], distance)
+        pairs.append((a + starts[k], b + starts[k]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in range(2))
+
+
+def _links(distance: int):
+    """Rows come sorted by bucket; pairs of fingerprints come out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            change = np.flatnonzero((held[KEY].to_numpy()[1:] != held[KEY].to_numpy()[:-1]).any(axis=1)) + 1
+            if len(change):  # the last bucket may go on in the next batch
+                yield found(held.iloc[: change[-1]], np.r_[0, change[:-1]])
+                held = held.iloc[change[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield found(held, np.zeros(1, np.int64))
+
+    def found(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        fps = rows.fp.to_numpy()
+        a, b = bucket_links(starts, fps.view(np.uint64), distance)
+        return pd.DataFrame({"x": fps[a], "y": fps[b]})
+
+    return run
+
+
+def _finer(rows: DataFrame, distance: int) -> DataFrame:
+    """rows of long buckets under the distance + 1 blocks of the bits that their mask leaves open: the same argument again."""
+    bits = F.array(*[F.lit(p) for p in range(BITS)])
+    places = F.filter(bits, lambda p: F.getbit(F.col("mask"), p) == 0)
+    n, parts = F.size("places"), F.sequence(F.lit(0), F.lit(distance))
+    part = lambda k: F.slice("places", F.floor(n * k / (distance + 1)).cast("int") + 1, F.floor(n * (k + 1) / (distance + 1)).cast("int") - F.floor(n * k / (distance + 1)).cast("int"))
+    masks = F.transform(parts, lambda k: F.aggregate(part(k), F.col("mask"), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p))))
+    dealt = rows.withColumn("places", places).select("fp", "combo", F.posexplode(masks).alias("part", "mask"))
+    return dealt.select("fp", (F.col("combo") * (distance + 2) + F.col("part") + 1).alias("combo"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "mask")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """rows of long buckets (n each) in parts of about LONG / 2, every two parts as one bucket of their own."""
+    parts = F.ceil(F.col("n") * 2 / LONG).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    with_other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.xxhash64("bits", F.least("own", "other"), F.greatest("own", "other"))  # buckets that a hash joins are only compared in vain
+    return with_other.select("fp", "combo", pair.alias("bits"), "mask")
+
+
+def fingerprint_links(fps: DataFrame, nodes: int, distance: int) -> DataFrame:
+    """x, y: pairs of the fingerprints (fp, distinct; `nodes` of them) that join exactly the linked ones; a stored table."""
+    masks = tables(nodes, distance)
+    filed = F.posexplode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
+    rows = fps.select("fp", filed.alias("combo", "mask")).select("fp", F.col("combo").cast("long"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "mask")
+    buckets = []
+    for level in range(LEVELS + 1):
+        long = materialise(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > LONG), "long-buckets")
+        if long.isEmpty():
+            break
+        buckets.append(rows.join(long, KEY, "left_anti"))
+        rows = rows.join(long, KEY)
+        rows = materialise(_finer(rows, distance) if level < LEVELS else _paired(rows), "finer-buckets")
+    buckets.append(rows)
+    dealt = reduce(DataFrame.unionByName, buckets).select(*KEY, "fp").repartition(*KEY).sortWithinPartitions(*KEY)
+    return materialise(dealt.mapInPandas(trimmed(_links(distance)), "x long, y long").distinct(), "links")
 
 
 def link_components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
@@ -173,10 +209,17 @@ def link_components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     read.
     """
     fps = fingerprints(docs, words)
-    # A hash of one long is a bijection: nodes are fingerprints in random order, as contraction wants them.
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")).withColumn("node", F.xxhash64("fp")), "nodes")
-    comps = fingerprint_components(nodes.select("node", "fp"), distance)
-    placed = materialise(_with_comp(nodes, comps), "placed-nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), "nodes")
+    links = fingerprint_links(nodes.select("fp"), nodes.count(), distance)
+    # A hash of one long is a bijection: contraction wants its nodes in random order.
+    node = F.xxhash64("fp").alias("node")
+    placed = nodes.select("*", node)
+    if links.isEmpty():
+        placed = placed.withColumn("comp", F.col("node"))
+    else:
+        comps = components(materialise(links.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")), "node-links"))
+        placed = placed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = materialise(placed, "placed-nodes")
     named = materialise(placed.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes")), "named-components")
     of_fp = materialise(lookup(placed, named, ["comp"], "n_nodes", ["node"]).select("fp", "component_id", "n_rows"), "named-nodes")
     rows = lookup(fps, of_fp, ["fp"], "n_rows", ["doc_id"])

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
-from mnemospark.llm.simhash import cut_bits, drop_near_duplicates, fingerprint, fingerprint_components, link_components, tables
+from mnemospark.llm import simhash
+from mnemospark.llm.simhash import cut_bits, drop_near_duplicates, fingerprint, link_components, tables
 
 
 def plain_fingerprint(text, words=4):
@@ -67,8 +69,11 @@ def test_against_all_pairs(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _, c in brute(rows) if d is None or d == c)
 
 
-def test_clouds_of_fingerprints(spark):
-    """Dense clouds (chains, stars, two clouds a bucket apart) against all pairs; one bucket is over the bound that splits it."""
+@pytest.mark.parametrize(("long", "levels"), [(20, 0), (20, 2), (4096, 3)])
+def test_clouds_of_fingerprints(spark, monkeypatch, long, levels):
+    """Dense clouds (chains, stars, two clouds a bucket apart) against all pairs; buckets over the bound are split or dealt out."""
+    monkeypatch.setattr(simhash, "LONG", long)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     rng = random.Random(5)
     fps = set()
     for size, spread in ((300, 3), (300, 6), (40, 2)):
@@ -85,19 +90,22 @@ def test_clouds_of_fingerprints(spark):
     fps = sorted(fps | {rng.getrandbits(64) for _ in range(200)})
     root = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    path = str(spark.sparkContext._jvm.java.nio.file.Files.createTempDirectory("fps", spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.nio.file.attribute.FileAttribute, 0))) + "/t"
-    spark.createDataFrame([(f,) for f in signed], "fp long").selectExpr("xxhash64(fp) AS node", "fp").write.parquet(path)
-    nodes = spark.read.parquet(path)
-    comps = {r.fp: r.comp for r in nodes.join(fingerprint_components(nodes, 4), "node").collect()}
-    sizes = {}
-    for f, r in zip(signed, root, strict=True):
-        sizes.setdefault(r, []).append(f)
-    for members in sizes.values():
-        if len(members) == 1:
-            assert members[0] not in comps
-        else:
-            assert len({comps[m] for m in members}) == 1
-    assert len(set(comps.values())) == sum(len(m) > 1 for m in sizes.values())
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), len(fps), 4).collect()
+    place = {f: i for i, f in enumerate(signed)}
+    got = union(len(fps), [(place[r.x], place[r.y]) for r in links])
+    assert len(set(zip(root, got, strict=True))) == len(set(root)) == len(set(got))
+
+
+@pytest.mark.parametrize("size", [1, 2, 31, 32, 33, 700])
+def test_buckets(size):
+    rng = np.random.default_rng(size)
+    fps = np.array([f ^ (1 << int(b)) for f, b in zip(rng.integers(0, 4, size), rng.integers(0, 20, size), strict=True)], np.uint64)
+    starts = np.unique(np.r_[0, rng.integers(0, size, 3)])
+    starts = starts[starts < size]
+    bucket = np.searchsorted(starts, np.arange(size), "right")
+    want = union(size, [(i, j) for i in range(size) for j in range(i) if bucket[i] == bucket[j] and int(fps[i] ^ fps[j]).bit_count() <= 2])
+    got = union(size, zip(*simhash.bucket_links(starts, fps, 2), strict=True))
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
 def test_tables_meet_every_close_pair():
