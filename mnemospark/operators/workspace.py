@@ -148,19 +148,26 @@ def disambiguation(events: DataFrame, edges: DataFrame, most: int = 50) -> DataF
     return page.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce(F.array_join("shared", ","), F.lit("")).alias("shared"))
 
 
-def chain_end(edges: DataFrame, most: int = 64) -> DataFrame:
-    """id, last, hops: where each node's chain of SUPERSEDED_BY edges (src, dst; one a src) ends, by pointer doubling. A chain of more than 2**most steps, or a cycle, has no end."""
+def chain_end(edges: DataFrame) -> DataFrame:
+    """id, last, hops: where each node's chain of SUPERSEDED_BY edges (src, dst; one a src) ends, by pointer doubling.
+
+    A node on a cycle, or whose chain leads into one, has no end: both are
+    null. n edges make no chain of more than n steps, so what still moves
+    after log2(n) + 1 doublings is in a cycle.
+    """
     from mnemospark.storage import cut
 
     at = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("last"), F.lit(1).cast("long").alias("hops")), "chain")
-    for _ in range(most):
+    moves = at.withColumn("moves", F.lit(False))
+    for _ in range(at.count().bit_length() + 1):
         further = at.select(F.col("id").alias("last"), F.col("last").alias("next"), F.col("hops").alias("more"))
-        on = at.join(further, "last", "left")
-        moved = cut(on.select("id", F.coalesce("next", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "chain")
-        at = moved.drop("moved")
-        if moved.where("moved").isEmpty():
+        on = at.select("id", "last", "hops").join(further, "last", "left")
+        moves = cut(on.select("id", F.coalesce("next", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moves")), "chain")
+        at = moves.drop("moves")
+        if moves.where("moves").isEmpty():
             return at
-    return at
+    ends = lambda c: F.when(~F.col("moves"), F.col(c)).alias(c)
+    return moves.select("id", ends("last"), ends("hops"))
 
 
 def plan_steps(text: Column) -> Column:

@@ -112,12 +112,6 @@ def view_card_hop(spark, sf_dir):
     return workspace.hop(e, frontier, 25)
 
 
-def view_task_graph(spark, sf_dir):
-    """The tasks of each graph with their dependencies inside it: nodes and edges counted."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("tasks"), (F.count("*") - 1).alias("dependencies"), F.count_if(F.col("o_orderstatus") == "F").alias("complete"))
-
-
 def view_ledger(spark, sf_dir):
     """Live constraints of two tables by strength, a hundred."""
     n = nodes(spark, sf_dir).where("NOT archived")
@@ -205,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         concept_store, concept_merge_events, concept_rollback, concept_review, concept_open_loops, concept_relations, lesson_upsert, lesson_outcomes, agent_workers, provenance_stale, provenance_drop, provenance_rejected,
-        view_graph, view_node_neighbours, view_card_hop, view_task_graph, view_ledger, view_continuity, view_disambiguation, view_policies, view_recent, fact_chain_end, text_plan_steps, text_entity_sentence, text_redacted,
+        view_graph, view_node_neighbours, view_card_hop, view_ledger, view_continuity, view_disambiguation, view_policies, view_recent, fact_chain_end, text_plan_steps, text_entity_sentence, text_redacted,
         text_signal_floor, text_quest_ids, text_records,
     )
 }
@@ -241,7 +235,6 @@ SELECT * FROM r WHERE rank <= CASE label WHEN '0' THEN 30 WHEN '1' THEN 20 WHEN
 ), w AS (SELECT b.*, CAST(row_number() OVER (PARTITION BY node ORDER BY other, rel_type) AS INTEGER) AS rank FROM b WHERE node IN (SELECT 'c' || c_custkey FROM customer)) SELECT * FROM w WHERE rank <= 5""",
     "view_card_hop": f"""WITH {EDGES_SQL}, f AS (SELECT 'n' || n_nationkey AS node FROM nation), b AS (SELECT DISTINCT src AS node, dst AS other, rel_type, 'out' AS direction FROM edges WHERE src IN (SELECT node FROM f) UNION SELECT dst, src, rel_type, 'in' FROM edges WHERE dst IN (SELECT node FROM f)
 ), r AS (SELECT *, row_number() OVER (PARTITION BY node, rel_type, direction ORDER BY other) AS rn FROM b) SELECT node, other, rel_type, direction FROM r WHERE rn <= 25""",
-    "view_task_graph": "SELECT o_custkey, count(*) AS tasks, count(*) - 1 AS dependencies, count(*) FILTER (o_orderstatus = 'F') AS complete FROM orders GROUP BY o_custkey",
     "view_ledger": f"""WITH {NODES_SQL} SELECT CASE label WHEN 1 THEN 'Constraint' ELSE 'GlobalConstraint' END AS kind, node_id AS id, strength FROM nodes WHERE NOT archived AND label IN (1, 2) ORDER BY strength DESC, kind, id LIMIT 100""",
     "view_continuity": """WITH s AS (SELECT user_id % 20 AS app, user_id AS session_id, min(ts) AS t FROM events GROUP BY user_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY app ORDER BY t DESC, session_id) AS INTEGER) AS rank FROM s WHERE t >= TIMESTAMP '2024-01-01'
 ), d AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(t)) / 86400000000) AS BIGINT) AS days FROM r WHERE rank <= 5)

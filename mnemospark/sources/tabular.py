@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.sources import guard
+
 MIN_CHUNK, MAX_CHUNK = 80, 2000
 #: Chunks are handed to Spark after so many characters of text.
 OUT_CHARS = 1 << 20
@@ -25,29 +27,28 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).option("sep", "\t" if path.endswith(".tsv") else ",").csv(path)
 
 
-def query(data: DataFrame, sql: str) -> DataFrame:
-    """A SELECT over the one table `data`; what is no query, or reads another table, path or file, is refused.
+def query(data: DataFrame, sql: str, args: dict | None = None) -> DataFrame:
+    """A SELECT over the one table `data`; what is no query, or reads another table, path, file or the JVM, is refused.
 
-    The text becomes a subquery, where no statement that changes anything can
-    stand, and its parsed plan may name `data` and its own CTEs only. A view
-    that the caller has under that name is neither read nor replaced.
+    Names are resolved scope by scope (see guard). A view that the caller has
+    under that name is neither read nor replaced, and none is left behind.
+    args bind the markers (:name) of the text.
     """
-    spark = data.sparkSession
-    view = f"dataset_{uuid.uuid4().hex}"
-    if re.match(r"\s*(SELECT|WITH|VALUES|\()", sql, re.IGNORECASE) is None:
-        raise ValueError("only queries are allowed")
+    return read_only(data.sparkSession, sql, {"data": data}, args)
+
+
+def read_only(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
+    """As query(), over several named tables."""
+    guard.check(spark, f"SELECT * FROM (\n{sql}\n) AS asked", set(tables))  # a subquery: no command can stand there
+    views = {name: f"dataset_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createOrReplaceTempView(view)
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{sql}\n) AS asked").treeString()
-    except Exception as error:
-        raise ValueError("only queries are allowed") from error
-    own = {n.strip().strip("`").lower() for names in re.findall(r"CTE \[([^\]]*)\]", plan) for n in names.split(",")}
-    for name in re.findall(r"'?UnresolvedRelation \[([^\]]*)\]", plan):
-        if name.lower() != "data" and name.lower() not in own:
-            raise ValueError(f"{name}: only the table data may be read")
-    if re.search(r"UnresolvedTableValuedFunction|RelationTimeTravel|Command\b", plan):
-        raise ValueError("only the table data may be read")
-    data.createOrReplaceTempView(view)
-    return spark.sql(f"WITH data AS (SELECT * FROM {view}) SELECT * FROM (\n{sql}\n) AS asked")
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {named} SELECT * FROM (\n{sql}\n) AS asked", args)
+    finally:  # the plan is resolved by now and needs no view
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def profile(data: DataFrame) -> DataFrame:
