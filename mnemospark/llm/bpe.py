@@ -67,6 +67,7 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self._decimal = [str(i) for i in range(len(self.tokens))]
+        self.kind = np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
         made = np.array([vocab[a + b] for a, b in merges], np.int32)
@@ -159,8 +160,8 @@ class WordBpe:
         of = np.zeros(n_words, np.int32)
         of[word[real]] = piece[real]
         words, ids = self.merge(symbols[real], word[real])
-        cuts = np.searchsorted(of[words], np.arange(len(pieces) + 1)) * 2
-        data = ids.astype("<u2").tobytes()
+        cuts = np.searchsorted(of[words], np.arange(len(pieces) + 1)) * self.kind.itemsize
+        data = ids.astype(self.kind).tobytes()
         return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def _normalise(self, text: str) -> str:
@@ -186,7 +187,7 @@ class WordBpe:
         return text.split()
 
     def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
-        """The ids of each text as an unsigned 16-bit array."""
+        """The ids of each text as an unsigned array: of 16 bits, or of 32 if the vocabulary has more than 65536 ids."""
         pieces = [self._pieces(t) for t in texts]
         memo = self._memo
         missing: set = set()
@@ -198,13 +199,13 @@ class WordBpe:
                 missing = kept
                 memo.clear()
             for i in [x for x in missing if isinstance(x, int)]:
-                memo[i] = np.array([i], "<u2").tobytes()
+                memo[i] = np.array([i], self.kind).tobytes()
                 missing.discard(i)
             fresh = list(missing)
             for a in range(0, len(fresh), 1 << 16):
                 part = fresh[a : a + (1 << 16)]
                 memo.update(zip(part, self._encode_pieces(part), strict=True))
-        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), "<u2") for p in pieces]
+        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), self.kind) for p in pieces]
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by a space: this vocabulary's file names no decoder."""

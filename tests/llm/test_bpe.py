@@ -1,5 +1,8 @@
 """The encoder against the tokenizers library on whole code-point ranges and the driver's texts."""
 
+import json
+import zlib
+
 import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
@@ -8,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from mnemospark.llm.bpe import WordBpe
+from mnemospark.llm.bpe import WordBpe, encode
+from mnemospark.llm.token_shards import training_order
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,6 +30,35 @@ def same(both, texts):
         assert own.decode(ids) == lib.decode(e.ids, skip_special_tokens=False)
 
 
+@pytest.fixture(scope="module")
+def wide(tmp_path_factory):
+    """The vocabulary with all ids moved up by 30000 unused ones, so that many pass 16 bits."""
+    held = json.load(open(PATH))
+    held["model"]["vocab"] = {f"unused {i}": i for i in range(30_000)} | {t: i + 30_000 for t, i in held["model"]["vocab"].items()}
+    for token in held["added_tokens"]:
+        token["id"] += 30_000
+    path = tmp_path_factory.mktemp("wide") / "wide.json"
+    path.write_text(json.dumps(held))
+    return str(path)
+
+
+def test_ids_of_over_16_bits(both, wide, spark):
+    own, lib = WordBpe(wide), Tokenizer.from_file(wide)
+    texts = [*pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist(), "x<|endoftext|>Y", ""]
+    found = own.encode_batch(texts)
+    assert max(x.max(initial=0) for x in found) > 1 << 16
+    for text, x, y, e in zip(texts, found, both[0].encode_batch(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert x.tolist() == e.ids and x.tolist() == (y.astype(int) + 30_000).tolist()
+        assert own.decode(x) == both[0].decode(y), text
+    docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in encode(docs, wide).collect()} == {i: x.tolist() for i, x in enumerate(found[:50])}
+    slots = training_order(docs, wide, key=3, token_bytes=4).collect()
+    ids = {i: [*x.tolist(), own.special["<|endoftext|>"]] for i, x in enumerate(found[:50])}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in slots} == {(i, k): zlib.crc32(np.array(x[256 * k : 256 * k + 256], "<u4").tobytes()) for i, x in ids.items() for k in range(-(-len(x) // 256))}
+    with pytest.raises(Exception, match="do not fit 2 bytes"):
+        training_order(docs, wide, key=3).collect()
+
+
 def test_driver_texts(both):
     same(both, pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist())
 
