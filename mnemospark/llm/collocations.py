@@ -8,11 +8,12 @@ over several); those of a range are united, equal n-grams adding up. The parts
 of a cut candidate are looked up by composing a transducer of requests with
 the counts of its range.
 
-Before n-grams are counted by their words, two passes count hashes of words
-and of word pairs. What is too rare for a candidate ends there: an n-gram of
-the least count has only parts of that count. The rest is remembered in Bloom
-filters of a bounded size: they let too much pass where they are full or
-hashes collide, never too little, and the transducers' counts are exact.
+Before n-grams are counted by their words, two passes count their hashes: one
+of words and pairs, one of the longer n-grams made of frequent pairs. What is
+too rare for a candidate ends there: an n-gram of the least count has only
+parts of that count. The rest is remembered in Bloom filters of a bounded size:
+they let too much pass where they are full or hashes collide, never too little,
+and the transducers' counts are exact.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from mnemospark.llm._common import lookup, materialise, trimmed
 #: Words of a candidate at most.
 LONGEST = 4
 #: A shard: n-grams of about so many words are counted in memory at once.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 5_000_000
 #: Rows are handed to Spark in slices of so many.
 SLICE_ROWS = 500_000
 #: A filter has about so many bits an entry, and never over 2 ** FILTER_BITS (16 MB, the bound of what is broadcast).
@@ -181,8 +182,21 @@ def _salt(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 7)
 
 
-def _pairs_hash(h: np.ndarray) -> np.ndarray:
-    return _mix(h[:-1] * np.uint64(3)) + h[1:]
+def _longer(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams one word longer than those of g, which begin at the same places; h: hashes of words."""
+    return _mix(g[:-1] * np.uint64(3)) + h[len(h) - len(g) + 1 :]
+
+
+def _gram_hashes(h: np.ndarray, has_pair: Filter) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, which are of words without an end and of frequent pairs only) of the pairs, threes and fours that begin at each place."""
+    g = _longer(h, h)
+    ok = (h[:-1] != _END) & (h[1:] != _END)
+    ok[ok] = has_pair.has(g[ok])
+    out, pair = [(g, ok)], ok
+    for k in (1, 2):
+        g, ok = _longer(g, h), ok[:-1] & pair[k:]
+        out.append((g, ok))
+    return out
 
 
 class Filter:
@@ -214,6 +228,7 @@ class Filter:
 
 #: Codes of what is no word: a piece's end, and nothing between two blanks. Hashes of words are odd.
 _END, _SKIP = 0, 2
+_NONE = np.zeros(LONGEST, np.uint64)  # ends, so that no array is shorter than the longest n-gram
 
 
 class _Coder:
@@ -253,27 +268,32 @@ def _shards(batches: Iterator[pd.DataFrame], coder: Callable[[str], Callable], w
         yield {x: (coders[x], np.concatenate(c)) for x, c in held.items()}
 
 
-def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for k in range(0, len(frame), SLICE_ROWS):
-        yield frame.iloc[k : k + SLICE_ROWS]
+def _counted(lang: str | None, size: int, hashes: np.ndarray) -> Iterator[pd.DataFrame]:
+    h, n = np.unique(hashes, return_counts=True)
+    for k in range(0, len(h), SLICE_ROWS):
+        yield pd.DataFrame({"lang": lang, "size": size, "hash": h[k : k + SLICE_ROWS].view(np.int64), "n": n[k : k + SLICE_ROWS]}).astype({"lang": object, "size": np.int32})
 
 
-def _count_words(shard_words: int):
+def _count_short(shard_words: int):
+    """Words by language and pairs."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in _shards(batches, lambda lang: _Coder(lang, None), shard_words):
             for lang, (_, codes) in shard.items():
-                h, n = np.unique(codes[codes != _END], return_counts=True)
-                yield from _slices(pd.DataFrame({"lang": lang, "hash": h.view(np.int64), "n": n}))
+                yield from _counted(lang, 1, codes[codes != _END])
+                yield from _counted(None, 2, _longer(codes, codes)[(codes[:-1] != _END) & (codes[1:] != _END)])
 
     return run
 
 
-def _count_pairs(words, shard_words: int):
+def _count_long(words, pairs, shard_words: int):
+    """Threes and fours of frequent pairs."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in _shards(batches, lambda lang: _Coder(lang, words.value), shard_words):
             for _, codes in shard.values():
-                h, n = np.unique(_pairs_hash(codes)[(codes[:-1] != _END) & (codes[1:] != _END)], return_counts=True)
-                yield from _slices(pd.DataFrame({"hash": h.view(np.int64), "n": n}))
+                for size, (g, ok) in enumerate(_gram_hashes(np.r_[codes, _NONE], pairs.value)[1:], 3):
+                    yield from _counted(None, size, g[ok])
 
     return run
 
@@ -302,8 +322,8 @@ def cell_of(words: list[bytes], first_bits: int) -> int:
     return (first << SECOND_BITS) + (_hash(words[1]) >> (64 - SECOND_BITS) if len(words) > 1 else 0)
 
 
-def _build(words, pairs, first_bits: int, shard_words: int):
-    def transducers(coder: _Numbers, codes: np.ndarray, has_pair: Filter) -> Iterator[tuple[int, bytes]]:
+def _build(words, pairs, longer, first_bits: int, shard_words: int):
+    def transducers(coder: _Numbers, codes: np.ndarray) -> Iterator[tuple[int, bytes]]:
         order = sorted(range(len(coder.words)), key=coder.words.__getitem__)
         names = [coder.words[k] for k in order]
         rank = np.zeros(len(order) + 3, np.int64)
@@ -311,14 +331,15 @@ def _build(words, pairs, first_bits: int, shard_words: int):
         ids = rank[codes.astype(np.int64)]  # 0: an end; else from 1 in the order of the words
         h = np.zeros(len(order) + 1, np.uint64)
         h[1:] = np.array(coder.hashes, np.uint64)[order]
-        ok = (ids[:-1] > 0) & (ids[1:] > 0)
-        ok[ok] = has_pair.has(_pairs_hash(h[ids])[ok])
+        (_, ok), *rest = _gram_hashes(h[ids], pairs.value)
+        for g, long in rest:
+            long[long] = longer.value.has(g[long])
         one, n_one = np.unique(ids[ids > 0], return_counts=True)
         two, back, n_two = np.unique((ids[:-1] << 32 | ids[1:])[ok], return_inverse=True, return_counts=True)
         number = np.zeros(len(ids) - 1, np.int64)
         number[ok] = back
-        three, n_three = np.unique((number[:-1] << 32 | ids[2:])[ok[:-1] & ok[1:]], return_counts=True)
-        four, n_four = np.unique((number[:-2] << 32 | number[2:])[ok[:-2] & ok[1:-1] & ok[2:]], return_counts=True)
+        three, n_three = np.unique((number[:-1] << 32 | ids[2:])[rest[0][1]], return_counts=True)
+        four, n_four = np.unique((number[:-2] << 32 | number[2:])[rest[1][1]], return_counts=True)
         low = (1 << 32) - 1
         rows = np.zeros((len(one) + len(two) + len(three) + len(four), LONGEST), np.int64)
         a, b, c = np.cumsum([len(one), len(two), len(three)])
@@ -343,7 +364,7 @@ def _build(words, pairs, first_bits: int, shard_words: int):
         for shard in _shards(batches, lambda lang: _Numbers(lang, words.value), shard_words):
             for lang, (coder, codes) in shard.items():
                 if coder.words:
-                    found = list(transducers(coder, np.r_[codes, np.zeros(LONGEST, np.uint64)], pairs.value))
+                    found = list(transducers(coder, np.r_[codes, _NONE]))
                     yield pd.DataFrame({"lang": lang, "cell": [c for c, _ in found], "held": [x for _, x in found]})
 
     return run
@@ -398,18 +419,20 @@ def phrase_counts(docs: DataFrame, least: int, shard_words: int = SHARD_WORDS) -
     """
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = read.mapInPandas(trimmed(_count_words(shard_words)), "lang string, hash long, n long")
-    words = materialise(counted.groupBy("lang", "hash").agg(F.sum("n").alias("n")), "word-hashes")
-    frequent = words.where(F.col("n") >= least).select("hash")
-    has_word = spark.sparkContext.broadcast(Filter.of(frequent, frequent.count()))
-    counted = read.mapInPandas(trimmed(_count_pairs(has_word, shard_words)), "hash long, n long")
-    pairs = materialise(counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash"), "pair-hashes")
-    n_pairs = pairs.count()
-    has_pair = spark.sparkContext.broadcast(Filter.of(pairs, n_pairs))
+    schema, cast = "lang string, size int, hash long, n long", spark.sparkContext.broadcast
+    frequent = F.col("n") >= least
+    short = read.mapInPandas(trimmed(_count_short(shard_words)), schema).groupBy("lang", "size", "hash").agg(F.sum("n").alias("n"))
+    short = materialise(short.where((F.col("size") == 1) | frequent), "short-grams")
+    kept = {size: short.where((F.col("size") == size) & frequent) for size in (1, 2)}
+    n_pairs = kept[2].count()
+    has_word, has_pair = cast(Filter.of(kept[1], kept[1].count())), cast(Filter.of(kept[2], n_pairs))
+    long = read.mapInPandas(trimmed(_count_long(has_word, has_pair, shard_words)), schema).groupBy("size", "hash").agg(F.sum("n").alias("n"))
+    long = materialise(long.where(frequent), "long-grams")
+    has_long = cast(Filter.of(long, long.count()))
     first_bits = min(24, max(0, (n_pairs // RANGE_PAIRS).bit_length()))
-    shards = read.mapInPandas(trimmed(_build(has_word, has_pair, first_bits, shard_words)), "lang string, cell long, held binary")
+    shards = read.mapInPandas(trimmed(_build(has_word, has_pair, has_long, first_bits, shard_words)), "lang string, cell long, held binary")
     united = shards.repartition("lang", "cell").sortWithinPartitions("lang", "cell").mapInPandas(trimmed(_unite), "lang string, cell long, held binary")
-    return materialise(united, "count-transducers"), words.groupBy("lang").agg(F.sum("n").alias("n")), first_bits
+    return materialise(united, "count-transducers"), short.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")), first_bits
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, contained: int = 80, shard_words: int = SHARD_WORDS) -> DataFrame:

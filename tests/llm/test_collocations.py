@@ -43,7 +43,7 @@ def made(seed):
     return [*rows, (None, "en"), (None, None), ("lone", "fr"), ("x y z", "it"), ("the cat " * 5000, "en"), rows[3]]
 
 
-@pytest.mark.parametrize(("shard", "waiting", "pairs"), [(300, 2, 5), (2_000_000, 32, 4000)])
+@pytest.mark.parametrize(("shard", "waiting", "pairs"), [(300, 2, 5), (5_000_000, 32, 4000)])
 def test_against_plain(spark, monkeypatch, shard, waiting, pairs):
     monkeypatch.setattr(c, "WAITING", waiting)
     monkeypatch.setattr(c, "RANGE_PAIRS", pairs)
