@@ -82,6 +82,25 @@ def event_turns(raw: DataFrame) -> DataFrame:
     ))
 
 
+def chat_turns(raw: DataFrame) -> DataFrame:
+    """Turns of chat exports with a batch of requests a line: what was asked, then the answer's parts. raw: path, at, value.
+
+    A line's `v` is a session with its requests, or a list of requests that
+    hold a message. A part of an answer counts by its value, or its content's;
+    parts that only tell of tools or progress are left out.
+    """
+    v = F.try_parse_json("value")
+    r = raw.select("path", "at", v.alias("r"))
+    listed = F.coalesce(F.try_variant_get("r", "$.v.requests", "array<variant>"), F.filter(F.try_variant_get("r", "$.v", "array<variant>"), lambda q: _get(q, "message", "variant").isNotNull()))
+    asked = r.select("path", "at", F.when(F.schema_of_variant(F.try_variant_get("r", "$.v", "variant")).startswith("OBJECT"), _get(F.col("r"), "v.sessionId")).alias("sid"), F.posexplode_outer(listed).alias("place", "q"))
+    q = F.col("q")
+    part = lambda p: F.coalesce(F.when(_is_text(_get(p, "value", "variant")), _get(p, "value")), _get(p, "content.value"), F.when(_is_text(p), F.try_variant_get(p, "$", "string")))
+    answer = F.array_join(F.filter(F.transform(_get(q, "response", "array<variant>"), part), lambda t: t.isNotNull()), "")
+    said = F.array(F.struct(F.lit("user").alias("role"), _get(q, "message.text").alias("content")), F.struct(F.lit("assistant").alias("role"), answer.alias("content")))
+    each = asked.select("path", "at", "place", "sid", F.coalesce(_get(q, "requestId"), F.col("at").cast("string")).alias("key"), _get(q, "timestamp").alias("timestamp"), F.posexplode(said).alias("side", "s"))
+    return _turns(each.select("path", F.struct("at", "place", "side").alias("at"), "key", "sid", F.lit(None).cast("string").alias("cwd"), "s.role", F.coalesce("s.content", F.lit("")).alias("content"), "timestamp"))
+
+
 def lane(method: Column) -> Column:
     """write, recall, status or tool."""
     return F.when(method.isin(WRITES), "write").when(method.isin(RECALLS) | method.startswith("recall_"), "recall").when(method.isin(STATUS), "status").otherwise("tool")

@@ -109,8 +109,11 @@ class Tables:
     def _merge(self, table: str, rows: DataFrame, held: dict | None) -> tuple[dict[str, int], dict | None]:
         schema = T.StructType([f for f in rows.schema.fields if f.name != _BUCKET])
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-        if held is not None and [(f.name, f.dataType) for f in T.StructType.fromJson(held["schema"])] != [(f.name, f.dataType) for f in schema]:
-            raise ValueError(f"{table}: the batch has other columns than the table")
+        if held is not None:
+            there = T.StructType.fromJson(held["schema"])
+            if {f.name: f.dataType for f in there} != {f.name: f.dataType for f in schema}:
+                raise ValueError(f"{table}: the batch has other columns than the table")
+            schema = there  # in the table's order
         held = held or {"schema": json.loads(schema.json()), "folders": {}}
         touched = [str(r[_BUCKET]) for r in rows.select(_BUCKET).distinct().collect()]  # `buckets` at most
         old = self._rows(held, touched)
