@@ -18,10 +18,7 @@ and the transducers' counts are exact.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +31,7 @@ from mnemospark.llm._common import lookup, materialise, trimmed
 #: Words of a candidate at most.
 LONGEST = 4
 #: A shard: n-grams of about so many words are counted in memory at once.
-SHARD_WORDS = 5_000_000
+SHARD_WORDS = 2_500_000
 #: Rows are handed to Spark in slices of so many.
 SLICE_ROWS = 500_000
 #: A filter has about so many bits an entry, and never over 2 ** FILTER_BITS (16 MB, the bound of what is broadcast).
@@ -117,6 +114,36 @@ class Transducer:
         label, weight, target = (np.array([arc[k] for _, a in states for arc in a], kind) for k, kind in ((0, "<i4"), (1, "<i8"), (2, "<i4")))
         return cls(list(names), first, label, target, weight, np.array([o for o, _ in states], "<i8"))
 
+    @classmethod
+    def of_rows(cls, names: list[bytes], rows: np.ndarray, n: np.ndarray) -> Transducer:
+        """From sorted rows of word numbers (from 1 into names, 0 behind the end); a row's prefixes of two words or more are rows too.
+
+        For a shard, which is united soon: only the ends are shared, as one state.
+        """
+        bare = np.setdiff1d(rows[:, 0], rows[rows[:, 1] == 0, 0])  # first words whose own count another range has
+        rows = np.concatenate((rows, np.pad(bare[:, None], ((0, 0), (0, LONGEST - 1)))))
+        n = np.concatenate((n, np.full(len(bare), -1)))
+        by = np.lexsort(rows.T[::-1])
+        rows, n = rows[by], n[by]
+        depth = (rows > 0).sum(axis=1)
+        used, label = np.unique(rows[np.arange(len(rows)), depth - 1], return_inverse=True)
+        at, parent = np.arange(len(rows)), np.full(len(rows), -1)
+        for d in range(2, LONGEST + 1):
+            before = np.maximum.accumulate(np.where(depth == d - 1, at, -1))
+            parent[depth == d] = before[depth == d]
+        inner = np.bincount(parent[parent >= 0], minlength=len(rows)) > 0
+        state = np.where(inner, np.cumsum(inner), inner.sum() + 1)  # 0 is the root, the last one the end
+        least = np.where(n < 0, np.iinfo(np.int64).max, n)
+        for d in range(LONGEST, 1, -1):
+            np.minimum.at(least, parent[depth == d], least[depth == d])
+        own = np.full(inner.sum() + 2, -1, np.int64)
+        own[state[inner]], own[-1] = np.where(n < 0, -1, n - least)[inner], 0
+        source = np.where(parent >= 0, state[parent], 0)
+        weight = least - np.where(parent >= 0, least[parent], 0)
+        order = np.argsort(source, kind="stable")
+        first = np.searchsorted(source[order], np.arange(len(own) + 1))
+        return cls([names[k - 1] for k in used.tolist()], first.astype("<i4"), label[order].astype("<i4"), state[order].astype("<i4"), weight[order].astype("<i8"), own.astype("<i8"))
+
     def to_bytes(self) -> bytes:
         parts = [self.first, self.label, self.target, self.weight, self.own]
         return np.array([len(self.own), len(self.label)], "<i8").tobytes() + b"".join(p.tobytes() for p in parts) + b" ".join(self.words)
@@ -165,8 +192,11 @@ class Transducer:
 
 def unite(parts: list[Transducer]) -> Transducer:
     """One transducer; numbers of a sequence that several have add up."""
-    merged = groupby(heapq.merge(*(p.items() for p in parts)), key=itemgetter(0))
-    return Transducer.build((sequence, sum(n for _, n in same)) for sequence, same in merged)
+    total: dict[tuple[bytes, ...], int] = {}
+    for part in parts:
+        for sequence, n in part.items():
+            total[sequence] = total.get(sequence, 0) + n
+    return Transducer.build(sorted(total.items()))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -231,17 +261,36 @@ _END, _SKIP = 0, 2
 _NONE = np.zeros(LONGEST, np.uint64)  # ends, so that no array is shorter than the longest n-gram
 
 
+class _Index(dict):
+    """Words numbered as they come; `new` are those without a code yet."""
+
+    def __init__(self):
+        super().__init__({_BREAK: 0, _EMPTY: 1})
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class _Coder:
     """Texts of one language as arrays of word hashes; words that the filter hasn't become ends."""
 
     def __init__(self, lang: str, words: Filter | None):
-        self.salt, self.filter, self.memo = np.uint64(_salt(lang)), words, {_BREAK: _END, _EMPTY: _SKIP}
+        self.salt, self.filter, self.index = np.uint64(_salt(lang)), words, _Index()
+        self.codes = np.array([_END, _SKIP], np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
-        found, memo = tokens(text), self.memo
-        if new := [w for w in set(found) if w not in memo]:
-            memo.update(zip(new, self.code(new).tolist(), strict=True))
-        codes = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+        found = tokens(text)
+        at = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
+        if self.index.new:
+            known = len(self.index) - len(self.index.new)
+            if len(self.index) > len(self.codes):
+                self.codes = np.resize(self.codes, 2 * len(self.index))
+            self.codes[known : len(self.index)] = self.code(self.index.new)
+            self.index.new = []
+        codes = self.codes[at]
         return codes[codes != _SKIP]
 
     def code(self, new: list[bytes]) -> np.ndarray:
@@ -334,6 +383,7 @@ def _build(words, pairs, longer, first_bits: int, shard_words: int):
         (_, ok), *rest = _gram_hashes(h[ids], pairs.value)
         for g, long in rest:
             long[long] = longer.value.has(g[long])
+        rest[1][1][:] &= rest[0][1][:-1]  # an n-gram stands with its prefixes only
         one, n_one = np.unique(ids[ids > 0], return_counts=True)
         two, back, n_two = np.unique((ids[:-1] << 32 | ids[1:])[ok], return_inverse=True, return_counts=True)
         number = np.zeros(len(ids) - 1, np.int64)
@@ -357,8 +407,7 @@ def _build(words, pairs, longer, first_bits: int, shard_words: int):
         rows, n, cells = rows[by], n[by], cells[by]
         starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)], strict=True):
-            entries = ((tuple(names[i - 1] for i in row if i), k) for row, k in zip(rows[s:e].tolist(), n[s:e].tolist(), strict=True))
-            yield int(cells[s]), Transducer.build(entries).to_bytes()
+            yield int(cells[s]), Transducer.of_rows(names, rows[s:e], n[s:e]).to_bytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in _shards(batches, lambda lang: _Numbers(lang, words.value), shard_words):

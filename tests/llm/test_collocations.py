@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from mnemospark.llm import collocations as c
@@ -43,7 +44,7 @@ def made(seed):
     return [*rows, (None, "en"), (None, None), ("lone", "fr"), ("x y z", "it"), ("the cat " * 5000, "en"), rows[3]]
 
 
-@pytest.mark.parametrize(("shard", "waiting", "pairs"), [(300, 2, 5), (5_000_000, 32, 4000)])
+@pytest.mark.parametrize(("shard", "waiting", "pairs"), [(300, 2, 5), (2_500_000, 32, 4000)])
 def test_against_plain(spark, monkeypatch, shard, waiting, pairs):
     monkeypatch.setattr(c, "WAITING", waiting)
     monkeypatch.setattr(c, "RANGE_PAIRS", pairs)
@@ -78,6 +79,17 @@ def test_transducers(seed):
     assert sorted(built[0].compose(built[1])) == sorted((x, n, made[1][x]) for x, n in made[0].items() if x in made[1])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_shards_from_rows(seed):
+    rng = np.random.default_rng(seed)
+    names = [b"a", b"b", b"dd", b"\xc3\xa9"]
+    grams = {tuple(g[: k + 1]) for g in rng.integers(1, 5, (30, 4)).tolist() for k in range(rng.integers(1, 5))} | {(2,)}
+    held = {g: int(rng.integers(5, 10**12)) // 10 ** len(g) for g in grams if len(g) > 1 or g[0] % 2 or rng.random() < 0.5}
+    rows = np.array(sorted([*g, *[0] * (4 - len(g))] for g in held), np.int64)
+    t = c.Transducer.of_rows(names, rows, np.array([held[tuple(x for x in r if x)] for r in rows.tolist()], np.int64))
+    assert list(c.Transducer.from_bytes(t.to_bytes()).items()) == sorted((tuple(names[i - 1] for i in g), n) for g, n in held.items())
+
+
 def test_equal_tails_are_one_state():
     grams = sorted({(a, b, d): 5 for a in (b"x", b"y", b"z") for b in (b"p", b"q") for d in (b"r", b"s")}.items())
     assert len(c.Transducer.build(grams).own) == 4  # root, after one word, after two, the end
