@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.vec import cosine
 from mnemospark.operators import recall
+from mnemospark.operators.scan import scan
 from mnemospark.sources.memory_tables import NODES_SQL, nodes, table
 
 
@@ -141,10 +141,8 @@ def spreading_activation(spark, sf_dir):
 def similar_pairs_in_class(spark, sf_dir):
     """Pairs of one class over a floor (consistency-audit candidates): joined by class, never all with all."""
     n = nodes(spark, sf_dir).select("node_id", "label", "v")
-    x, y = n.alias("x"), n.alias("y")
-    pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.node_id") < F.col("y.node_id")))
-    s = pairs.select(F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b"), F.round(cosine(F.col("x.v"), F.col("y.v")), 6).alias("similarity"))
-    return s.where("similarity >= 0.3")
+    pairs = scan(n, n.select(F.col("node_id").alias("query_id"), "label", F.col("v").alias("q")), least=0.3 - 1e-6, within="label", ordered=True)
+    return pairs.select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), F.round("score", 6).alias("similarity")).where("similarity >= 0.3")
 
 
 QUERIES = {f.__name__: f for f in (vec_topk, vec_floor_scan, vec_topk_per_label, vec_topk_all, vec_floor_scan_all, vec_topk_per_label_all, vec_centroids, vec_classify, rrf_fusion, fusion_adjust, recall_unified, loaded_demotion, jaccard_boost, spreading_activation, similar_pairs_in_class)}
