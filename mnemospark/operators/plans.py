@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import first_of_equals
 from mnemospark.sources.versioned import Upsert
+from mnemospark.storage import cut
 
 
 def normal_steps(steps: Column) -> Column:
     """Trimmed steps without white space runs, crumbs of under three characters and repeats (case left aside)."""
     bare = F.filter(F.transform(steps, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s.isNotNull() & (F.length(s) >= 3))
-    low = F.transform(bare, F.lower)
-    return F.filter(bare, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
+    return first_of_equals(bare)
 
 
 def content_hash(steps: Column) -> Column:
@@ -30,7 +31,8 @@ def plan_graph(declared: DataFrame) -> dict[str, Upsert]:
     """
     rows = declared.withColumn("steps", normal_steps(F.col("steps"))).where(F.size("steps") > 0).withColumn("plan_id", content_hash(F.col("steps")))
     first = Window.partitionBy("plan_id").orderBy("at", "session_id")
-    plans = rows.withColumn("place", F.row_number().over(first)).withColumn("declared", F.count("*").over(Window.partitionBy("plan_id"))).where("place = 1")
+    # Stored once: three tables are made of it.
+    plans = cut(rows.withColumn("place", F.row_number().over(first)).withColumn("declared", F.count("*").over(Window.partitionBy("plan_id"))).where("place = 1"), "plans")
     steps = plans.select("plan_id", F.posexplode("steps").alias("place", "text")).withColumn("step_id", F.sha2(F.concat_ws("#", "plan_id", F.col("place").cast("string")), 256))
     ids = steps.select("plan_id", "place", "step_id")
     following = F.lead("step_id").over(Window.partitionBy("plan_id").orderBy("place"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import first_of_equals
+
 
 def store_concepts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """key, action, strength, salience, confidence_low after each incoming concept met the live one of the same text, whatever its case.
@@ -179,8 +181,7 @@ def plan_steps(text: Column) -> Column:
         lambda x: F.when(x.rlike(number), F.trim(F.regexp_extract(x, number, 1))).when(x.rlike(word), F.trim(F.regexp_extract(x, word, 1))).when(F.regexp_extract(x, bullet, 1).rlike(word), F.trim(F.regexp_extract(x, bullet, 1))),
     )
     long = F.filter(found, lambda x: x.isNotNull() & (F.length(x) >= 3))
-    low = F.transform(long, F.lower)
-    return F.filter(long, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return first_of_equals(long)
 
 
 def sentence_of(text: Column, entity: Column) -> Column:
