@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from mnemospark.storage import cut
 
@@ -102,6 +103,61 @@ def declare(proposed: DataFrame, existing: DataFrame | None = None) -> DataFrame
     return cut(marked, "declared")
 
 
+#: Graphs of so many dependencies at most are declared in one pass over their rows; larger ones level by level.
+SMALL = 20_000
+
+
+def _reaches(ahead: dict, start, goal) -> bool:
+    seen, todo = {start}, [start]
+    while todo:
+        for node in ahead.get(todo.pop(), ()):
+            if node == goal:
+                return True
+            if node not in seen:
+                seen.add(node)
+                todo.append(node)
+    return False
+
+
+def _in_order(batches):
+    """Rows (graph_id, place, src, dst) sorted by graph and place, with `accepted`; holds one graph's accepted edges."""
+    import pyarrow as pa
+
+    graph, ahead = object(), {}
+    for batch in batches:
+        told = []
+        for g, a, b in zip(batch.column("graph_id").to_pylist(), batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+            if g != graph:
+                graph, ahead = g, {}
+            ok = a is not None and b is not None and a != b and not _reaches(ahead, b, a)
+            if ok:
+                ahead.setdefault(a, []).append(b)
+            told.append(ok)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], names=[*batch.schema.names, "accepted"])
+
+
+def declare_graphs(proposed: DataFrame) -> DataFrame:
+    """proposed (graph_id, place, src, dst) with `accepted`, as declare() has it. A stored table.
+
+    Graphs that share no node with another and have SMALL edges at most are
+    decided edge by edge, many in one task; the others by declare().
+    """
+    rows = cut(proposed.select("graph_id", "place", "src", "dst"), "proposed")
+    ends = rows.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
+    shared = ends.groupBy("node").agg(F.min("graph_id").alias("g"), F.max("graph_id").alias("h"), F.bool_or(F.col("graph_id").isNull()).alias("none")).where("g <> h OR none").select("node")
+    open_ = ends.join(shared, "node", "left_semi").select("graph_id")
+    large = rows.groupBy("graph_id").agg(F.count("*").alias("n")).where((F.col("n") > SMALL) | F.col("graph_id").isNull()).select("graph_id")
+    other = cut(open_.unionByName(large).distinct(), "open-graphs")
+    schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType(), True)])
+    some = not other.isEmpty()
+    alone = rows.join(other, rows["graph_id"].eqNullSafe(other["graph_id"]), "left_anti") if some else rows
+    alone = alone.repartition("graph_id").sortWithinPartitions("graph_id", "place").mapInArrow(_in_order, schema)
+    if some:
+        rest = declare(rows.join(other, rows["graph_id"].eqNullSafe(other["graph_id"]), "left_semi"))
+        alone = alone.unionByName(rest.select(*alone.columns))
+    return cut(alone, "declared")
+
+
 def closes_cycle(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (src, dst) with `cycle`: would the edge close one, over any number of edges (src, dst)?"""
     asked = pairs.select("src", "dst").distinct().select(F.struct("src", "dst").alias("ask"), "src", "dst", F.lit(1).alias("below"))
@@ -117,7 +173,7 @@ def register(tasks: DataFrame, depends: DataFrame) -> tuple[DataFrame, DataFrame
     on_id in the order of declaration. A pending task is ready if no accepted
     dependency of its waits for a task that is not complete or skipped.
     """
-    edges = declare(depends.select("graph_id", "place", F.col("task_id").alias("src"), F.col("on_id").alias("dst")))
+    edges = declare_graphs(depends.select("graph_id", "place", F.col("task_id").alias("src"), F.col("on_id").alias("dst")))
     waits = edges.where("accepted").select(F.col("src").alias("task_id"), F.col("dst").alias("on_id"))
     undone = tasks.where(~F.col("status").isin("complete", "skipped")).select(F.col("task_id").alias("on_id")).distinct()
     held = waits.join(undone, "on_id", "left_semi").select("task_id").distinct().withColumn("held", F.lit(True))
