@@ -136,26 +136,59 @@ def _in_order(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
 
-def declare_graphs(proposed: DataFrame) -> DataFrame:
-    """proposed (graph_id, place, src, dst) with `accepted`, as declare() has it. A stored table.
+def _answered(batches):
+    """The same for rows of place 0, edges, and of place 1, asked pairs: only the latter, with `accepted` false where they would close a cycle."""
+    import pyarrow as pa
 
-    Graphs that share no node with another and have SMALL edges at most are
-    decided edge by edge, many in one task; the others by declare().
-    """
-    rows = cut(proposed.select("graph_id", "place", "src", "dst"), "proposed")
+    graph, ahead = object(), {}
+    for batch in batches:
+        told = []
+        for g, place, a, b in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "place", "src", "dst")), strict=True):
+            if g != graph:
+                graph, ahead = g, {}
+            if place:
+                told.append(a is None or b is None or (a != b and not _reaches(ahead, b, a)))
+            else:
+                ahead.setdefault(a, []).append(b)
+                told.append(None)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], names=[*batch.schema.names, "accepted"])
+
+
+def _by_graph(rows: DataFrame, run) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with `accepted` by run over each small graph that is alone, the rows of the other graphs or None). rows: graph_id, place, src, dst, stored."""
     ends = rows.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
     shared = ends.groupBy("node").agg(F.min("graph_id").alias("g"), F.max("graph_id").alias("h"), F.bool_or(F.col("graph_id").isNull()).alias("none")).where("g <> h OR none").select("node")
     open_ = ends.join(shared, "node", "left_semi").select("graph_id")
     large = rows.groupBy("graph_id").agg(F.count("*").alias("n")).where((F.col("n") > SMALL) | F.col("graph_id").isNull()).select("graph_id")
     other = cut(open_.unionByName(large).distinct(), "open-graphs")
+    alone, rest = rows, None
+    if not other.isEmpty():
+        same = rows["graph_id"].eqNullSafe(other["graph_id"])
+        alone, rest = rows.join(other, same, "left_anti"), rows.join(other, same, "left_semi")
     schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType(), True)])
-    some = not other.isEmpty()
-    alone = rows.join(other, rows["graph_id"].eqNullSafe(other["graph_id"]), "left_anti") if some else rows
-    alone = alone.repartition("graph_id").sortWithinPartitions("graph_id", "place").mapInArrow(_in_order, schema)
-    if some:
-        rest = declare(rows.join(other, rows["graph_id"].eqNullSafe(other["graph_id"]), "left_semi"))
-        alone = alone.unionByName(rest.select(*alone.columns))
-    return cut(alone, "declared")
+    return alone.repartition("graph_id").sortWithinPartitions("graph_id", "place").mapInArrow(run, schema), rest
+
+
+def declare_graphs(proposed: DataFrame) -> DataFrame:
+    """proposed (graph_id, place, src, dst) with `accepted`, as declare() has it. A stored table.
+
+    Graphs that share no node with another and have SMALL edges at most are
+    decided edge by edge, many in one task; the others by declare().
+    """
+    told, rest = _by_graph(cut(proposed.select("graph_id", "place", "src", "dst"), "proposed"), _in_order)
+    if rest is not None:
+        told = told.unionByName(declare(rest).select(*told.columns))
+    return cut(told, "declared")
+
+
+def closes_cycle_graphs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (graph_id, src, dst) with `cycle`, as closes_cycle() has it; small graphs that are alone in one pass. edges: graph_id, src, dst."""
+    part = lambda frame, place: frame.select("graph_id", F.lit(place).alias("place"), "src", "dst")
+    told, rest = _by_graph(cut(part(edges, 0).unionByName(part(pairs, 1)), "asked"), _answered)
+    found = told.where("place = 1").select("graph_id", "src", "dst", (~F.col("accepted")).alias("cycle"))
+    if rest is not None:
+        found = found.unionByName(closes_cycle(rest.where("place = 0"), rest.where("place = 1").select("graph_id", "src", "dst")).select(*found.columns))
+    return found
 
 
 def closes_cycle(edges: DataFrame, pairs: DataFrame) -> DataFrame:

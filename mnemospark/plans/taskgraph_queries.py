@@ -46,8 +46,9 @@ def task_cycle_checks(spark, sf_dir):
     tasks, depends = _declared(spark, sf_dir)
     _, edges = taskgraph.register(tasks, depends)
     ahead = F.lead("task_id").over(Window.partitionBy("graph_id").orderBy("task_id"))
-    pairs = tasks.select(F.col("task_id").alias("src"), ahead.alias("dst")).where("dst IS NOT NULL")
-    return taskgraph.closes_cycle(edges.where("accepted").select(F.col("task_id").alias("src"), F.col("on_id").alias("dst")), pairs)
+    pairs = tasks.select("graph_id", F.col("task_id").alias("src"), ahead.alias("dst")).where("dst IS NOT NULL")
+    accepted = edges.where("accepted").select("graph_id", F.col("task_id").alias("src"), F.col("on_id").alias("dst"))
+    return taskgraph.closes_cycle_graphs(accepted, pairs).select("src", "dst", "cycle")
 
 
 def view_task_graph(spark, sf_dir):

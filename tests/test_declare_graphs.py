@@ -34,3 +34,12 @@ def test_small_graphs_take_no_levels(spark, monkeypatch):
     tasks = spark.createDataFrame([(1, 1, "pending"), (1, 2, "pending")], "graph_id long, task_id long, status string")
     depends = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 1)], "graph_id long, place long, task_id long, on_id long")
     assert sorted((r.place, r.accepted) for r in taskgraph.register(tasks, depends)[1].collect()) == [(1, True), (2, False)]
+
+
+@pytest.mark.parametrize(("share", "small"), [(False, 20_000), (True, 6)])
+def test_asked_pairs_equal_levels(spark, monkeypatch, share, small):
+    monkeypatch.setattr(taskgraph, "SMALL", small)
+    edges = _edges(spark, share).where("src < dst").select("graph_id", "src", "dst")
+    pairs = edges.selectExpr("graph_id", "dst AS src", "src + 1 AS dst").distinct()
+    got = {tuple(r) for r in taskgraph.closes_cycle_graphs(edges, pairs).select("graph_id", "src", "dst", "cycle").collect()}
+    assert got == {tuple(r) for r in taskgraph.closes_cycle(edges, pairs).select("graph_id", "src", "dst", "cycle").collect()}
