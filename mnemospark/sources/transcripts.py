@@ -122,27 +122,54 @@ def suffix(content: Column) -> Column:
     return F.when(array, ".json").when((F.get(tabs, F.lit(0)) > 0) & (F.size(F.array_distinct(tabs)) <= 2), ".tsv").otherwise(".csv")
 
 
+#: Levels that are walked in one pass over a payload.
+LEVELS = 8
+
+
+def _depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested, LEVELS + 1 for all that is deeper."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]+", "")
+    peeled = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), F.struct(bare.alias("left"), F.lit(0).alias("n")), lambda a, _: F.struct(F.regexp_replace(a["left"], r"\{\}|\[\]", "").alias("left"), (a["n"] + F.when(a["left"] != "", 1).otherwise(0)).alias("n")))
+    return F.coalesce(peeled["n"], F.lit(0))
+
+
+def _held(place: Column, item: Column) -> Column:
+    """A place and its item, with the values that it holds if it is an object, or a list."""
+    held = F.try_variant_get(item, "$", "map<string,variant>")
+    return F.struct(place.alias("place"), item.alias("item"), F.map_keys(held).alias("keys"), F.map_values(held).alias("values"), F.try_variant_get(item, "$", "array<variant>").alias("parts"))
+
+
+def _inner(level: Column) -> Column:
+    """The objects and lists right inside those of a level."""
+    held = F.flatten(F.transform(level, lambda x: F.transform(F.coalesce(x["values"], x["parts"]), lambda v, i: _held(F.concat(x["place"], F.array(i)), v))))
+    return F.filter(held, lambda x: x["values"].isNotNull() | x["parts"].isNotNull())
+
+
 def objects(payloads: DataFrame) -> DataFrame:
-    """id, kind, place, item of every object in payloads (id, kind, payload as a variant), however deep; `place` is its way down.
+    """id, kind, place, item, keys of every object in payloads (id, kind, payload as a variant), however deep; `place` is its way down.
 
-    One round a level, each a stored table: as many rounds as the deepest payload has levels.
+    The payloads are stored once, as text; a pass walks LEVELS levels of a
+    payload, and only what lies deeper is stored again for the next pass.
     """
-    shape = F.schema_of_variant("item")
-    level, found = payloads.select("id", "kind", F.array().cast("array<int>").alias("place"), F.col("payload").alias("item")), []
-    tvf = payloads.sparkSession.tvf
+    level, found = payloads.select("id", "kind", F.array().cast("array<int>").alias("place"), F.to_json("payload").alias("item")), []
     while True:
-        level = cut(level.where(shape.startswith("OBJECT") | shape.startswith("ARRAY")).select("id", "kind", "place", F.to_json("item").alias("item")), "level")
-        empty = level.isEmpty()
-        level = level.withColumn("item", F.parse_json("item"))
-        if empty:
-            return reduce(DataFrame.unionByName, found) if found else level
-        found.append(level.where(shape.startswith("OBJECT")))
-        children = level.lateralJoin(tvf.variant_explode(F.col("item").outer()))
-        level = children.select("id", "kind", F.concat("place", F.array("pos")).alias("place"), F.col("value").alias("item"))
+        level = cut(level.withColumn("depth", _depth(F.col("item"))), "level")
+        deepest = level.agg(F.max("depth")).first()[0] or 0
+        walked = level.where("depth > 0").select("id", "kind", F.array(_held(F.col("place"), F.parse_json("item"))).alias("l0"))
+        passes = max(1, min(deepest, LEVELS))
+        for n in range(1, passes):
+            walked = walked.withColumn(f"l{n}", _inner(F.col(f"l{n - 1}")))
+        every = F.flatten(F.array(*[F.filter(f"l{n}", lambda x: x["values"].isNotNull()) for n in range(passes)]))
+        pair = lambda x: F.struct(x["place"].alias("place"), x["item"].alias("item"), x["keys"].alias("keys"))
+        found.append(walked.select("id", "kind", F.explode(F.transform(every, pair)).alias("o")).select("id", "kind", "o.place", "o.item", "o.keys"))
+        if deepest <= LEVELS:
+            return reduce(DataFrame.unionByName, found)
+        deeper = walked.select("id", "kind", F.explode(F.transform(_inner(F.col(f"l{passes - 1}")), pair)).alias("o"))
+        level = deeper.select("id", "kind", "o.place", F.to_json("o.item").alias("item"))
 
 
-def _any_key(item: Column, keys: list[str]) -> Column:
-    return reduce(Column.__or__, [F.coalesce(F.try_variant_get(item, f"$.{k}", "variant").isNotNull(), F.lit(False)) for k in keys])
+def _any_key(keys: list[str]) -> Column:
+    return F.arrays_overlap("keys", F.array(*map(F.lit, keys)))
 
 
 def _first(item: Column, *keys: str) -> Column:
@@ -154,7 +181,7 @@ def results(found: DataFrame) -> DataFrame:
     v = F.col("item")
     task, puzzle = _first(v, "task_id", "task", "id"), _first(v, "puzzle_id", "game_id", "dataset_id")
     correct = F.coalesce(_get(v, "correct", "boolean"), F.lower(_get(v, "status")).isin(SOLVED), F.lit(False))
-    rows = found.where((task.isNotNull() | puzzle.isNotNull()) & _any_key(v, RESULT_KEYS)).select(
+    rows = found.where(_any_key(RESULT_KEYS) & (task.isNotNull() | puzzle.isNotNull())).select(
         "kind", F.sha2(F.to_json("item"), 256).alias("hash"), F.coalesce(task, F.lit("")).alias("task_id"), F.coalesce(puzzle, F.lit("")).alias("puzzle_id"),
         F.coalesce(_first(v, "status", "final_state"), F.when(correct, "solved").otherwise("failed")).alias("status"), correct.alias("correct"),
         F.coalesce(_first(v, "steps", "step_count", "num_steps").try_cast("int"), F.lit(0)).alias("steps"), F.coalesce(_first(v, "tokens_input", "input_tokens", "tokens.input").try_cast("int"), F.lit(0)).alias("tokens_input"),
@@ -166,7 +193,7 @@ def results(found: DataFrame) -> DataFrame:
 def events(found: DataFrame, most: int | None = None) -> DataFrame:
     """Event records among objects(), in the order of id and place; `most` keeps the first ones of each id, None all."""
     v = F.col("item")
-    rows = found.where(_any_key(v, EVENT_KEYS))
+    rows = found.where(_any_key(EVENT_KEYS))
     if most is not None:
         rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("kind", "place"))).where(F.col("nth") <= most)
     return rows.select(
@@ -180,7 +207,7 @@ def events(found: DataFrame, most: int | None = None) -> DataFrame:
 def steps(found: DataFrame) -> DataFrame:
     """World-model steps among objects(): task_id, step_index, node_count, action_effect_class, stalled."""
     v = F.col("item")
-    return found.where(_get(v, "kind") == "world_model_step").select(
+    return found.where(_any_key(["kind"]) & (_get(v, "kind") == "world_model_step")).select(
         "id", F.coalesce(_get(v, "task_id"), F.lit("")).alias("task_id"), F.coalesce(_get(v, "step").try_cast("int"), F.lit(0)).alias("step_index"), F.coalesce(_get(v, "data.node_count").try_cast("int"), F.lit(0)).alias("node_count"),
         F.coalesce(_get(v, "data.action_effect_class"), F.lit("")).alias("action_effect_class"), F.coalesce(_get(v, "data.single_action_stall_detected", "boolean"), F.lit(False)).alias("stalled"),
     )

@@ -91,3 +91,21 @@ def test_dictionary_and_reify(spark):
     concepts = spark.createDataFrame([(1, "decision", "t", 0.95, 5, 7), (2, "noise", "t", 0.9, 5, 7), (3, None, "t", 0.9, 5, 7), (4, "decision", "t", 0.5, 5, 7), (5, "decision", None, 0.7, None, 7)], "id long, kind string, text string, confidence double, message long, session long")
     made, links = audit.reify(concepts)
     assert sorted(r.confidence_low for r in made.collect()) == [False, True] and links.count() == 5
+
+
+def test_objects_are_walked_in_one_pass(spark, tmp_path, monkeypatch):
+    """Objects of many levels, with their places; only what is deeper than a pass is stored for the next one."""
+    deep = {"k": 0}
+    for _ in range(21):
+        deep = {"a": [deep, "}]"]}
+    payloads = [(1, json.dumps({"a": [{"b": 1}, 2, {"c": {"d": []}}, {}], "t": 'x"{['})), (2, json.dumps([[], [{"b": 2}]])), (3, "7"), (4, None), (5, json.dumps(deep))]
+    df = spark.createDataFrame(payloads, "id long, p string").select("id", F.lit("k").alias("kind"), F.parse_json("p").alias("payload"))
+    stored = []
+    monkeypatch.setattr(transcripts, "cut", lambda frame, name, cut=transcripts.cut: stored.append(name) or cut(frame, name))
+    got = {(r.id, tuple(r.place), r.item) for r in transcripts.objects(df.where("id < 5")).select("id", "place", F.to_json("item").alias("item")).collect()}
+    assert got == {
+        (1, (), '{"a":[{"b":1},2,{"c":{"d":[]}},{}],"t":"x\\"{["}'), (1, (0, 0), '{"b":1}'), (1, (0, 2), '{"c":{"d":[]}}'), (1, (0, 2, 0), '{"d":[]}'), (1, (0, 3), "{}"), (2, (1, 0), '{"b":2}'),
+    }
+    assert len(stored) == 1
+    found = transcripts.objects(df).where("id = 5").collect()
+    assert sorted(len(r.place) for r in found) == list(range(0, 43, 2))
