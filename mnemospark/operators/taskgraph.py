@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from mnemospark.storage import cut
 
@@ -154,8 +154,8 @@ def _answered(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
 
-def _by_graph(rows: DataFrame, run) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with `accepted` by run over each small graph that is alone, the rows of the other graphs or None). rows: graph_id, place, src, dst, stored."""
+def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows of each small graph that is alone, the rows of the other graphs or None). rows: graph_id, src, dst, ..., stored."""
     ends = rows.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
     shared = ends.groupBy("node").agg(F.min("graph_id").alias("g"), F.max("graph_id").alias("h"), F.bool_or(F.col("graph_id").isNull()).alias("none")).where("g <> h OR none").select("node")
     open_ = ends.join(shared, "node", "left_semi").select("graph_id")
@@ -165,6 +165,12 @@ def _by_graph(rows: DataFrame, run) -> tuple[DataFrame, DataFrame | None]:
     if not other.isEmpty():
         same = rows["graph_id"].eqNullSafe(other["graph_id"])
         alone, rest = rows.join(other, same, "left_anti"), rows.join(other, same, "left_semi")
+    return alone, rest
+
+
+def _by_graph(rows: DataFrame, run) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with `accepted` by run over each small graph that is alone, the rows of the other graphs or None). rows: graph_id, place, src, dst, stored."""
+    alone, rest = _apart(rows)
     schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType(), True)])
     return alone.repartition("graph_id").sortWithinPartitions("graph_id", "place").mapInArrow(run, schema), rest
 
@@ -246,3 +252,75 @@ def card_context(cards: DataFrame, edges: DataFrame, max_hops: int = 3, most: in
             break
         nodes.append(level)
     return _union(listed).drop("ends")
+
+
+def _around(max_hops: int, most: int):
+    """Tasks of card_context_graphs: rows (graph_id, edge_id, src, dst, rel_type) of whole graphs, those without an edge_id name a card."""
+    import pyarrow as pa
+
+    def told(cards, edges, schema):
+        sides, out = {}, []
+        for edge_id, src, dst, rel in sorted(edges, key=lambda e: e[0]):
+            for direction, node, other in (("out", src, dst), ("in", dst, src)):
+                same = sides.setdefault(node, {}).setdefault((rel, direction), [])
+                if len(same) < most:
+                    same.append((direction, node, edge_id, rel, src, dst, len(same) + 1, other))
+        ways = {node: [w for same in by.values() for w in same] for node, by in sides.items()}
+        for card in cards:
+            level, seen, listed = [card], {card}, set()
+            for hop in range(1, max_hops + 1):
+                met, ends = {}, set()
+                for node in level:
+                    for w in ways.get(node, ()):
+                        if w[2] not in listed:
+                            ends.add(w[7])
+                            if w[2] not in met or w < met[w[2]]:
+                                met[w[2]] = w
+                listed.update(met)
+                out.extend((card, edge_id, hop, w[3], w[0], w[4], w[5], w[6]) for edge_id, w in met.items())
+                level = ends - seen
+                seen |= ends
+                if not level:
+                    break
+            if len(out) >= 1 << 15:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema, strict=True)], names=_FOUND)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema, strict=True)], names=_FOUND)
+
+    def run(batches):
+        graph, cards, edges, schema = object(), set(), [], None
+        for batch in batches:
+            kind = {f.name: f.type for f in batch.schema}
+            schema = [kind["src"], kind["edge_id"], pa.int32(), kind["rel_type"], pa.string(), kind["src"], kind["dst"], pa.int32()]
+            for g, edge_id, src, dst, rel in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "edge_id", "src", "dst", "rel_type")), strict=True):
+                if g != graph:
+                    yield from told(cards, edges, schema)
+                    graph, cards, edges = g, set(), []
+                if edge_id is None:
+                    cards.add(src)
+                else:
+                    edges.append((edge_id, src, dst, rel))
+        yield from told(cards, edges, schema) if schema else ()
+
+    return run
+
+
+_FOUND = ["card", "edge_id", "hop", "rel_type", "direction", "src", "dst", "rank"]
+
+
+def card_context_graphs(cards: DataFrame, edges: DataFrame, max_hops: int = 3, most: int = 25) -> DataFrame:
+    """card_context() of cards (graph_id, card) over edges (graph_id, edge_id, src, dst, rel_type; edge ids are distinct, no nulls).
+
+    Graphs that share no node with another and have SMALL rows at most are
+    walked whole in a task, all their cards at once; the others hop by hop.
+    """
+    asked = cards.select("graph_id", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"), F.col("card").alias("src"), F.col("card").alias("dst"), F.lit(None).cast(edges.schema["rel_type"].dataType).alias("rel_type"))
+    rows = cut(edges.select("graph_id", "edge_id", "src", "dst", "rel_type").unionByName(asked), "context")
+    alone, rest = _apart(rows)
+    e = rows.schema
+    schema = StructType([StructField("card", e["src"].dataType), StructField("edge_id", e["edge_id"].dataType), StructField("hop", IntegerType()), StructField("rel_type", e["rel_type"].dataType), StructField("direction", StringType()), StructField("src", e["src"].dataType), StructField("dst", e["dst"].dataType), StructField("rank", IntegerType())])
+    found = alone.repartition("graph_id").sortWithinPartitions("graph_id").mapInArrow(_around(max_hops, most), schema)
+    if rest is not None:
+        found = found.unionByName(card_context(rest.where("edge_id IS NULL").select(F.col("src").alias("card")), rest.where("edge_id IS NOT NULL"), max_hops, most).select(*found.columns))
+    return found

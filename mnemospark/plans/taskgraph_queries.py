@@ -62,21 +62,21 @@ def _context(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     kinds = [("TASK_BLOCKS", F.lead("o_orderkey").over(w)), ("TASK_ENABLES", F.lead("o_orderkey", 3).over(w)), ("DEPENDS_ON", F.lead("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")))]
-    ends = o.select("o_orderkey", *[c.alias(k) for k, c in kinds])
-    made = ends.select(F.col("o_orderkey").alias("src"), F.explode(F.array(*[F.struct(F.lit(k).alias("rel_type"), F.col(k).alias("dst")) for k, _ in kinds])).alias("e"))
-    return made.select("src", "e.dst", "e.rel_type", F.concat_ws("-", "e.rel_type", "src", "e.dst").alias("edge_id")).where("dst IS NOT NULL")
+    ends = o.select(F.col("o_custkey").alias("graph_id"), "o_orderkey", *[c.alias(k) for k, c in kinds])
+    made = ends.select("graph_id", F.col("o_orderkey").alias("src"), F.explode(F.array(*[F.struct(F.lit(k).alias("rel_type"), F.col(k).alias("dst")) for k, _ in kinds])).alias("e"))
+    return made.select("graph_id", "src", "e.dst", "e.rel_type", F.concat_ws("-", "e.rel_type", "src", "e.dst").alias("edge_id")).where("dst IS NOT NULL")
 
 
 def task_card_context(spark, sf_dir):
     """Five hops around every order at once, one edge a node, type and direction."""
-    cards = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card"))
-    return taskgraph.card_context(cards, _context(spark, sf_dir), max_hops=5, most=1).select("card", "edge_id", "hop", "direction")
+    cards = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("card"))
+    return taskgraph.card_context_graphs(cards, _context(spark, sf_dir), max_hops=5, most=1).select("card", "edge_id", "hop", "direction")
 
 
 def task_card_owners(spark, sf_dir):
     """Who is behind a card: the priorities of the orders that its context of two hops ends at, with their edges."""
     o = table(spark, sf_dir, "orders")
-    found = taskgraph.card_context(o.select(F.col("o_orderkey").alias("card")), _context(spark, sf_dir), max_hops=2, most=1)
+    found = taskgraph.card_context_graphs(o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("card")), _context(spark, sf_dir), max_hops=2, most=1)
     owners = o.select(F.col("o_orderkey").alias("dst"), F.col("o_orderpriority").alias("owner"))
     return found.join(owners, "dst").groupBy("card", "owner").agg(F.count("*").alias("n"))
 

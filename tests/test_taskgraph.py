@@ -82,3 +82,15 @@ def test_card_context(spark):
             seen |= level
         out |= {(card, x, *v) for x, v in listed.items()}
     assert {(r.card, r.edge_id, r.hop, r.direction) for r in got.collect()} == out
+
+
+@pytest.mark.parametrize("small", [20_000, 3])
+def test_card_context_of_graphs(spark, monkeypatch, small):
+    """Graphs that are alone go in one pass, a shared or large one hop by hop; both as card_context() has it."""
+    monkeypatch.setattr(taskgraph, "SMALL", small)
+    rng = random.Random(3)
+    edges = [(i % 4, f"e{i:03d}", (i % 4) * 10 + rng.randrange(8), (i % 4) * 10 + rng.randrange(8), rng.choice(["A", "B"])) for i in range(80)] + [(4, "x", 50, 0, "A")]
+    e = spark.createDataFrame(edges, "graph_id int, edge_id string, src int, dst int, rel_type string")
+    cards = spark.createDataFrame([(g, g * 10 + i) for g in range(4) for i in range(8)] + [(4, 50), (5, 60)], "graph_id int, card int")
+    got, want = taskgraph.card_context_graphs(cards, e, 3, 2), taskgraph.card_context(cards.select("card"), e.drop("graph_id"), 3, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
