@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import valence
-from mnemospark.functions.vec import cosine
+from mnemospark.operators.scan import scan
 from mnemospark.storage import cut
 
 # The type of each class of entity, with its properties.
@@ -77,9 +77,11 @@ def retrospective(items: DataFrame, plans: DataFrame, least: int = 3, first: int
     lead = lambda c: F.max_by(c, F.when(F.col("n") == 1, 1))
     heads = told.withColumn("n", n).where(F.col("n") <= max(first, least)).groupBy("session").agg(F.max("n").alias("found"), F.array_sort(F.collect_list(step)).alias("all"), lead("domain").alias("domain"), lead("v").alias("v"))
     goals = cut(heads.where(F.col("found") >= least).select("session", "domain", "v", F.slice("all.text", 1, first).alias("steps")), "goals")
-    g, p = goals.alias("g"), plans.alias("p")
-    new = g.join(p, (F.col("g.domain") == F.col("p.domain")) & (cosine(F.col("g.v"), F.col("p.v")) > same), "left_anti")
-    return new.select("session", F.substring(F.col("steps")[0], 1, 240).alias("goal"), "steps")
+    # Vectors meet in blocks, each pair of blocks of a domain in a task of its own; of the plans much like a goal a block hands on one.
+    asked = goals.select(F.col("session").alias("query_id"), "domain", F.col("v").alias("q"))
+    met = plans.select(F.monotonically_increasing_id().alias("node_id"), "domain", "v")
+    known = scan(met, asked, above=same, k=1, within="domain").select(F.col("query_id").alias("session"))
+    return goals.join(known, "session", "left_anti").select("session", F.substring(F.col("steps")[0], 1, 240).alias("goal"), "steps")
 
 
 def temporal_context(nodes: DataFrame, edges: DataFrame, rels: tuple[str, ...] = ("NEXT_MESSAGE", "CAUSED_BY", "ESTABLISHED_IN"), window: int = 3, chars: int = 200) -> DataFrame:

@@ -109,3 +109,19 @@ def test_objects_are_walked_in_one_pass(spark, tmp_path, monkeypatch):
     assert len(stored) == 1
     found = transcripts.objects(df).where("id = 5").collect()
     assert sorted(len(r.place) for r in found) == list(range(0, 43, 2))
+
+
+def test_retrospective_meets_vectors_in_blocks(spark):
+    """One large domain is no single task's work: goals and plans meet in blocks, with the rows that comparing all of them leaves."""
+    vector = lambda i: None if i % 50 == 7 else [0.0, 0.0] if i % 50 == 8 else [1.0] if i % 50 == 9 else [float(i % 17), float(i % 23)]
+    goals, plans = [(f"g{i}", i % 2, vector(i)) for i in range(300)], [(1, vector(i * 31 + 3)) for i in range(12)] + [(None, [1.0, 1.0]), (0, None)]
+    items = spark.createDataFrame([(s, d, k, f"{s} {k}", v) for s, d, v in goals for k in range(3)], "session string, domain int, at int, text string, v array<double>")
+    made = audit.retrospective(items, spark.createDataFrame(plans, "domain int, v array<double>"))
+
+    def like(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    assert sorted(r.session for r in made.collect()) == sorted(s for s, d, v in goals if not any(d == e and like(v, w) > 0.9 for e, w in plans))
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
