@@ -27,13 +27,15 @@ def reach(edges: DataFrame, start: DataFrame, max_hops: int, direction: str = "o
 
     start: one column, node.
     """
-    steps = cut(directed(edges, direction).select("src", "dst").distinct(), "steps") if max_hops > 2 else directed(edges, direction).select("src", "dst").distinct()
+    # Steps may repeat: each frontier is distinct. Partitions grow with them.
+    steps = cut(directed(edges, direction).select("src", "dst"), "steps")
+    rows = steps.count()
     frontier, found = start.select("node").distinct(), []
     for hop in range(1, max_hops + 1):
         frontier = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         if found:  # a node reached earlier leads nowhere that is not known already
             frontier = frontier.join(reduce(DataFrame.unionByName, found), "node", "left_anti")
-        frontier = cut(frontier, "frontier")
+        frontier = cut(frontier, "frontier", rows=rows)
         if frontier.isEmpty():
             break
         found.append(frontier)
@@ -49,21 +51,24 @@ def permitted(edges: DataFrame, entry: str, tier: str, policies: DataFrame, max_
     length to it passes a node with another mode; the fewest unblocked hops
     are returned. Whether any walk is blocked is carried along, not the walks.
     """
-    steps = cut(edges.where(F.col("rel_type").isin(*rel_types)).select("src", "dst").distinct(), "steps")
+    steps = cut(edges.where(F.col("rel_type").isin(*rel_types)).select("src", "dst"), "steps")
+    rows = steps.count()
     bad = policies.where(F.col("mode").isNotNull() & (F.col("mode") != tier)).select("node").distinct().withColumn("bad", F.lit(True))
     spark = edges.sparkSession
     level = spark.createDataFrame([(entry,)], "node string").join(bad, "node", "left").select("node", F.coalesce("bad", F.lit(False)).alias("blocked"))
     found = []
     for hop in range(1, max_hops + 1):
         moved = level.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.bool_or("blocked").alias("through"))
-        level = cut(moved.join(bad, "node", "left").select("node", (F.col("through") | F.coalesce("bad", F.lit(False))).alias("blocked")), "level")
+        level = cut(moved.join(bad, "node", "left").select("node", (F.col("through") | F.coalesce("bad", F.lit(False))).alias("blocked")), "level", rows=rows)
         found.append(level.where("NOT blocked").select("node", F.lit(hop).alias("hops")))
     return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("hops").alias("hops"))
 
 
 def explore(edges: DataFrame, start: str, max_depth: int, direction: str = "out") -> DataFrame:
     """Breadth-first search with first discoverer: node, depth, parent, path, path_strength (mean edge confidence, null counts 1)."""
-    steps = cut(directed(edges, direction).groupBy("src", "dst").agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("w")), "steps")
+    weighed = cut(directed(edges, direction).select("src", "dst", F.coalesce("confidence", F.lit(1.0)).alias("w")), "weighed")
+    rows = weighed.count()
+    steps = cut(weighed.groupBy("src", "dst").agg(F.max("w").alias("w")), "steps", rows=rows)
     spark = edges.sparkSession
     level = spark.createDataFrame([(start,)], "node string").select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("path"), F.lit(0.0).alias("total"))
     found = [level]
@@ -71,7 +76,7 @@ def explore(edges: DataFrame, start: str, max_depth: int, direction: str = "out"
         ahead = level.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("parent"), F.concat("path", F.array("dst")).alias("path"), (F.col("total") + F.col("w")).alias("total"))
         ahead = ahead.join(reduce(DataFrame.unionByName, found).select("node"), "node", "left_anti")
         first = ahead.groupBy("node").agg(F.min_by(F.struct("parent", "path", "total"), "parent").alias("f"))
-        level = cut(first.select("node", F.lit(depth).alias("depth"), "f.parent", "f.path", "f.total"), "level")
+        level = cut(first.select("node", F.lit(depth).alias("depth"), "f.parent", "f.path", "f.total"), "level", rows=rows)
         found.append(level)
     every = reduce(DataFrame.unionByName, found)
     return every.where("depth > 0").select("node", "depth", "parent", "path", F.round(F.try_divide("total", "depth"), 3).alias("path_strength"))
@@ -110,14 +115,15 @@ def blocked(tasks: DataFrame, depends: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(edges: DataFrame, least: int) -> DataFrame:
-    """Pairs of sources with at least `least` neighbours in common: a, b, shared.
+    """Pairs of sources with at least `least` neighbours in common: a, b, shared. A stored table.
 
     Joined on the neighbour; meant for bounded in-degree or a `least` that the caller has pruned for.
     """
     e = edges.select("src", "dst").distinct()
     x, y = e.alias("x"), e.alias("y")
     pairs = x.join(y, (F.col("x.dst") == F.col("y.dst")) & (F.col("x.src") < F.col("y.src")))
-    return pairs.groupBy(F.col("x.src").alias("a"), F.col("y.src").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    shared = pairs.groupBy(F.col("x.src").alias("a"), F.col("y.src").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return cut(shared, "shared", rows=4 * edges.count())
 
 
 def degree_hotspots(edges: DataFrame, k: int, alert: int) -> DataFrame:
@@ -128,8 +134,8 @@ def degree_hotspots(edges: DataFrame, k: int, alert: int) -> DataFrame:
     return both.withColumn("rn", rank).where(F.col("rn") <= k).select("rel_type", "side", "node", "degree", (F.col("degree") >= alert).alias("alert"))
 
 
-def cooccurrence(members: DataFrame, max_pairs: int | None = 45) -> DataFrame:
-    """Pairs of items (group_id, item) per group, at most max_pairs a group in order (None: all): a, b, n groups.
+def cooccurrence(members: DataFrame, max_pairs: int | None = 45, least: int = 1) -> DataFrame:
+    """Pairs of items (group_id, item) per group, at most max_pairs a group in order (None: all): a, b, n groups, `least` or more. A stored table.
 
     The first max_pairs ordered pairs of a group lie among its first
     max_pairs + 1 items, so only those are paired, however large the group.
@@ -140,10 +146,10 @@ def cooccurrence(members: DataFrame, max_pairs: int | None = 45) -> DataFrame:
         m = m.withColumn("place", place).where(F.col("place") <= max_pairs + 1).drop("place")
     x, y = m.alias("x"), m.alias("y")
     pairs = x.join(y, (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.group_id").alias("g"), F.col("x.item").alias("a"), F.col("y.item").alias("b"))
-    if max_pairs is None:
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("a", "b"))
-    return pairs.withColumn("rn", rank).where(F.col("rn") <= max_pairs).groupBy("a", "b").agg(F.count("*").alias("n"))
+    if max_pairs is not None:
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("a", "b"))
+        pairs = pairs.withColumn("rn", rank).where(F.col("rn") <= max_pairs)
+    return cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least), "pairs", rows=2 * members.count())
 
 
 def unpromoted(pairs: DataFrame, named: DataFrame, least: int) -> DataFrame:

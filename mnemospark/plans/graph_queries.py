@@ -86,11 +86,11 @@ def graph_degree_hotspots(spark, sf_dir):
 
 
 def _part_pairs(spark, sf_dir):
-    return graph.cooccurrence(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("item")))
+    return graph.cooccurrence(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("item")), least=2)
 
 
 def graph_cooccurrence(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).where("n >= 2")
+    return _part_pairs(spark, sf_dir)
 
 
 def graph_unpromoted_pairs(spark, sf_dir):
@@ -98,7 +98,7 @@ def graph_unpromoted_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     pairs = _part_pairs(spark, sf_dir)
     x, y = p.alias("x"), p.alias("y")
-    often = pairs.where("n >= 2").join(x, F.col("a") == F.col("x.p_partkey")).join(y, F.col("b") == F.col("y.p_partkey"))
+    often = pairs.join(x, F.col("a") == F.col("x.p_partkey")).join(y, F.col("b") == F.col("y.p_partkey"))
     named = often.where("x.p_brand = y.p_brand").select(F.col("b").alias("src"), F.col("a").alias("dst"))
     return graph.unpromoted(pairs, named, 2)
 
