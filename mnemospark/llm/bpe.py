@@ -7,8 +7,9 @@ words without a pair that merges leave the array. Only pairs beside a merge
 are looked up anew in the next round.
 
 Pieces of text between white space are independent under this family of
-tokenizers (the splitting pattern never crosses white space), so each task
-encodes every distinct piece once and keeps a bounded memo of them.
+tokenizers (the splitting pattern never crosses white space). Arrow splits a
+group of texts and numbers its distinct pieces, so a piece is looked up once a
+group; each task encodes those it has not met and keeps a bounded memo of them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame
@@ -32,11 +35,8 @@ MEMO_PIECES = 400_000
 #: Texts are encoded in groups of at least this many characters.
 GROUP_CHARS = 4 << 20
 _NONE = np.int32(0x7FFFFFFF)
-#: Characters that Python's str.split() takes as white space, but the pattern's \s does not.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Beyond this range, letters and cases depend on a library's Unicode version, so the tokenizers library decides.
 _RARE = regex.compile("[^\0-\u024f]")
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
 def _byte_chars() -> list[str]:
@@ -46,6 +46,11 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _held(binary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a fresh (unsliced) large binary array begins, the end of the last, and the bytes of all."""
+    return np.frombuffer(binary.buffers()[1], np.int64, len(binary) + 1), np.frombuffer(binary.buffers()[2] or b"", np.uint8)
+
+
 class WordBpe:
     """Encoder and decoder of a tokenizers file: lower-casing byte-level BPE with a word-end suffix."""
 
@@ -80,7 +85,7 @@ class WordBpe:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self._keys, self._rank, self._made = keys[order], order.astype(np.int32), made
-        self._memo: dict[str, bytes] = {}
+        self._memo = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair by binary search; _NONE where the pair doesn't merge."""
@@ -132,80 +137,89 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return word[order], symbols[order]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids (unsigned 16-bit, in bytes) of normalised pieces that hold no white space."""
-        rare = [i for i, p in enumerate(pieces) if not p.isascii() and _RARE.search(p)]
-        found = self._words.findall("\n".join(pieces)) if len(rare) < len(pieces) else []
+    def _encode_words(self, words: pa.Array) -> pa.Array:
+        """The ids (in bytes) of distinct words; a line feed stands between pieces and has none."""
+        starts = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+        flat = np.frombuffer(words.buffers()[2] or b"", np.uint8, int(starts[-1]))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(starts))
+        symbols = self._inner[flat]
+        symbols[starts[1:] - 1] = self._final[flat[starts[1:] - 1]]
+        real = flat != 10
+        of, ids = self.merge(symbols[real], word[real])
+        cuts = np.searchsorted(of, np.arange(len(words) + 1)) * self.kind.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids.astype(self.kind))])
+
+    def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids (in bytes) of normalised pieces that hold no white space; a word that many pieces share is merged once."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), pa.scalar("\n", pieces.type))[0].as_py()
+        rare = self._rare(text)
+        found = self._words.findall(text) if len(rare) < len(pieces) else []
         if rare:
             of_piece: list[list[str]] = [[]]
             for w in found:
                 of_piece[-1].append(w) if w != "\n" else of_piece.append([])
             of_piece += [[] for _ in range(len(pieces) - len(of_piece))]
             for i in rare:
-                of_piece[i] = [w for w, _ in self._split.pre_tokenize_str(pieces[i])]
+                of_piece[i] = [w for w, _ in self._split.pre_tokenize_str(pieces[i].as_py())]
             found = [w for i, p in enumerate(of_piece) for w in (["\n", *p] if i else p)]
-        flat = np.frombuffer(" ".join(found).encode(), np.uint8)
-        ends = np.flatnonzero(flat == 32)
-        word = np.zeros(len(flat), np.int32)
-        word[ends] = 1
-        word = np.cumsum(word, dtype=np.int32)
-        newline = flat == 10
-        piece = np.cumsum(newline, dtype=np.int32)
-        last = np.zeros(len(flat), bool)
-        last[ends - 1] = True
-        last[-1:] = True
-        symbols = np.where(last, self._final[flat], self._inner[flat])
-        real = (flat != 32) & ~newline
-        n_words = int(word[-1]) + 1 if len(word) else 0
-        of = np.zeros(n_words, np.int32)
-        of[word[real]] = piece[real]
-        words, ids = self.merge(symbols[real], word[real])
-        cuts = np.searchsorted(of[words], np.arange(len(pieces) + 1)) * self.kind.itemsize
-        data = ids.astype(self.kind).tobytes()
-        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        words = pa.array(found, pa.large_string()).dictionary_encode()
+        ids = self._encode_words(words.dictionary).take(words.indices)
+        starts, _ = _held(ids)
+        line = np.flatnonzero(words.indices.to_numpy() == words.dictionary.index("\n").as_py())
+        cuts = np.concatenate(([0], starts[line], starts[-1:]))
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(cuts), ids.buffers()[2]])
+
+    def _rare(self, text: str) -> list[int]:
+        """Which of the pieces that line feeds part hold a character past the range of _RARE: from its first byte C9 90 on."""
+        if text.isascii():
+            return []
+        flat = np.frombuffer(text.encode(), np.uint8)
+        at = np.flatnonzero((flat > 0xC9) | (flat == 0xC9) & (np.append(flat[1:], np.uint8(0)) > 0x8F))
+        return np.unique(np.searchsorted(np.flatnonzero(flat == 10), at)).tolist()
 
     def _normalise(self, text: str) -> str:
+        """Normalised text; its white space is ASCII only."""
         if not text.isascii():
             if _RARE.search(text):
                 return self._normaliser.normalize_str(text)
-            text = unicodedata.normalize("NFC", text)
+            text = unicodedata.normalize("NFC", text).replace("\x85", " ").replace("\xa0", " ")
         return text.lower()
 
-    def _pieces(self, text: str) -> list[str | int]:
-        """Normalised pieces between white space, and the ids of special tokens."""
+    def _parts(self, text: str) -> list[str | int]:
+        """Normalised text between special tokens, and the ids of those."""
         if self._special is not None and "<|" in text and self._special.search(text):
-            out: list[str | int] = []
-            for part in self._special.split(text):
-                out += [self.special[part]] if part in self.special else self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        text = self._normalise(text)
-        if _ODD_SPACE.search(text):
-            return [p for p in _SPACE.split(text) if p]
-        return text.split()
+            return [self.special[p] if p in self.special else self._normalise(p) for p in self._special.split(text)]
+        return [self._normalise(text)]
+
+    def _known(self, pieces: pa.Array) -> pa.Array:
+        """The ids (in bytes) of distinct pieces, from the memo or anew; a full memo keeps those that are asked for."""
+        keys, ids = self._memo
+        at = np.array(pc.index_in(pieces, value_set=keys).fill_null(-1))
+        new = at < 0
+        if new.any():
+            missing = pieces.filter(pa.array(new))
+            if len(keys) + len(missing) > MEMO_PIECES:
+                held = at[~new]
+                keys, ids, at[~new] = keys.take(pa.array(held)), ids.take(pa.array(held)), np.arange(len(held))
+            at[new] = np.arange(len(keys), len(keys) + len(missing))
+            fresh = [self._encode_pieces(missing.slice(a, 1 << 16)) for a in range(0, len(missing), 1 << 16)]
+            self._memo = keys, ids = pa.concat_arrays([keys, missing]), pa.concat_arrays([ids, *fresh])
+        return ids.take(pa.array(at))
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of normalised texts without special tokens: each distinct piece between white space is looked up once."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        pieces = split.flatten().dictionary_encode()
+        starts, data = _held(self._known(pieces.dictionary).take(pieces.indices))
+        cuts = starts[split.offsets.to_numpy()].tolist()
+        return [data[a:b].view(self.kind) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text as an unsigned array: of 16 bits, or of 32 if the vocabulary has more than 65536 ids."""
-        pieces = [self._pieces(t) for t in texts]
-        memo = self._memo
-        missing: set = set()
-        for p in pieces:
-            missing.update(x for x in p if x not in memo)
-        if missing:
-            if len(memo) + len(missing) > MEMO_PIECES:
-                kept = {x for p in pieces for x in p}
-                missing = kept
-                memo.clear()
-            for i in [x for x in missing if isinstance(x, int)]:
-                memo[i] = np.array([i], self.kind).tobytes()
-                missing.discard(i)
-            fresh = list(missing)
-            for a in range(0, len(fresh), 1 << 16):
-                part = fresh[a : a + (1 << 16)]
-                memo.update(zip(part, self._encode_pieces(part), strict=True))
-        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), self.kind) for p in pieces]
+        parts = [self._parts(t) for t in texts]
+        plain = iter(self._encode_plain([p for x in parts for p in x if isinstance(p, str)]))
+        ids = [[next(plain) if isinstance(p, str) else np.array([p], self.kind) for p in x] for x in parts]
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in ids]
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by a space: this vocabulary's file names no decoder."""

@@ -79,6 +79,28 @@ def test_random_texts(both, texts):
     same(both, texts)
 
 
+def test_a_word_that_pieces_share_is_merged_once(monkeypatch):
+    """op7_token_shards passed its CPU limit: each piece of a batch was looked up twice, and its words merged anew."""
+    from mnemospark.llm import bpe
+
+    own, merged, plain = WordBpe(PATH), [], WordBpe.merge
+    monkeypatch.setattr(WordBpe, "merge", lambda self, symbols, word: merged.append(len(symbols)) or plain(self, symbols, word))
+    own.encode_batch(["(wonder, wonder! wonder? wonder", "Wonder wonder wonder.\xa0wonder"])
+    assert sum(merged) == len("wonder" + "(,!?.")
+    own.encode_batch(["wonder WONDER\x85wonder."])
+    assert len(merged) == 1
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 6)  # full: what the batch asks for is kept, only what is new is merged
+    texts = ["wonder wonder. wander under"]
+    assert [x.tolist() for x in own.encode_batch(texts)] == [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert merged[1:] == [len("wanderunder")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "É", "e\u0301", "ş", "Σ", "日本", "\u3000", "\xa0", "\x85", "\x1c", "\x0b", "\x0c", "\r\n", "\n", " ", "'ll", "7", "½", "!?", "<|", "|>", "<|endoftext|>", "\0", "\u0250", "\u024f", "😀"]), max_size=20).map("".join), min_size=1, max_size=6))
+def test_mixed_spaces_and_scripts(both, texts):
+    same(both, texts)
+
+
 def test_merge_of_runs(both):
     own, _ = both
     assert isinstance(own.encode_batch(["a" * 5000])[0], np.ndarray)
