@@ -83,6 +83,25 @@ def test_consolidation_that_forgets_runs_until_stopped(spark, tmp_path):
     assert state(stateful.state_of(spark.read.parquet(out))) == plain(rows)
 
 
+def test_what_has_run_out_is_unknown_to_the_next_mention(spark, tmp_path, monkeypatch):
+    """The store forgets after a second; triggers are 10 seconds apart, and those without new turns make no batch."""
+    consolidator, empty = stateful._Consolidate, spark.conf.get(stateful.EMPTY_BATCHES)
+    monkeypatch.setattr(stateful, "_Consolidate", lambda ttl: consolidator(1000))
+    source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    one = spark.createDataFrame([("w", 1, "user", 1.0, [("a", 0.9)])], SCHEMA).coalesce(1)
+    one.write.parquet(source)
+    query = stateful.consolidate(spark.readStream.schema(SCHEMA).parquet(source), out, checkpoint, ttl_days=30)
+    try:
+        query.processAllAvailable()
+        one.withColumn("seq", F.lit(2).cast("long")).write.mode("append").parquet(source)
+        query.processAllAvailable()
+        batches = {p["batchId"] for p in query.recentProgress if p["numInputRows"]}
+    finally:
+        query.stop()
+    assert {(r.seq, r.action, r.mentions) for r in spark.read.parquet(out).collect()} == {(1, "created", 1), (2, "created", 1)}
+    assert batches == {0, 1} and spark.conf.get(stateful.EMPTY_BATCHES) == empty
+
+
 def test_summaries(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.choice("stu"), seq, rng.choice(["user", None]), rng.randrange(9)) for seq in range(50)]
