@@ -134,22 +134,42 @@ def degree_hotspots(edges: DataFrame, k: int, alert: int) -> DataFrame:
     return both.withColumn("rn", rank).where(F.col("rn") <= k).select("rel_type", "side", "node", "degree", (F.col("degree") >= alert).alias("alert"))
 
 
+#: Items of a group that meet in one task at most, about; larger groups are dealt out as pairs of blocks.
+BLOCK = 2048
+
+
 def cooccurrence(members: DataFrame, max_pairs: int | None = 45, least: int = 1) -> DataFrame:
     """Pairs of items (group_id, item) per group, at most max_pairs a group in order (None: all): a, b, n groups, `least` or more. A stored table.
 
     The first max_pairs ordered pairs of a group lie among its first
     max_pairs + 1 items, so only those are paired, however large the group.
+    With None a group of over BLOCK items is cut into blocks, and each pair of
+    blocks is a key of its own.
     """
     m = members.select("group_id", "item").distinct()
     if max_pairs is not None:
         place = F.row_number().over(Window.partitionBy("group_id").orderBy("item"))
         m = m.withColumn("place", place).where(F.col("place") <= max_pairs + 1).drop("place")
+        rows, keys = 2 * members.count(), ["group_id"]
+    else:
+        sizes = m.groupBy("group_id").agg(F.count("*").alias("size"))
+        made, largest = sizes.agg(F.sum(F.expr("size * (size - 1) div 2")), F.max("size")).first()
+        rows, keys = made or 0, ["group_id"]
+        if (largest or 0) > BLOCK:
+            n = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1))
+            dealt = m.join(sizes.where(F.col("size") > BLOCK), "group_id", "left").select("group_id", "item", n.alias("blocks"), F.pmod(F.xxhash64("item"), n).alias("block"))
+            dealt = dealt.select("group_id", "item", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            m = dealt.select("group_id", "item", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+            keys = ["group_id", "low", "high"]
     x, y = m.alias("x"), m.alias("y")
-    pairs = x.join(y, (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.group_id").alias("g"), F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+    met = reduce(lambda c, k: c & (F.col(f"x.{k}") == F.col(f"y.{k}")), keys, F.col("x.item") < F.col("y.item"))
+    if len(keys) > 1:  # items of one block meet under its own key only
+        met &= (F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block"))
+    pairs = x.join(y, met).select(F.col("x.group_id").alias("g"), F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     if max_pairs is not None:
         rank = F.row_number().over(Window.partitionBy("g").orderBy("a", "b"))
         pairs = pairs.withColumn("rn", rank).where(F.col("rn") <= max_pairs)
-    return cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least), "pairs", rows=2 * members.count())
+    return cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least), "pairs", rows=rows)
 
 
 def unpromoted(pairs: DataFrame, named: DataFrame, least: int) -> DataFrame:

@@ -85,18 +85,19 @@ def graph_degree_hotspots(spark, sf_dir):
     return graph.degree_hotspots(edges(spark, sf_dir), 10, 500)
 
 
-def _part_pairs(spark, sf_dir):
-    return graph.cooccurrence(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("item")), least=2)
+def _part_pairs(spark, sf_dir, max_pairs):
+    return graph.cooccurrence(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("item")), max_pairs, least=2)
 
 
 def graph_cooccurrence(spark, sf_dir):
-    return _part_pairs(spark, sf_dir)
+    """Pairs of parts in two orders or more, whatever the size of an order."""
+    return _part_pairs(spark, sf_dir, None)
 
 
 def graph_unpromoted_pairs(spark, sf_dir):
     """Pairs of parts often ordered together but not of one brand (the named relation)."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    pairs = _part_pairs(spark, sf_dir)
+    pairs = _part_pairs(spark, sf_dir, 45)
     x, y = p.alias("x"), p.alias("y")
     often = pairs.join(x, F.col("a") == F.col("x.p_partkey")).join(y, F.col("b") == F.col("y.p_partkey"))
     named = often.where("x.p_brand = y.p_brand").select(F.col("b").alias("src"), F.col("a").alias("dst"))
@@ -151,7 +152,8 @@ SELECT x.s AS a, y.s AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND
     "graph_degree_hotspots": f"""WITH {EDGES_SQL}, d AS (SELECT rel_type, 'out' AS side, src AS node, count(*) AS degree FROM edges GROUP BY ALL
   UNION ALL SELECT rel_type, 'in', dst, count(*) FROM edges GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rel_type, side ORDER BY degree DESC, node) AS rn FROM d)
 SELECT rel_type, side, node, degree, degree >= 500 AS alert FROM r WHERE rn <= 10""",
-    "graph_cooccurrence": _PAIRS + " SELECT * FROM n WHERE n >= 2",
+    "graph_cooccurrence": """WITH m AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS item FROM lineitem)
+SELECT x.item AS a, y.item AS b, count(*) AS n FROM m x JOIN m y ON x.g = y.g AND x.item < y.item GROUP BY x.item, y.item HAVING count(*) >= 2""",
     "graph_unpromoted_pairs": _PAIRS + " SELECT n.* FROM n JOIN part x ON a = x.p_partkey JOIN part y ON b = y.p_partkey WHERE n >= 2 AND x.p_brand <> y.p_brand",
     "graph_orphans": "SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_totalprice > 400000)",
 }
