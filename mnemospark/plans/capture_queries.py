@@ -68,22 +68,22 @@ def activity_recent(spark, sf_dir):
     return last.select(F.regexp_extract("path", r"log=(\d+)", 1).cast("long").alias("log"), "back", "ts", "event", "method", "line")
 
 
-def _artifacts(spark, sf_dir):
+def _artifacts(spark, sf_dir, having):
     """A run per order: an object with tasks (lines) in a list, each with nested steps."""
     x = table(spark, sf_dir, "lineitem")
     inner = F.struct(F.lit("world_model_step").alias("kind"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("task_id"), F.col("l_linenumber").alias("step"), F.struct(F.col("l_suppkey").alias("node_count"), F.col("l_returnflag").alias("action_effect_class"), (F.col("l_quantity") > 40).alias("single_action_stall_detected")).alias("data"))
     task = F.struct(F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("task_id"), F.when(F.col("l_returnflag") == "N", "solved").when(F.col("l_returnflag") == "R", "lost").alias("status"), F.when(F.col("l_quantity") < 20, F.col("l_linenumber")).alias("steps"), F.struct(F.col("l_linenumber").alias("input")).alias("tokens"), F.array(inner).alias("trace"))
     runs = x.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(task).alias("tasks"))
-    return transcripts.objects(runs.select("id", F.lit("submission").alias("kind"), F.parse_json(F.to_json(F.struct("tasks"))).alias("payload")))
+    return transcripts.objects(runs.select("id", F.lit("submission").alias("kind"), F.parse_json(F.to_json(F.struct("tasks"))).alias("payload")), having)
 
 
 def artifact_results(spark, sf_dir):
-    r = transcripts.results(_artifacts(spark, sf_dir))
+    r = transcripts.results(_artifacts(spark, sf_dir, transcripts.RESULT_KEYS))
     return r.groupBy("task_id", "status", "correct", "failure_class").agg(F.count("*").alias("n"), F.sum("steps").alias("steps"), F.sum("tokens_input").alias("tokens_input"))
 
 
 def artifact_steps(spark, sf_dir):
-    return transcripts.steps(_artifacts(spark, sf_dir))
+    return transcripts.steps(_artifacts(spark, sf_dir, ["kind"]))
 
 
 def artifact_events(spark, sf_dir):
@@ -92,7 +92,7 @@ def artifact_events(spark, sf_dir):
     record = F.struct("event_type", F.col("event_id").alias("step"), F.struct(F.col("user_id").cast("string").alias("task_id"), F.col("event_type").alias("result_summary")).alias("data"))
     runs = e.groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rs"))
     payload = F.parse_json(F.to_json(F.col("rs.r")))
-    found = transcripts.events(transcripts.objects(runs.select("id", F.lit("timeline").alias("kind"), payload.alias("payload"))), 2)
+    found = transcripts.events(transcripts.objects(runs.select("id", F.lit("timeline").alias("kind"), payload.alias("payload")), transcripts.EVENT_KEYS), 2)
     return found.select("id", "task_id", "event_type", "step_index", "outcome")
 
 

@@ -1,11 +1,12 @@
-"""JSON lines of conversations, activity and run artifacts as rows: read by Spark, parsed as variants inside the JVM."""
+"""JSON lines of conversations, activity and run artifacts as rows: read by Spark, parsed as variants inside the JVM; objects are found in Arrow."""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from mnemospark.storage import cut
 
@@ -122,50 +123,65 @@ def suffix(content: Column) -> Column:
     return F.when(array, ".json").when((F.get(tabs, F.lit(0)) > 0) & (F.size(F.array_distinct(tabs)) <= 2), ".tsv").otherwise(".csv")
 
 
-#: Levels that are walked in one pass over a payload.
-LEVELS = 8
+#: Bytes of an Arrow batch, and of the objects that are handed on at once, about.
+BATCH_BYTES = 4 << 20
 
 
-def _depth(text: Column) -> Column:
-    """How deep the brackets of a JSON text are nested, LEVELS + 1 for all that is deeper."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]+", "")
-    peeled = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), F.struct(bare.alias("left"), F.lit(0).alias("n")), lambda a, _: F.struct(F.regexp_replace(a["left"], r"\{\}|\[\]", "").alias("left"), (a["n"] + F.when(a["left"] != "", 1).otherwise(0)).alias("n")))
-    return F.coalesce(peeled["n"], F.lit(0))
+def _walked(having: list[str] | None):
+    """Tasks of objects(): rows id, kind, payload (JSON) to rows id, kind, place, item (JSON), keys. Numbers with a point keep their digits."""
+    import json
+    from uuid import uuid4
 
+    import pyarrow as pa
 
-def _held(place: Column, item: Column) -> Column:
-    """A place and its item, with the values that it holds if it is an object, or a list."""
-    held = F.try_variant_get(item, "$", "map<string,variant>")
-    return F.struct(place.alias("place"), item.alias("item"), F.map_keys(held).alias("keys"), F.map_values(held).alias("values"), F.try_variant_get(item, "$", "array<variant>").alias("parts"))
+    wanted, mark = having and frozenset(having), uuid4().hex
+    bare = re.compile(f'"{mark}([^"]*)"')
 
+    def found(text, load, dump):
+        todo = [((), load(text))]
+        while todo:
+            place, value = todo.pop()
+            if isinstance(value, dict):
+                if wanted is None or not wanted.isdisjoint(value):
+                    item = dump(value)
+                    yield place, bare.sub(r"\1", item) if mark in item else item, list(value)
+                value = value.values()
+            todo.extend([((*place, i), v) for i, v in enumerate(value) if isinstance(v, (dict, list))])
 
-def _inner(level: Column) -> Column:
-    """The objects and lists right inside those of a level."""
-    held = F.flatten(F.transform(level, lambda x: F.transform(F.coalesce(x["values"], x["parts"]), lambda v, i: _held(F.concat(x["place"], F.array(i)), v))))
-    return F.filter(held, lambda x: x["values"].isNotNull() | x["parts"].isNotNull())
+    def made(batch, rows, places, items, keys):
+        rows = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("kind").take(rows), pa.array(places, pa.list_(pa.int32())), pa.array(items, pa.string()), pa.array(keys, pa.list_(pa.string()))], names=["id", "kind", "place", "item", "keys"])
 
+    def run(batches):
+        load, dump = json.JSONDecoder(parse_float=mark.__add__).decode, json.JSONEncoder(separators=(",", ":")).encode
+        for batch in batches:
+            out, size = ([], [], [], []), 0
+            for row, text in enumerate(batch.column("payload").to_pylist()):
+                for place, item, keys in found(text, load, dump) if text[:1] in ("{", "[") else ():
+                    for column, value in zip(out, (row, place, item, keys), strict=True):
+                        column.append(value)
+                    size += len(item)
+                    if size > BATCH_BYTES:
+                        yield made(batch, *out)
+                        out, size = ([], [], [], []), 0
+            yield made(batch, *out)
 
-def objects(payloads: DataFrame) -> DataFrame:
+    return run
+
+
+def objects(payloads: DataFrame, having: list[str] | None = None) -> DataFrame:
     """id, kind, place, item, keys of every object in payloads (id, kind, payload as a variant), however deep; `place` is its way down.
 
-    The payloads are stored once, as text; a pass walks LEVELS levels of a
-    payload, and only what lies deeper is stored again for the next pass.
+    having: only objects with one of these keys. A payload is walked in one
+    pass in Arrow; what is found is stored, as text.
     """
-    level, found = payloads.select("id", "kind", F.array().cast("array<int>").alias("place"), F.to_json("payload").alias("item")), []
-    while True:
-        level = cut(level.withColumn("depth", _depth(F.col("item"))), "level")
-        deepest = level.agg(F.max("depth")).first()[0] or 0
-        walked = level.where("depth > 0").select("id", "kind", F.array(_held(F.col("place"), F.parse_json("item"))).alias("l0"))
-        passes = max(1, min(deepest, LEVELS))
-        for n in range(1, passes):
-            walked = walked.withColumn(f"l{n}", _inner(F.col(f"l{n - 1}")))
-        every = F.flatten(F.array(*[F.filter(f"l{n}", lambda x: x["values"].isNotNull()) for n in range(passes)]))
-        pair = lambda x: F.struct(x["place"].alias("place"), x["item"].alias("item"), x["keys"].alias("keys"))
-        found.append(walked.select("id", "kind", F.explode(F.transform(every, pair)).alias("o")).select("id", "kind", "o.place", "o.item", "o.keys"))
-        if deepest <= LEVELS:
-            return reduce(DataFrame.unionByName, found)
-        deeper = walked.select("id", "kind", F.explode(F.transform(_inner(F.col(f"l{passes - 1}")), pair)).alias("o"))
-        level = deeper.select("id", "kind", "o.place", F.to_json("o.item").alias("item"))
+    payloads.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    texts = payloads.where("payload IS NOT NULL").select("id", "kind", F.to_json("payload").alias("payload"))
+    kinds = {c: texts.schema[c].dataType for c in ("id", "kind")}
+    schema = StructType([*[StructField(c, k) for c, k in kinds.items()], StructField("place", ArrayType(IntegerType())), StructField("item", StringType()), StructField("keys", ArrayType(StringType()))])
+    found = cut(texts.mapInArrow(_walked(having), schema), "objects")
+    # Exploded, as a plain column would be parsed anew for each use of it.
+    return found.select("id", "kind", "place", F.explode(F.array_repeat(F.parse_json("item"), 1)).alias("item"), "keys")
 
 
 def _any_key(keys: list[str]) -> Column:
@@ -178,16 +194,20 @@ def _first(item: Column, *keys: str) -> Column:
 
 def results(found: DataFrame) -> DataFrame:
     """Result records among objects(): task_id, puzzle_id, status, correct, steps, tokens_input, failure_class; equal records count once."""
-    v = F.col("item")
-    task, puzzle = _first(v, "task_id", "task", "id"), _first(v, "puzzle_id", "game_id", "dataset_id")
-    correct = F.coalesce(_get(v, "correct", "boolean"), F.lower(_get(v, "status")).isin(SOLVED), F.lit(False))
-    rows = found.where(_any_key(RESULT_KEYS) & (task.isNotNull() | puzzle.isNotNull())).select(
+    # Each field is read once; a plain column would be read anew for each use of it.
+    names = ["task_id", "task", "id", "puzzle_id", "game_id", "dataset_id", "status", "final_state", "steps", "step_count", "num_steps", "tokens_input", "input_tokens", "tokens.input", "failure_class", "error_class", "error_message"]
+    fields = F.struct(*[_get(F.col("item"), n).alias(n.replace(".", "_of_")) for n in names], _get(F.col("item"), "correct", "boolean").alias("correct"))
+    read = found.where(_any_key(RESULT_KEYS)).select("kind", "item", F.explode(F.array_repeat(fields, 1)).alias("f"))
+    first = lambda *keys: F.coalesce(*[F.when(F.col(f"f.{k}") != "", F.col(f"f.{k}")) for k in keys])
+    task, puzzle = first("task_id", "task", "id"), first("puzzle_id", "game_id", "dataset_id")
+    correct = F.coalesce("f.correct", F.lower("f.status").isin(SOLVED), F.lit(False))
+    rows = read.where(task.isNotNull() | puzzle.isNotNull()).select(
         "kind", F.sha2(F.to_json("item"), 256).alias("hash"), F.coalesce(task, F.lit("")).alias("task_id"), F.coalesce(puzzle, F.lit("")).alias("puzzle_id"),
-        F.coalesce(_first(v, "status", "final_state"), F.when(correct, "solved").otherwise("failed")).alias("status"), correct.alias("correct"),
-        F.coalesce(_first(v, "steps", "step_count", "num_steps").try_cast("int"), F.lit(0)).alias("steps"), F.coalesce(_first(v, "tokens_input", "input_tokens", "tokens.input").try_cast("int"), F.lit(0)).alias("tokens_input"),
-        F.coalesce(_first(v, "failure_class", "error_class", "error_message"), F.lit("")).alias("failure_class"),
+        F.coalesce(first("status", "final_state"), F.when(correct, "solved").otherwise("failed")).alias("status"), correct.alias("correct"),
+        F.coalesce(first("steps", "step_count", "num_steps").try_cast("int"), F.lit(0)).alias("steps"), F.coalesce(first("tokens_input", "input_tokens", "tokens_of_input").try_cast("int"), F.lit(0)).alias("tokens_input"),
+        F.coalesce(first("failure_class", "error_class", "error_message"), F.lit("")).alias("failure_class"),
     )
-    return rows.dropDuplicates(["kind", "hash"])
+    return rows.distinct()  # equal hashes: equal records
 
 
 def events(found: DataFrame, most: int | None = None) -> DataFrame:

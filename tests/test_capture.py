@@ -125,3 +125,15 @@ def test_retrospective_meets_vectors_in_blocks(spark):
 
     assert sorted(r.session for r in made.collect()) == sorted(s for s, d, v in goals if not any(d == e and like(v, w) > 0.9 for e, w in plans))
     assert "MapInArrow" in made._jdf.queryExecution().toString()
+
+
+def test_objects_keep_their_values_and_are_chosen_by_key(spark):
+    """Numbers keep their digits, texts their letters, however deep; unwanted objects are not handed on."""
+    item = '{"a":1.50,"b":[-0.25,12345678901234567890123456789,null,true],"c":"1.50 \\u0000 \\ud83d\\ude00 \\" é","steps":{"e":2.25}}'
+    deep = '{"a":[' * 300 + '{"steps":0.10}' + "]}" * 300
+    df = spark.createDataFrame([(1, f"[{item}]"), (2, deep), (3, "1.5"), (4, '"{"')], "id long, p string").select("id", F.lit("k").alias("kind"), F.parse_json("p").alias("payload"))
+    every = {(r.id, len(r.place)): r for r in transcripts.objects(df).select("*", F.to_json("item").alias("text")).collect()}
+    first, inner, most = spark.createDataFrame([(item, '{"e":2.25}', deep)], "a string, b string, c string").select(*[F.to_json(F.parse_json(c)) for c in "abc"]).first()
+    assert every[1, 1].text == first and every[1, 1]["keys"] == ["a", "b", "c", "steps"] and every[1, 2].text == inner and every[1, 2].place == [0, 3]
+    assert every[2, 0].text == most and len(every) == 2 + 301
+    assert sorted((r.id, len(r.place)) for r in transcripts.objects(df, ["steps"]).collect()) == [(1, 1), (2, 600)]
